@@ -40,8 +40,7 @@ def carry(
 ) -> DataFrame:
     """As-of values along each track, exact across chunk edges."""
     keys = list(keys)
-    out = df
-    aggs, cols, far_cols = [], [*keys, chunk], []
+    aggs, cols, far_cols, near = [], [*keys, chunk], [], {}
     types = df.select(*[s.value.alias(f"v{i}") for i, s in enumerate(specs)]).schema
     for i, s in enumerate(specs):
         direction = F.col(order).desc() if s.following else F.col(order).asc()
@@ -50,7 +49,7 @@ def carry(
             .orderBy(direction)
             .rowsBetween(Window.unboundedPreceding, 0 if s.inclusive else -1)
         )
-        out = out.withColumn(f"__near{i}", F.last(s.value, ignorenulls=True).over(w))
+        near[f"__near{i}"] = F.last(s.value, ignorenulls=True).over(w)
         rank = F.when(s.value.isNotNull(), F.col(order))
         pick = F.min_by if s.following else F.max_by
         # one primitive aggregate per leaf keeps the summary a hash aggregate
@@ -69,10 +68,12 @@ def carry(
     some = F.col(far_cols[0]).isNotNull()
     for c in far_cols[1:]:
         some = some | F.col(c).isNotNull()
-    out = out.join(far.filter(some), [*keys, chunk], "left")
-    for i, s in enumerate(specs):
-        out = out.withColumn(s.name, F.coalesce(F.col(f"__near{i}"), F.col(f"__far{i}")))
-    return out.drop(*[f"__near{i}" for i in range(len(specs))], *far_cols)
+    out = df.withColumns(near).join(far.filter(some), [*keys, chunk], "left")
+    names = {s.name for s in specs}
+    return out.select(
+        *[c for c in df.columns if c not in names],
+        *[F.coalesce(F.col(f"__near{i}"), F.col(f"__far{i}")).alias(s.name) for i, s in enumerate(specs)],
+    )
 
 
 def _leaves(value: Column, data_type: T.DataType) -> list[Column]:

@@ -101,7 +101,8 @@ def with_provenance(
     own_later = F.col("own_end.pos") >= F.col("c_end.pos")
     end = F.col("c_end") if override else F.when(own_later, F.col("own_end")).otherwise(F.col("c_end"))
     auto_bounds = a.withColumn("end", end)
-    auto = detected(stage, auto_bounds, p)
+    auto = materialise(detected(stage, auto_bounds, p), "auto-events")
+    auto_bounds = materialise(auto_bounds, "auto-bounds")
     both = auto_bounds.select(*KEY).distinct()
     ours = corrected.join(both, KEY, "left_semi")
     rest = PR.untouched(corrected.join(both, KEY, "left_anti"))
