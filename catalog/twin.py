@@ -97,7 +97,7 @@ SELECT session_id, video_id, s, pos, pos + off AS frame_index, t_s, x, y, ok AS
        CASE WHEN hand THEN 'oversized_blob' WHEN blind THEN 'multiple_blobs' WHEN lost THEN 'no_foreground'
             WHEN partial THEN 'small_blob' ELSE 'single_blob' END AS reason,
        CASE WHEN NOT ok THEN 0.0 WHEN partial THEN 180.0 ELSE 500.0 + 10.0 * (i % 5) END::DOUBLE AS area
-FROM (SELECT *, {_axis.format(a="x", c=CX)}, {_axis.format(a="y", c=CY)},
+FROM (SELECT *, {_axis.format(a="x", c=B.zone_points()[20][2])}, {_axis.format(a="y", c=B.zone_points()[20][3])},
              ok AND s % 6 <> 5 AND (partial OR dwell OR i % 2 = 1) AS nose_on
       FROM (SELECT f.*, p.ix, p.iy, p.hx AS phx, p.hy AS phy, g.hx AS ghx, g.hy AS ghy,
                    p.ix + ((CASE WHEN m = 6 THEN g.rx ELSE g.ix END) - p.ix) * least(1.0::DOUBLE, (i + 1) / 30.0::DOUBLE) AS gx0,

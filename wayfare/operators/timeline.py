@@ -148,3 +148,40 @@ def spread(per_track: DataFrame, keys: Sequence[str], chunk_frames: int, length:
         "chunk",
         F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col(length) - 1) / chunk_frames)).cast("int"))),
     )
+
+
+def renumber(
+    df: DataFrame, chunk_frames: int, keys: Sequence[str] = KEY, order: str = "pos", chunk: str = "chunk",
+    name: str = "idx",
+) -> DataFrame:
+    """Number the rows of each track 0, 1, 2, … along the order, and chunk them by that number.
+
+    A row's number is its rank inside its chunk plus the sizes of the chunks before.
+    """
+    keys = list(keys)
+    sizes = df.groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias("__n"))
+    ahead = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, chunk, F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__o"))
+    local = F.row_number().over(Window.partitionBy(*keys, chunk).orderBy(order)) - 1
+    numbered = df.withColumn("__r", local).join(offsets, [*keys, chunk])
+    return (
+        numbered.withColumn(name, F.col("__o") + F.col("__r"))
+        .withColumn(chunk, (F.col(name) / chunk_frames).cast("int"))
+        .drop("__o", "__r")
+    )
+
+
+def runs_of(
+    df: DataFrame, code: Column, keys: Sequence[str] = KEY, order: str = "pos", broken: Column | None = None
+) -> DataFrame:
+    """Add ``run``: the position at which the current run of equal codes began.
+
+    ``broken`` may compare ``prev`` (the struct of the row before) with the row to end a run early.
+    """
+    df = df.withColumn("__code", code)
+    df = carry(df, [Carry("prev", F.struct(F.col("__code").alias("code"), F.col(order).alias("at")))], keys, order)
+    starts = F.col("prev").isNull() | (F.col("prev.code") != F.col("__code"))
+    if broken is not None:
+        starts = starts | broken
+    out = carry(df, [Carry("run", F.when(starts, F.col(order)), inclusive=True)], keys, order)
+    return out.drop("__code", "prev")

@@ -102,6 +102,8 @@ def with_provenance(
     end = F.col("c_end") if override else F.when(own_later, F.col("own_end")).otherwise(F.col("c_end"))
     auto_bounds = a.withColumn("end", end)
     auto = materialise(detected(stage, auto_bounds, p), "auto-events")
+    if not override:
+        stage["auto_events"] = auto
     auto_bounds = materialise(auto_bounds, "auto-bounds")
     both = auto_bounds.select(*KEY).distinct()
     ours = corrected.join(both, KEY, "left_semi")

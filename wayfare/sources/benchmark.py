@@ -36,17 +36,19 @@ def zone_points() -> list[tuple[float, float, float, float, float, float]]:
         ring, rim = RING_RATIO * r, 0.97 * r
         inner = ring - PX_PER_CM
         b = a + math.pi / HOLES
+        # places are a little off the symmetry axes, so no path runs at equal distance from two holes
+        ox, oy = (k * 7 % 5 - 2.3) * 0.173, (k * 3 % 7 - 3.1) * 0.119
         rows.append(
             tuple(
                 round(v, 6)
                 for v in (
                     cx + ring * math.cos(a), cy + ring * math.sin(a),
-                    cx + inner * math.cos(a), cy + inner * math.sin(a),
-                    cx + rim * math.cos(b), cy + rim * math.sin(b),
+                    cx + inner * math.cos(a) + ox, cy + inner * math.sin(a) + oy,
+                    cx + rim * math.cos(b) + ox, cy + rim * math.sin(b) + oy,
                 )
             )
         )
-    return rows + [(cx, cy, cx, cy, cx, cy)]
+    return rows + [(cx, cy, cx + 0.311, cy - 0.223, cx, cy)]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -196,7 +198,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frame table, one row per frame, with nested points."""
     zones = zone_points()
     hx, hy, ix, iy, rx, ry = ([z[j] for z in zones] for j in range(6))
-    cx, cy, _ = PLATFORM
+    cx, cy = zones[HOLES][2], zones[HOLES][3]
     s, b, n = F.col("s"), F.col("b"), F.col("pos")
     i, m, h, place = F.col("i"), F.col("m"), F.col("h"), F.col("place")
     df = blocks(spark, sf_dir).withColumn(
