@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog import cohort as C
 from catalog import twin_derive as TD
-from catalog.registry import query, rd, srd
+from catalog.registry import query, rd, rp, srd, srp
 from catalog.twin import CX, CY, PXCM, R
 from wayfare import params as P
 from wayfare.functions import geometry as G
@@ -24,11 +24,11 @@ V = "session_id, video_id"
 JV = "JOIN (SELECT s AS vs, session_id, video_id FROM k_sup) vv ON vv.vs = q.s"
 
 
-@query("frame_table", f"SELECT {V}, pos, frame_index, {srd('t_s', 't')}, {srd('x', 'x', 7)}, {srd('y', 'y', 7)}, c_valid, n_valid, state, reason FROM k_frames")
+@query("frame_table", f"SELECT {V}, pos, frame_index, {srd('t_s', 't')}, {srp('x', 'x')}, {srp('y', 'y')}, c_valid, n_valid, state, reason FROM k_frames")
 def frame_table(spark: SparkSession, sf: str) -> DataFrame:
     """The frame table itself: one row per frame of every track."""
     return C.inputs(spark, sf).frames.select(
-        *KEY, "pos", "frame_index", rd("t_s").alias("t"), rd("centroid.x", 7).alias("x"), rd("centroid.y", 7).alias("y"),
+        *KEY, "pos", "frame_index", rd("t_s").alias("t"), rp("centroid.x").alias("x"), rp("centroid.y").alias("y"),
         F.col("centroid.valid").alias("c_valid"), F.col("nose.valid").alias("n_valid"),
         F.col("detection_state").alias("state"), "reason",
     )
@@ -140,7 +140,7 @@ def clean_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _fill_sql = f"""
-SELECT {V}, pos, {srd('fx', 'x', 4)}, {srd('fy', 'y', 4)} FROM (
+SELECT {V}, pos, {srp('fx', 'x')}, {srp('fy', 'y')} FROM (
  SELECT s, pos, a.x + (CASE WHEN z.t - a.t > 0 THEN (t - a.t) / (z.t - a.t) ELSE 0.5 END) * (z.x - a.x) AS fx,
         a.y + (CASE WHEN z.t - a.t > 0 THEN (t - a.t) / (z.t - a.t) ELSE 0.5 END) * (z.y - a.y) AS fy
  FROM (SELECT s, pos, t, seen_raw,
@@ -158,7 +158,7 @@ def clean_gap_fill(spark: SparkSession, sf: str) -> DataFrame:
     """Frames filled by linear interpolation in time when filling is on."""
     p = C.params(gapFilling__enabled=True, gapFilling__maxDuration_s=0.7)
     c = D.cleaned(C.inputs(spark, sf), p)["clean"]
-    return C.final(c).filter("filled").select(*KEY, "pos", rd("x", 7).alias("x"), rd("y", 7).alias("y"))
+    return C.final(c).filter("filled").select(*KEY, "pos", rp("x").alias("x"), rp("y").alias("y"))
 
 
 @query(
@@ -199,12 +199,12 @@ def trial_window_short_cutoff(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "event_points",
-    f"""SELECT {V}, pos, use_nose, {srd('ex', 'ex', 7)}, {srd('ey', 'ey', 7)}, hole_at, partial_at FROM k_clean q {JV} WHERE v = 'c' AND c_valid""",
+    f"""SELECT {V}, pos, use_nose, {srp('ex', 'ex')}, {srp('ey', 'ey')}, hole_at, partial_at FROM k_clean q {JV} WHERE v = 'c' AND c_valid""",
 )
 def event_points(spark: SparkSession, sf: str) -> DataFrame:
     """The event point of every positioned frame and the hole it is at."""
     return C.final(C.clean(spark, sf)["clean"]).filter("c_valid").select(
-        *KEY, "pos", "use_nose", rd("ex", 7).alias("ex"), rd("ey", 7).alias("ey"), "hole_at", "partial_at"
+        *KEY, "pos", "use_nose", rp("ex").alias("ex"), rp("ey").alias("ey"), "hole_at", "partial_at"
     )
 
 
@@ -273,7 +273,7 @@ def review_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "corrections_applied_frames",
-    f"""SELECT {V}, pos, {srd('x', 'x', 7)}, {srd('y', 'y', 7)}, c_valid, n_valid, state, reason, c_hand, n_hand FROM k_corrected q {JV} WHERE c_hand OR n_hand""",
+    f"""SELECT {V}, pos, {srp('x', 'x')}, {srp('y', 'y')}, c_valid, n_valid, state, reason, c_hand, n_hand FROM k_corrected q {JV} WHERE c_hand OR n_hand""",
 )
 def corrections_applied_frames(spark: SparkSession, sf: str) -> DataFrame:
     """Frames changed by point and range corrections, last writer per field."""
@@ -282,7 +282,7 @@ def corrections_applied_frames(spark: SparkSession, sf: str) -> DataFrame:
     out = CO.apply_frame_edits(CO.flat_frames(i.frames, size), CO.frame_edits(i.corrections, i.frames, spans), size)
     hand = lambda c: F.col(c) == "corrected"
     return out.filter(hand("c_src") | hand("n_src")).select(
-        *KEY, "pos", rd("x", 7).alias("x"), rd("y", 7).alias("y"), "c_valid", "n_valid", "state", "reason",
+        *KEY, "pos", rp("x").alias("x"), rp("y").alias("y"), "c_valid", "n_valid", "state", "reason",
         hand("c_src").alias("c_hand"), hand("n_src").alias("n_hand"),
     )
 
@@ -312,10 +312,10 @@ def kinematics_trial(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("kinematics_smoothed", f"SELECT {V}, pos, {srd('sx', 'sx', 7)}, {srd('sy', 'sy', 7)} FROM k_motion q {JV}")
+@query("kinematics_smoothed", f"SELECT {V}, pos, {srp('sx', 'sx')}, {srp('sy', 'sy')} FROM k_motion q {JV}")
 def kinematics_smoothed(spark: SparkSession, sf: str) -> DataFrame:
     """The median-filtered path."""
-    return C.derived(spark, sf).motion.select(*KEY, "pos", rd("sx", 7).alias("sx"), rd("sy", 7).alias("sy"))
+    return C.derived(spark, sf).motion.select(*KEY, "pos", rp("sx").alias("sx"), rp("sy").alias("sy"))
 
 
 _speed_sql = f"""

@@ -32,3 +32,16 @@ def rd(c: Column | str, digits: int = 6) -> Column:
 
 def srd(expr: str, name: str, digits: int = 6) -> str:
     return f"round({expr}, {digits}) + 0.0::DOUBLE AS {name}"
+
+
+# positions are short decimals, which would round either way at a tie; a small shift avoids every tie
+SHIFT = 0.0000123456789
+
+
+def rp(c: Column | str) -> Column:
+    col = F.col(c) if isinstance(c, str) else c
+    return F.round(col + F.lit(SHIFT), 4) + F.lit(0.0)
+
+
+def srp(expr: str, name: str) -> str:
+    return f"round({expr} + {SHIFT:.13f}, 4) + 0.0::DOUBLE AS {name}"

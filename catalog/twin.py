@@ -30,7 +30,10 @@ def sql(select: str) -> str:
     if not ordered:
         return select.strip()
     chain = ",\n".join(f"{n} AS MATERIALIZED (\n{CTES[n]}\n)" for n in ordered)
-    return f"WITH {chain}\n{select.strip()}"
+    rest = select.strip()
+    if rest.startswith("WITH "):
+        return f"WITH {chain},\n{rest[5:]}"
+    return f"WITH {chain}\n{rest}"
 
 
 CX, CY, R = B.PLATFORM

@@ -335,3 +335,58 @@ def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows("dl", s % 20 == 9, "07", "event", action=F.lit("delete"), event_id=F.lit("auto-investigation-hx-f1")),
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def blobs(frames_: DataFrame) -> DataFrame:
+    """Blob measurements per frame, by rule from the frame table: the animal, doubles, fragments, hands and noise."""
+    n, s = F.col("pos"), F.substring("video_id", 2, 12).cast("bigint")
+    ok, x, y = F.col("centroid.valid"), F.col("centroid.x"), F.col("centroid.y")
+
+    def blob(i: int, when: Column, area: Column, dx: float, dy: float) -> Column:
+        return F.when(when, F.struct(F.lit(i).alias("first_index"), area.alias("area"), (x + dx).alias("cx"), (y + dy).alias("cy")))
+
+    two = ((n + s) % 23 == 0) | (n % 200).between(100, 119)
+    parts = F.array(
+        blob(0, ok, F.col("blob_area_px2"), 0.0, 0.0),
+        blob(1, ok & two, F.lit(300.0), 60.0, 5.0),
+        blob(2, ok & (n % 200 == 110), F.lit(200.0), 15.0, -20.0),
+        blob(3, ok & ((n + 2 * s) % 31 == 0), F.lit(150.0), 12.0, 7.0),
+        blob(4, ok & ((n + 3 * s) % 101 == 0), F.lit(3000.0), -40.0, 0.0),
+        F.when(~ok & (n % 13 == 5), F.struct(F.lit(5).alias("first_index"), F.lit(40.0).alias("area"), F.lit(322.0).alias("cx"), F.lit(240.0).alias("cy"))),
+    )
+    df = frames_.select("session_id", "video_id", n.alias("frame_index"), F.col("t_s").alias("t"), F.explode(F.filter(parts, lambda b: b.isNotNull())).alias("b"))
+    df = df.select("session_id", "video_id", "frame_index", "t", "b.*")
+    a, cx, cy, f = F.col("area"), F.col("cx"), F.col("cy"), F.col("frame_index")
+    pcx, pcy, r = PLATFORM
+    lean = (f % 5 - 2) / 160.0
+    return df.select(
+        "*",
+        (F.sqrt((cx - pcx) * (cx - pcx) + (cy - pcy) * (cy - pcy)) >= r - PX_PER_CM).alias("rim"),
+        (60.0 + f % 50).alias("mean_diff"),
+        (cx - 10).alias("min_x"), (cy - 8).alias("min_y"), (cx + 10).alias("max_x"), (cy + 8).alias("max_y"),
+        (a * cx).alias("sum_x"), (a * cy).alias("sum_y"),
+        (a * (a / 20 + cx * cx)).alias("sum_xx"), (a * (a / 40 + cy * cy)).alias("sum_yy"), (a * (a * lean + cx * cy)).alias("sum_xy"),
+        (f % 9).cast("int").alias("tail_pixels"),
+    )
+
+
+def video_samples(frames_: DataFrame) -> DataFrame:
+    """Sample tables by rule: pairs stored out of order, equal stamps, gaps, and picture order numbers."""
+    n = F.col("pos")
+    ticks = (n - F.floor((n + 47) / 97) + F.floor(n / 113)).cast("bigint")
+    swap = F.when(n % 2 == 0, n + 1).otherwise(n - 1)
+    return frames_.select(
+        "session_id", "video_id", swap.alias("decode_index"), (ticks * 512 + 1024).alias("cts"), (swap * 512).cast("bigint").alias("dts"),
+        F.when(n % 113 == 112, 1024).otherwise(512).cast("bigint").alias("duration"), (n % 12 == 0).alias("is_sync"),
+        (n.cast("bigint") * 1000).alias("byte_offset"), F.lit(1000).cast("bigint").alias("byte_length"),
+        (2 * (n % 12) + F.when(n % 50 == 7, 100).otherwise(0)).cast("int").alias("poc"), F.floor(n / 12).cast("int").alias("gop"),
+        F.lit(15360).cast("bigint").alias("timescale"), F.lit(1024).cast("bigint").alias("edit_offset_ticks"),
+    )
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixel tables from the embeddings: a label is a video, a vector one of its frames, a dimension a pixel."""
+    e = _table(spark, sf_dir, "embeddings")
+    return e.select(
+        F.col("label").alias("video"), F.col("vec_id").alias("frame"), F.posexplode("embedding").alias("pixel", "v")
+    ).select("video", "frame", "pixel", F.least(F.lit(255), F.floor(F.abs(F.col("v").cast("double")) * 100)).cast("int").alias("value"))
