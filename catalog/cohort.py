@@ -58,7 +58,6 @@ def clean(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     if key not in _cleaned:
         stage = cleaned(inputs(spark, sf_dir), params())
         stage["clean"] = materialise(stage["clean"], "clean")
-        stage["geometry"] = materialise(stage["geometry"], "geometry")
         _cleaned[key] = stage
     return _cleaned[key]
 

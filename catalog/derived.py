@@ -279,7 +279,8 @@ def corrections_applied_frames(spark: SparkSession, sf: str) -> DataFrame:
     """Frames changed by point and range corrections, last writer per field."""
     i, size = C.inputs(spark, sf), chunk_frames(spark)
     spans = CO.track_spans(i.frames)
-    out = CO.apply_frame_edits(CO.flat_frames(i.frames, size), CO.frame_edits(i.corrections, i.frames, spans), size)
+    fields = CO.edited_fields(CO.frame_edits(i.corrections, i.frames, spans), size)
+    out = CO.apply_frame_edits(CO.flat_frames(i.frames, size), fields)
     hand = lambda c: F.col(c) == "corrected"
     return out.filter(hand("c_src") | hand("n_src")).select(
         *KEY, "pos", rp("x").alias("x"), rp("y").alias("y"), "c_valid", "n_valid", "state", "reason",

@@ -72,9 +72,9 @@ cte("k_sel0", f"""SELECT s, list_reduce(list({{'n': n::INT, 'cs': cs, 'big': len
     ELSE {{'px': {_pick}.x, 'py': {_pick}.y, 'out': list_append(acc.out, {{'n': e.n, 'r': {_pick}.r, 'why': CASE WHEN {_pick}.rim THEN 'partial_at_rim' WHEN {_pick}.a < {T['smallBlobFactor']} * e.ex THEN 'small_blob'
        WHEN len(e.cs) >= 2 THEN 'proximity_to_previous' ELSE 'single_blob' END, 'x': {_pick}.x, 'y': {_pick}.y}})}} END,
   {{'px': NULL::DOUBLE, 'py': NULL::DOUBLE, 'out': []::STRUCT(n INT, r INT, why VARCHAR, x DOUBLE, y DOUBLE)[]}}) AS f FROM k_obs GROUP BY s""")
-cte("k_sel", "SELECT s, o.n AS n, o.r AS rank, o.why AS reason, o.x AS x, o.y AS y, o.why = 'proximity_to_previous' AS nearr FROM (SELECT s, unnest(f.out) AS o FROM k_sel0)")
+cte("k_sel", "SELECT s, o.n AS n, o.r AS rank, o.why AS reason, o.x AS x, o.y AS y, false AS nearr0 FROM (SELECT s, unnest(f.out) AS o FROM k_sel0)")
 _state = "CASE WHEN reason IN ('single_blob', 'proximity_to_previous') THEN 'tracked' WHEN reason = 'no_foreground' THEN 'not_detected' WHEN reason IN ('multiple_blobs', 'oversized_blob') THEN 'ambiguous' ELSE 'low_confidence' END"
-cte("k_picked", f"""SELECT q.*, t, {_state} AS state, expected, coalesce(c.area, u.area) AS area, coalesce(c.mean_diff, u.mean_diff) AS mean_diff, coalesce(c.rim, u.rim) AS rim, len(o.cs) AS n_cand,
+cte("k_picked", f"""SELECT q.*, t, {_state} AS state, expected, coalesce(c.area, u.area) AS area, coalesce(c.mean_diff, u.mean_diff) AS mean_diff, coalesce(c.rim, u.rim) AS rim, q.rank >= 0 AND len(o.cs) >= 2 AS nearr,
   coalesce(c.ux, u.ux) AS ux, coalesce(c.uy, u.uy) AS uy, coalesce(c.major, u.major) AS major, CASE WHEN q.rank >= 0 THEN c.tp ELSE 0 END AS tp
   FROM k_sel q JOIN k_obs o ON o.s = q.s AND o.n = q.n LEFT JOIN (SELECT s, n, rank, area, mean_diff, rim, tp, {_ellipse()} FROM k_cand) c ON c.s = q.s AND c.n = q.n AND c.rank = q.rank
   LEFT JOIN k_union u ON u.s = q.s AND u.n = q.n AND q.rank = -2""")
@@ -143,11 +143,11 @@ def tracking_expected_area(spark: SparkSession, sf: str) -> DataFrame:
     return _tracking(spark, sf)["expected"]
 
 
-@query("tracking_selection", f"SELECT {V}, n AS frame_index, reason, rank, {srd('x', 'x', 3)}, {srd('y', 'y', 3)} FROM k_sel q {JV}")
+@query("tracking_selection", f"SELECT {V}, n AS frame_index, reason, rank, {srp('x', 'x')}, {srp('y', 'y')} FROM k_sel q {JV}")
 def tracking_selection(spark: SparkSession, sf: str) -> DataFrame:
     """The selection of every frame."""
     s = _tracking(spark, sf)["selected"]
-    return s.select(*KEY, "frame_index", "reason", "rank", rd("x", 3).alias("x"), rd("y", 3).alias("y"))
+    return s.select(*KEY, "frame_index", "reason", "rank", rp("x").alias("x"), rp("y").alias("y"))
 
 
 _unit = lambda e: f"greatest(0, least(1, {e}))"

@@ -60,7 +60,7 @@ SELECT k.session_id, k.video_id, k.s::INT AS video_order, 'clip_' || k.s || '.mp
        CASE WHEN s % 9 <> 2 THEN lower(r_name) END AS grp,
        CASE WHEN s % 10 = 7 THEN 'probe' ELSE 'acquisition' END AS trial_type,
        CASE WHEN s % 14 = 9 THEN 3 ELSE 7 END AS target, k.n AS n_frames, k.off, k.s,
-       s % 14 = 9 AS own_target, (k.n::BIGINT * 1000) AS byte_length, sha256((s % 90)::VARCHAR) AS sha
+       s % 14 = 9 AS own_target, ((s % 90) * 1000 + 5000) AS byte_length, sha256((s % 90)::VARCHAR) AS sha
 FROM k_sup k JOIN supplier ON s_suppkey = s JOIN nation ON n_nationkey = s_nationkey
 JOIN region ON r_regionkey = n_regionkey
 """)

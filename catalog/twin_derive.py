@@ -30,7 +30,7 @@ FROM (SELECT unnest(range(20))::INT AS k)
 _rows = [
     ("pt", "s % 6 = 1", "02", "point", "off + 180", "centroid", 0.0, 0.0, 0.0, "false", None),
     ("pv", "s % 6 = 1", "04", "point", "off + 150", "centroid", _z[20][0], _z[20][1], 1.0, "true", None),
-    ("ns", "s % 6 = 1", "03", "point", "off + 181", "nose", _z[5][0], _z[5][1], 1.0, "true", None),
+    ("ns", "s % 6 = 1", "03", "point", "off + 181", "nose", _z[4][0], _z[4][1], 1.0, "true", None),
     ("rh", "s % 12 = 2", "03", "point", "off + 230", "centroid", _z[3][2], _z[3][3], 1.0, "true", None),
     ("oo", "s % 25 = 6", "06", "point", "off + n + 500", "nose", 1.0, 1.0, 1.0, "true", None),
     ("rg", "s % 6 = 2", "02", "range", ("off + 222", "off + 240"), None, 0, 0, 0, "NULL", "not_visible"),

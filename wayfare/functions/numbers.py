@@ -15,3 +15,9 @@ def round_half_up(x: Column, digits: int) -> Column:
 def finite(x: Column) -> Column:
     """Null instead of NaN or an infinity."""
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
+
+
+def fmt(pattern: str, c: Column | str) -> Column:
+    """A number as text, null for null (the formatter itself would print one)."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.when(col.isNotNull(), F.format_string(pattern, col))

@@ -106,8 +106,11 @@ def clean_tracks(frames: DataFrame, per_video: DataFrame, p: dict[str, Any], chu
         [Carry("prev_t", F.col("t")), Carry("prev_ok", F.when(F.col("c_valid"), seen))],
         TRACK,
     )
-    per_chunk = spread(per_video.select("session_id", "video_id", "n", "nominal_dt", *GEOMETRY), ["session_id", "video_id"], chunk_frames)
-    df = df.join(per_chunk, ["session_id", "video_id", "chunk"])
+    per_track = per_video.select("session_id", "video_id", "n", "nominal_dt", *GEOMETRY).withColumn(
+        "variant", F.explode(F.array(F.lit("c"), F.lit("a")))
+    )
+    # the keys of the windows, so the join needs no exchange of its own
+    df = df.join(spread(per_track, TRACK, chunk_frames), [*TRACK, "chunk"])
     df = find_outliers(df, p).withColumn("seen_raw", F.col("c_valid"))
     if p["gapFilling"]["enabled"]:
         df = _fill(df, p)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfare.functions.numbers import fmt
 from wayfare.operators.review import spans_at
 from wayfare.operators.timeline import KEY
 
@@ -152,7 +153,7 @@ def describe(corrections: DataFrame) -> DataFrame:
     n = lambda x: F.coalesce(c(x).cast("string"), F.lit("…"))
     which = F.when(c("point") == "nose", "Nose").otherwise("Centroid")
     point = F.when(
-        c("valid"), F.concat(which, F.lit(" placed by hand on frame "), n("frame_index"), F.format_string(" at (%.1f, %.1f) px", "x", "y"))
+        c("valid"), F.concat(which, F.lit(" placed by hand on frame "), n("frame_index"), fmt(" at (%.1f, ", "x"), fmt("%.1f) px", "y"))
     ).otherwise(F.concat(which, F.lit(" marked invalid on frame "), n("frame_index")))
     span = F.concat(F.lit(", frames "), n("start_frame"), F.lit("–"), n("end_frame"))
     range_ = F.concat(F.when(c("range_type") == "not_visible", "Animal not visible").otherwise("Animal in the escape box"), span)

@@ -146,9 +146,8 @@ def edited_fields(edits: DataFrame, chunk_frames: int) -> DataFrame:
     )
 
 
-def apply_frame_edits(flat: DataFrame, edits: DataFrame, chunk_frames: int) -> DataFrame:
+def apply_frame_edits(flat: DataFrame, fields: DataFrame) -> DataFrame:
     """Corrected frames: each field takes the value its last writer left, all others stay automatic."""
-    fields = edited_fields(edits, chunk_frames)
     out = flat.join(fields, [*KEY, "chunk", "pos"], "left")
     c, n = F.col("c_edit"), F.col("n_edit")
 
@@ -181,9 +180,9 @@ def correction_spans(corrections: DataFrame) -> DataFrame:
     )
 
 
-def both_variants(flat: DataFrame, edits: DataFrame, chunk_frames: int) -> DataFrame:
+def both_variants(flat: DataFrame, edits: DataFrame, fields: DataFrame) -> DataFrame:
     """The corrected tracks (variant ``c``) and, for videos with frame edits, the automatic ones (``a``)."""
-    corrected = apply_frame_edits(flat, edits, chunk_frames).withColumn("variant", F.lit("c"))
+    corrected = apply_frame_edits(flat, fields).withColumn("variant", F.lit("c"))
     touched = edits.select(*KEY).distinct()
     auto = flat.join(touched, KEY, "left_semi").withColumn("variant", F.lit("a"))
     return corrected.unionByName(auto)

@@ -14,6 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfare.functions.numbers import fmt
 from wayfare.operators.clean import TRACK
 from wayfare.operators.events import span_distances
 from wayfare.operators.timeline import KEY
@@ -244,7 +245,7 @@ def split_edited(out: DataFrame, clean: DataFrame, geo: DataFrame) -> tuple[Data
 
 def measure_sentence() -> Column:
     total = F.coalesce(F.col("nose_frames") + F.col("centroid_frames"), F.lit(0))
-    cm = lambda c: F.coalesce(F.format_string("%.1f cm", F.col(c)), F.lit("n/a"))
+    cm = lambda c: F.coalesce(fmt("%.1f cm", c), F.lit("n/a"))
     used = F.when(total == 0, "No positioned frame in the span.").otherwise(
         F.format_string("Nose used on %d of %d positioned frames, centroid on the rest.", F.col("nose_frames"), total)
     )

@@ -15,6 +15,7 @@ from wayfare.functions import geometry as G
 from wayfare.operators.clean import ABSENT, FULL, PARTIAL, TRACK
 from wayfare.operators.timeline import Carry, carry, spread
 from wayfare.operators.trial import resolve_end
+from wayfare.session import materialise
 
 SPAN_BUCKET = 64
 
@@ -33,7 +34,7 @@ def pieces(clean: DataFrame) -> DataFrame:
 def trial_pieces(pieces_: DataFrame, cut: DataFrame, chunk_frames: int) -> DataFrame:
     """Pieces from the trial start on, clipped to it, with what lies before and after each of them."""
     around = carry(
-        pieces_.withColumn("at", F.col("first.pos")),
+        materialise(pieces_.withColumn("at", F.col("first.pos")), "pieces"),
         [
             Carry("before", F.struct("kind", "hole", "last")),
             Carry("seen", F.when(F.col("kind") != ABSENT, F.col("last"))),
@@ -42,6 +43,7 @@ def trial_pieces(pieces_: DataFrame, cut: DataFrame, chunk_frames: int) -> DataF
         TRACK,
         order="at",
     )
+    around = materialise(around, "pieces-around")
     slim = cut.select(*TRACK, "n", F.col("from"), F.col("cut.pos").alias("cut_pos"))
     df = around.join(spread(slim, TRACK, chunk_frames), [*TRACK, "chunk"])
     df = df.filter(F.col("from").isNotNull() & (F.col("last.pos") >= F.col("from.pos")))

@@ -34,6 +34,16 @@ def smoothed(frames: DataFrame, window: int, keys: list[str] = KEY) -> DataFrame
     ok = frames.filter("c_valid")
     if h == 0:
         return ok.withColumn("sx", F.col("x")).withColumn("sy", F.col("y"))
+    if h == 1:
+        # the usual window of three needs no arrays
+        w = Window.partitionBy(*keys).orderBy("pos")
+        whole = (F.lag("pos").over(w) == F.col("pos") - 1) & (F.lead("pos").over(w) == F.col("pos") + 1)
+
+        def mid3(c: str) -> Column:
+            a, b, z = F.lag(c).over(w), F.col(c), F.lead(c).over(w)
+            return F.when(whole, F.greatest(F.least(a, b), F.least(F.greatest(a, b), z))).otherwise(b)
+
+        return ok.withColumns({"sx": mid3("x"), "sy": mid3("y")})
     w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(-h, h)
     ok = ok.withColumn("__a", F.collect_list(F.struct("pos", "x", "y")).over(w))
     a = F.col("__a")
@@ -50,18 +60,20 @@ def smoothed(frames: DataFrame, window: int, keys: list[str] = KEY) -> DataFrame
 
 def motion(trial: DataFrame, p: dict[str, Any]) -> DataFrame:
     """Per positioned frame of the trial: smoothed point, and the step to the next frame when that is positioned."""
-    s = smoothed(trial, int(p["kinematicsSmoothingWindowFrames"]))
+    slim = trial.select(*KEY, "pos", "frame_index", "t", "x", "y", "c_valid", "nominal_dt")
+    s = smoothed(slim, int(p["kinematicsSmoothingWindowFrames"]))
     w = Window.partitionBy(*KEY).orderBy("pos")
-    nxt = F.lead(F.struct("pos", "t", "x", "y", "sx", "sy")).over(w)
-    s = s.withColumn("__n", nxt)
-    n = F.col("__n")
+    cols = ("pos", "t", "x", "y", "sx", "sy")
+    s = s.withColumns({f"__{c}": F.lead(c).over(w) for c in cols})
+    n = {c: F.col(f"__{c}") for c in cols}
     beside = n["pos"] == F.col("pos") + 1
-    return (
-        s.withColumn("step_dt", F.when(beside, n["t"] - F.col("t")))
-        .withColumn("step_px", F.when(beside, G.length(n["x"] - F.col("x"), n["y"] - F.col("y"))))
-        .withColumn("step_smooth_px", F.when(beside, G.length(n["sx"] - F.col("sx"), n["sy"] - F.col("sy"))))
-        .drop("__n")
-    )
+    return s.withColumns(
+        {
+            "step_dt": F.when(beside, n["t"] - F.col("t")),
+            "step_px": F.when(beside, G.length(n["x"] - F.col("x"), n["y"] - F.col("y"))),
+            "step_smooth_px": F.when(beside, G.length(n["sx"] - F.col("sx"), n["sy"] - F.col("sy"))),
+        }
+    ).drop(*[f"__{c}" for c in cols])
 
 
 def kinematics(motion_: DataFrame, trial: DataFrame, bounds: DataFrame, geo: DataFrame, p: dict[str, Any]) -> DataFrame:

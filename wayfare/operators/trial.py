@@ -11,6 +11,7 @@ from wayfare import params as P
 from wayfare.operators.clean import TRACK
 from wayfare.operators.corrections import latest
 from wayfare.operators.timeline import KEY, spread
+from wayfare.session import materialise
 
 
 def _row(pos: Column | str, t: str, number: str) -> Column:
@@ -41,16 +42,16 @@ def auto_starts(clean: DataFrame) -> DataFrame:
 
 def trial_starts(clean: DataFrame, corrections: DataFrame) -> DataFrame:
     """The start that stands per track: the reviewer's when there is one, clamped into the track."""
-    auto = auto_starts(clean)
+    auto = materialise(auto_starts(clean), "auto-starts")
     edit = latest(corrections, "trial_start").select(
         *KEY, F.col("frame_index").alias("named"), F.col("id").alias("start_correction")
     )
-    asked = auto.join(edit, KEY)
+    asked = materialise(auto.join(edit, KEY), "asked-starts")
     numbers = clean.join(
         asked.select(*TRACK, F.col("named").alias("frame_index")), [*TRACK, "frame_index"], "left_semi"
     ).select(*TRACK, F.col("frame_index").alias("named"), F.struct("pos", "t", "frame_index").alias("hit"))
     clamped = F.least(F.greatest(F.lit(0), F.col("named")), F.col("n") - 1)
-    asked = asked.join(numbers, [*TRACK, "named"], "left").withColumn("clamped", clamped)
+    asked = materialise(asked.join(numbers, [*TRACK, "named"], "left").withColumn("clamped", clamped), "asked-starts")
     fallback = asked.filter(F.col("hit").isNull()).select(*TRACK, F.col("clamped").alias("pos"))
     at = clean.join(fallback, [*TRACK, "pos"], "left_semi").select(
         *TRACK, F.struct("pos", "t", "frame_index").alias("held")

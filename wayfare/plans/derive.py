@@ -74,11 +74,14 @@ def cleaned(inputs: Inputs, p: dict[str, Any]) -> dict[str, DataFrame]:
     geo = geometry(inputs.videos, inputs.maze_maps, p).filter(F.col("problem").isNull())
     flat = C.flat_frames(inputs.frames, size)
     spans = C.track_spans(inputs.frames)
-    edits = C.frame_edits(inputs.corrections, inputs.frames, spans)
-    frames = C.both_variants(flat, edits, size)
+    # small tables are written first: their true sizes then decide how the frames are joined to them
+    edits = materialise(C.frame_edits(inputs.corrections, inputs.frames, spans), "edits")
+    fields = materialise(C.edited_fields(edits, size), "fields")
+    frames = C.both_variants(flat, edits, fields)
     per_video = geo.join(spans.select(*KEY, "n"), KEY).join(nominal_dt(flat, KEY), KEY, "left")
+    per_video = materialise(per_video, "per-video")
     clean = clean_tracks(frames, per_video, p, size)
-    return {"geometry": geo, "edits": edits, "clean": clean}
+    return {"geometry": per_video.drop("n", "nominal_dt"), "edits": edits, "clean": clean}
 
 
 def detected(stage: dict[str, DataFrame], bounds: DataFrame, p: dict[str, Any]) -> DataFrame:
@@ -121,11 +124,10 @@ def derive(inputs: Inputs, p: dict[str, Any], with_edits: bool = True) -> Derive
     size = chunk_frames(inputs.frames.sparkSession)
     stage = cleaned(inputs, p)
     stage["clean"] = materialise(stage["clean"], "clean")
-    stage["geometry"] = materialise(stage["geometry"], "geometry")
     clean, geo = stage["clean"], stage["geometry"]
     stage["correction_spans"] = C.correction_spans(inputs.corrections)
 
-    starts = corrected_starts(T.trial_starts(clean, inputs.corrections))
+    starts = materialise(corrected_starts(T.trial_starts(clean, inputs.corrections)), "starts")
     cut = materialise(T.cutoffs(clean, starts, p, size), "cut")
     stage["trial_pieces"] = materialise(E.trial_pieces(E.pieces(clean), cut, size), "pieces")
     stage["runs"] = materialise(E.classify_runs(E.entry_runs(stage["trial_pieces"]), geo, p), "runs")

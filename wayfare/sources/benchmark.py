@@ -92,7 +92,7 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
             s.cast("int").alias("video_order"),
             F.concat(F.lit("clip_"), s.cast("string"), F.lit(".mp4")).alias("filename"),
             F.struct(
-                (F.col("n").cast("bigint") * 1000).alias("byte_length"),
+                ((s % 90) * 1000 + 5000).alias("byte_length"),
                 ((F.col("n") - 1) / FPS).alias("duration_s"),
                 F.col("n").cast("bigint").alias("frame_count"),
                 F.sha2((s % 90).cast("string"), 256).alias("sha256"),
@@ -316,7 +316,7 @@ def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows("pv", s % 6 == 1, "04", "point", frame_index=off + 150, point=F.lit("centroid"),
              x=F.lit(zones[20][0]), y=F.lit(zones[20][1]), confidence=F.lit(1.0), valid=F.lit(True)),
         rows("ns", s % 6 == 1, "03", "point", frame_index=off + 181, point=F.lit("nose"),
-             x=F.lit(zones[5][0]), y=F.lit(zones[5][1]), confidence=F.lit(1.0), valid=F.lit(True)),
+             x=F.lit(zones[4][0]), y=F.lit(zones[4][1]), confidence=F.lit(1.0), valid=F.lit(True)),
         rows("rg", s % 6 == 2, "02", "range", range_type=F.lit("not_visible"),
              start_frame=off + 222, end_frame=off + 240),
         rows("rh", s % 12 == 2, "03", "point", frame_index=off + 230, point=F.lit("centroid"),
