@@ -90,7 +90,7 @@ def test_event_edits(spark):
     assert ev["gone"].hole_index == 8 and ev["gone"].auto_shadow is None and ev["gone"].min_centroid_cm is not None
     assert _flags(d).count("orphaned_correction") == 1 and "confirmation_contradicted" in _flags(d)
     m = _metrics(d)["v"]
-    assert m.correction_count == 5 and m.escaped is False
+    assert m.correction_count == 4 and m.escaped is False
 
 
 def test_range_removes_an_event_and_says_so(spark):
