@@ -242,7 +242,7 @@ def tracking_longest_loss(spark: SparkSession, sf: str) -> DataFrame:
     return r.select(*KEY, "gaps", "start_frame", "end_frame", "frames", rd("duration_s").alias("duration_s"), "last_frame", rp("last_x").alias("last_x"))
 
 
-@query("tracking_summary_line", f"""SELECT {V}, printf('Tracked %.1f%% of frames · %d gap', nt * 100.0::DOUBLE / n, coalesce(gaps, 0)) || CASE WHEN coalesce(gaps, 0) = 1 THEN '' ELSE 's' END || coalesce(' · longest ' || CASE WHEN b.d < 1 THEN printf('%.2f', b.d) ELSE printf('%.1f', b.d) END || ' s starting at ' || printf('%.2f s', b.t), '') AS line,
+@query("tracking_summary_line", f"""SELECT {V}, printf('Tracked %.1f%% of frames · %d gap', floor(nt * 1000.0::DOUBLE / n + 0.5) / 10, coalesce(gaps, 0)) || CASE WHEN coalesce(gaps, 0) = 1 THEN '' ELSE 's' END || coalesce(' · longest ' || CASE WHEN b.d < 1 THEN printf('%.2f', b.d) ELSE printf('%.1f', b.d) END || ' s starting at ' || printf('%.2f s', b.t), '') AS line,
   concat_ws(', ', CASE WHEN n0 > 0 THEN n0 || ' not detected' END, CASE WHEN na > 0 THEN na || ' ambiguous' END, CASE WHEN nl > 0 THEN nl || ' low confidence' END, CASE WHEN nt > 0 THEN nt || ' tracked' END) AS states
   FROM (SELECT s, count(*) AS n, count(*) FILTER (WHERE state = 'tracked') AS nt, count(*) FILTER (WHERE state = 'not_detected') AS n0, count(*) FILTER (WHERE state = 'ambiguous') AS na, count(*) FILTER (WHERE state = 'low_confidence') AS nl FROM k_frames GROUP BY s) q LEFT JOIN k_longest l ON l.s = q.s {JV}""")
 def tracking_summary_line(spark: SparkSession, sf: str) -> DataFrame:
@@ -580,7 +580,7 @@ def incremental_stale(spark: SparkSession, sf: str) -> DataFrame:
     return INC.stale(_stamped(spark, sf), C.params())
 
 
-@query("incremental_export_gate", """SELECT session_id, count(*) FILTER (WHERE s % 7 <> 2) AS analysed, 'the analysis of ' || string_agg(filename, ', ' ORDER BY filename) FILTER (WHERE s % 7 <> 2 AND s % 6 = 4) || ' does not match the parameters in force' AS blocked FROM k_videos GROUP BY session_id""")
+@query("incremental_export_gate", """SELECT session_id, count(*) FILTER (WHERE s % 7 <> 2) AS analysed, count(*) FILTER (WHERE s % 7 <> 2 AND s % 6 = 4) AS stale, CASE WHEN count(*) FILTER (WHERE s % 7 <> 2 AND s % 6 = 4) > 0 THEN printf('the analysis of %d videos does not match the parameters in force', count(*) FILTER (WHERE s % 7 <> 2 AND s % 6 = 4)) END AS blocked FROM k_videos GROUP BY session_id""")
 def incremental_export_gate(spark: SparkSession, sf: str) -> DataFrame:
     return INC.export_gate(C.inputs(spark, sf).videos, _stamped(spark, sf), C.params())
 
@@ -623,14 +623,9 @@ def documents_sessions(spark: SparkSession, sf: str) -> DataFrame:
             F.create_map(F.col("video_id"), F.struct(F.struct(F.lit("h").alias("parametersHash"), F.array().cast(f"array<{SJ.FRAME}>").alias("frames")).alias("auto"), F.struct(F.array().cast(f"array<{SJ.ENTRY}>").alias("entries")).alias("corrections"))).alias("analyses"),
         )
     )
-    texts = v.select("session_id", F.when(s % 4 == 3, F.concat(F.lit("{"), doc)).otherwise(doc).alias("value"))
-    read = SJ.read_sessions(texts.withColumn("value", F.col("value")))
-    name = F.concat(F.lit("session-"), F.substring(F.coalesce("session_id", F.lit("")), 36, 1))
-    bad = texts.filter(F.col("value").startswith("{{")).select("session_id", F.lit("not valid JSON").alias("problem"))
-    good = read.filter(F.coalesce(F.col("problem") != "not valid JSON", F.lit(True))).select(name.alias("session_id"), "problem")
-    n_bad = read.filter(F.col("problem") == "not valid JSON").agg(F.count(F.lit(1)).alias("n"))
-    kept = bad.crossJoin(F.broadcast(n_bad)).filter(F.col("n") > 0).drop("n")
-    return good.unionByName(kept).groupBy("session_id", "problem").agg(F.count(F.lit(1)).alias("documents"))
+    texts = v.select(F.col("session_id").alias("source"), F.when(s % 4 == 3, F.concat(F.lit("{"), doc)).otherwise(doc).alias("value"))
+    read = SJ.read_sessions(texts)
+    return read.groupBy(F.col("source").alias("session_id"), "problem").agg(F.count(F.lit(1)).alias("documents"))
 
 
 @query("documents_frames_roundtrip", f"SELECT {V}, count(*) AS frames, count(*) FILTER (WHERE c_valid) AS positioned, {srd('sum(x)', 'sum_x', 3)} FROM k_frames GROUP BY {V}")
@@ -694,8 +689,9 @@ def cohort_parameter_difference(spark: SparkSession, sf: str) -> DataFrame:
     """Parameters of each session that differ from a second set."""
     from wayfare.operators.cohort import parameter_difference
 
-    a = EX.parameter_sheet(spark, C.params())
-    b = EX.parameter_sheet(spark, C.params(holeInvestigation__radiusFactor=2, trialCutoff_s=120))
-    return B.sessions(spark, sf).select("session_id").crossJoin(F.broadcast(parameter_difference(a, b)))
+    s = B.sessions(spark, sf)
+    a = EX.parameter_sheets(s, C.params())
+    b = EX.parameter_sheets(s, C.params(holeInvestigation__radiusFactor=2, trialCutoff_s=120))
+    return parameter_difference(a, b, ["session_id"])
 
 

@@ -185,3 +185,22 @@ def runs_of(
         starts = starts | broken
     out = carry(df, [Carry("run", F.when(starts, F.col(order)), inclusive=True)], keys, order)
     return out.drop("__code", "prev")
+
+
+def with_halo(
+    df: DataFrame, size: int, chunk_frames: int, keys: Sequence[str] = KEY, order: str = "idx", chunk: str = "chunk"
+) -> DataFrame:
+    """Repeat the rows at most ``size`` from a chunk edge in the chunk next door, marked ``halo``.
+
+    For windows of fixed width over consecutive numbers: compute per (track, chunk), then drop the halo.
+    """
+    place = F.col(order) - F.col(chunk) * chunk_frames
+    copies = F.array_compact(
+        F.array(
+            F.struct(F.col(chunk).alias("c"), F.lit(False).alias("h")),
+            F.when((place < size) & (F.col(chunk) > 0), F.struct((F.col(chunk) - 1).alias("c"), F.lit(True).alias("h"))),
+            F.when(place >= chunk_frames - size, F.struct((F.col(chunk) + 1).alias("c"), F.lit(True).alias("h"))),
+        )
+    )
+    out = df.withColumn("__x", F.explode(copies))
+    return out.select(*[c for c in df.columns if c != chunk], F.col("__x.c").alias(chunk), F.col("__x.h").alias("halo"))

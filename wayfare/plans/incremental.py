@@ -71,15 +71,15 @@ def skip_reasons(asked: DataFrame, videos: DataFrame, maps: DataFrame, tracked:
 
 
 def export_gate(videos: DataFrame, derived: DataFrame, p: dict[str, Any]) -> DataFrame:
-    """Per session, why an export is refused; null when it may go ahead."""
-    s = stale(derived, p).join(videos.select(*KEY, "filename"), KEY)
-    names = s.groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_list("filename")), ", ").alias("names"))
-    done = derived.groupBy("session_id").agg(F.count(F.lit(1)).alias("analysed"))
-    df = videos.select("session_id").distinct().join(done, "session_id", "left").join(names, "session_id", "left")
+    """Per session, why an export is refused; null when it may go ahead. ``stale`` lists the videos."""
+    old = F.col("parameters_hash") != P.parameters_hash(p)
+    done = derived.groupBy("session_id").agg(F.count(F.lit(1)).alias("analysed"), F.count_if(old).alias("stale"))
+    df = videos.select("session_id").distinct().join(done, "session_id", "left")
     blocked = F.when(F.col("analysed").isNull(), "no video has been analysed yet").when(
-        F.col("names").isNotNull(), F.concat(F.lit("the analysis of "), F.col("names"), F.lit(" does not match the parameters in force"))
+        F.col("stale") > 0, F.format_string("the analysis of %d videos does not match the parameters in force", "stale")
     )
-    return df.select("session_id", F.coalesce("analysed", F.lit(0)).alias("analysed"), blocked.alias("blocked"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return df.select("session_id", zero("analysed"), zero("stale"), blocked.alias("blocked"))
 
 
 def clamp_parameters(values: DataFrame, bounds: DataFrame) -> DataFrame:

@@ -45,11 +45,12 @@ def first_problem(*checks: tuple[Column, Column | str]) -> Column:
 
 
 def read_sessions(texts: DataFrame) -> DataFrame:
-    """Parse documents (column ``value``); ``problem`` is null for the usable ones.
+    """Parse documents (column ``value``); ``problem`` is null for the usable ones. Other columns are kept.
 
     Version 1 documents are migrated: acquisition trials without own target or reviewer, a fresh id.
     """
-    d = texts.select("value", F.from_json("value", SESSION, OPTIONS).alias("d"))
+    kept = [c for c in texts.columns if c != "value"]
+    d = texts.select(*kept, "value", F.from_json("value", SESSION, OPTIONS).alias("d"))
     d = d.withColumn("d", F.coalesce("d", F.lit(None)))
     c = lambda n: F.col(f"d.{n}")
     v = c("schemaVersion")
@@ -86,6 +87,7 @@ def read_sessions(texts: DataFrame) -> DataFrame:
     legacy = v == 1
     fresh = F.regexp_replace(F.substring(F.sha2("value", 256), 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     return d.select(
+        *kept,
         "problem",
         F.when(legacy, fresh).otherwise(c("sessionId")).alias("session_id"),
         c("name").alias("name"),
