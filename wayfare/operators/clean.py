@@ -109,8 +109,8 @@ def clean_tracks(frames: DataFrame, per_video: DataFrame, p: dict[str, Any], chu
     per_track = per_video.select("session_id", "video_id", "n", "nominal_dt", *GEOMETRY).withColumn(
         "variant", F.explode(F.array(F.lit("c"), F.lit("a")))
     )
-    # the keys of the windows, so the join needs no exchange of its own
-    df = df.join(spread(per_track, TRACK, chunk_frames), [*TRACK, "chunk"])
+    # the keys of the windows, so the join needs no exchange of its own, and keeps their order
+    df = df.join(spread(per_track, TRACK, chunk_frames).hint("shuffle_hash"), [*TRACK, "chunk"])
     df = find_outliers(df, p).withColumn("seen_raw", F.col("c_valid"))
     if p["gapFilling"]["enabled"]:
         df = _fill(df, p)

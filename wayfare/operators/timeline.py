@@ -68,7 +68,9 @@ def carry(
     some = F.col(far_cols[0]).isNotNull()
     for c in far_cols[1:]:
         some = some | F.col(c).isNotNull()
-    out = df.withColumns(near).join(far.filter(some), [*keys, chunk], "left")
+    # a hash join keeps the order of the rows for the windows that follow; the summary is one row per chunk
+    far = far.filter(some).hint("shuffle_hash")
+    out = df.withColumns(near).join(far, [*keys, chunk], "left")
     names = {s.name for s in specs}
     return out.select(
         *[c for c in df.columns if c not in names],
