@@ -509,3 +509,22 @@ def review_frame_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return B.suppliers(spark, sf).select(s.alias("supplier"), RV.format_ranges(RV.parse_ranges(text)).alias("ranges"))
 
 
+
+
+@query(
+    "review_metric_changes",
+    """WITH m AS (SELECT session_id, video_id, path_cm, total_errors, status, video_id[2:]::INT AS n FROM k_metrics)
+    SELECT session_id, video_id, 'path_length_cm' AS measure, printf('%.1f', path_cm) AS "before", printf('%.1f', path_cm + 7) AS "after" FROM m WHERE n % 5 = 1 AND path_cm IS NOT NULL
+    UNION ALL SELECT session_id, video_id, 'total_errors', total_errors::VARCHAR, '—' FROM m WHERE n % 7 = 2 AND total_errors IS NOT NULL
+    UNION ALL SELECT session_id, video_id, 'status', status, 'ok' FROM m WHERE n % 4 = 3 AND status <> 'ok'""",
+)
+def review_metric_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Measures that read differently between two analyses: the second has some paths, errors and states changed by rule."""
+    before = C.derived(spark, sf).metrics
+    n = F.substring("video_id", 2, 12).cast("int")
+    after = (
+        before.withColumn("path_length_cm", F.when(n % 5 == 1, F.col("path_length_cm") + 7).otherwise(F.col("path_length_cm")))
+        .withColumn("total_errors", F.when(n % 7 != 2, F.col("total_errors")))
+        .withColumn("status", F.when(n % 4 == 3, "ok").otherwise(F.col("status")))
+    )
+    return RV.metric_changes(before, after)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalog import cohort as C
 from catalog import twin_derive as TD
 from catalog.registry import query, rd, rp, srd, srp
-from catalog.twin import CX, CY, PXCM, R
+from catalog.twin import CX, CY, PXCM, R, cte
 from wayfare import params as P
 from wayfare.functions import geometry as G
 from wayfare.operators import clean as CL
@@ -353,6 +353,9 @@ SELECT {V}, {srd("coalesce(f.total, 0)", "tortuosity_rad", 4)} FROM (
 """
 
 
+cte("k_tort", _tort_sql.replace(f"SELECT {V}, {srd('coalesce(f.total, 0)', 'tortuosity_rad', 4)}", "SELECT q.s, coalesce(f.total, 0) AS tort").replace(f"q {JV}", "q"))
+
+
 @query("strategy_tortuosity", _tort_sql)
 def strategy_tortuosity(spark: SparkSession, sf: str) -> DataFrame:
     """Cumulative heading change over the search phase."""
@@ -384,7 +387,25 @@ def strategy_class(spark: SparkSession, sf: str) -> DataFrame:
     return C.derived(spark, sf).strategy.select(*KEY, "auto_strategy", "runner_up", "strategy", "strategy_source")
 
 
-@query("strategy_reasoning")
+_st = TD._st
+_yes = lambda c: f"CASE WHEN {c} THEN 'yes' ELSE 'no' END"
+_verdict = lambda name: f"CASE WHEN auto_strategy = '{name}' THEN 'fired' WHEN {name} THEN 'fired, outranked by ' || auto_strategy ELSE 'did not fire' END"
+_over = """CASE WHEN overridden THEN 'Overridden by the user (correction so-' || s || '): serial — seen on video. Automatic classification: ' || auto_strategy || '.' END"""
+_reason_sql = f"""
+WITH t AS (SELECT c.s, list_filter(CASE WHEN auto_strategy = 'unclassified' THEN [CASE WHEN errors IS NULL THEN 'Not classified: no trial start could be proposed, so there is no trial window.' ELSE 'Not classified: no investigation and no target visit in the trial.' END, {_over}]
+ ELSE [CASE WHEN NOT reached THEN 'The target was never reached, so the class covers the whole trial window.' END,
+  'Over the search phase (to ' || CASE WHEN reached THEN 'the first target visit' ELSE 'the trial end; the target was never reached' END || '): ' || errors || ' error' || CASE WHEN errors = 1 THEN '' ELSE 's' END
+   || ', holes visited ' || CASE WHEN len(seq) > 0 THEN array_to_string(list_transform(seq, lambda e: e.hole), '→') ELSE 'none' END || ', farthest from the target ' || max_hole_distance || ', longest adjacent run ' || longest_run
+   || ', centre crossings ' || centre_crossings || ', path efficiency ' || coalesce(printf('%.2f', path_efficiency), 'n/a') || ', heading change ' || coalesce(printf('%.2f rad', tort), 'n/a') || '.',
+  'spatial ' || {_verdict('spatial')} || ': ' || CASE WHEN reached AND errors = 0 THEN 'direct approach — yes' ELSE 'errors at most {_st['spatialMaxErrors']} — ' || {_yes(f"errors <= {_st['spatialMaxErrors']}")}
+   || '; hole distance at most {_st['spatialMaxHoleDistance']} — ' || {_yes(f"max_hole_distance <= {_st['spatialMaxHoleDistance']}")} || '; centre crossings at most {_st['spatialMaxCentreCrossings']} — ' || {_yes(f"centre_crossings <= {_st['spatialMaxCentreCrossings']}")} END || '.',
+  'serial ' || {_verdict('serial')} || ': adjacent run at least {_st['serialMinRun']} — ' || {_yes('serial')} || '.', 'Classified as ' || auto_strategy || '; runner-up ' || runner_up || '.', {_over}] END, lambda x: x IS NOT NULL) AS lines
+ FROM k_class c LEFT JOIN k_tort USING (s))
+SELECT {V}, i::INT AS line, lines[i + 1] AS sentence FROM (SELECT s, lines, unnest(range(len(lines))) AS i FROM t) q {JV}
+"""
+
+
+@query("strategy_reasoning", _reason_sql)
 def strategy_reasoning(spark: SparkSession, sf: str) -> DataFrame:
     """The sentences behind each class, one row per sentence."""
     r = S.reasoning(C.derived(spark, sf).strategy, C.params())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -695,3 +697,21 @@ def cohort_parameter_difference(spark: SparkSession, sf: str) -> DataFrame:
     return parameter_difference(a, b, ["session_id"])
 
 
+
+
+@query("streaming_selection", f"SELECT {V}, n AS frame_index, reason, rank, true AS accepted FROM k_sel q {JV}")
+def streaming_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """The selection made online: all observations streamed from files, one state per video."""
+    from wayfare.session import stage_folder
+    from wayfare.streaming import online
+
+    t, i, p = _tracking(spark, sf), C.inputs(spark, sf), C.params()
+    frames = i.frames.select(*KEY, F.col("pos").alias("frame_index"), F.col("t_s").alias("t"))
+    obs = SE.observations(frames, t["cand"], t["unions"]).join(t["px"].join(t["expected"], KEY), KEY).withColumn("px", SE.thresholds_struct(p))
+    obs = obs.select(*KEY, "frame_index", "t", "cs", "u", "px")
+    root = f"{stage_folder(spark)}/online-{uuid.uuid4().hex}"
+    obs.write.parquet(f"{root}/in")
+    chosen = online.select_stream(spark.readStream.schema(obs.schema).parquet(f"{root}/in"))
+    q = chosen.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(chosen.schema).parquet(f"{root}/out").select(*KEY, "frame_index", "reason", "rank", "accepted")
