@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import bpe, exact_dedup, mixing, sharding
+from wayfare.llm import bpe, chosen_path, divergence, exact_dedup, language_spans, mixing, sharding
+from wayfare.llm.common import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,9 +28,51 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# ---- 2: quality rules ------------------------------------------------------------------------------------------
+
+
+@query("op2_divergence")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judge(table(spark, sf_dir, "documents"))
+
+
+# ---- 4: language ID --------------------------------------------------------------------------------------------
+
+
+@query("op4_language_spans")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_spans.train(docs.where(~language_spans.held_out("doc_id")))
+    known = docs.select("doc_id", "text")
+    return language_spans.predict(known, model).select("doc_id", language_spans.held_out("doc_id").alias("held_out"), "lang_pred", "score", "n_spans")
+
+
+# ---- 6: n-gram Jaccard join ------------------------------------------------------------------------------------
+
+JOIN_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i+4], ' '))) AS shingle
+  FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * shared >= 4 * (x.n + y.n - shared)),
+r AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reached = l.a),
+k AS (SELECT doc_id, min(reached) AS class_id, count(*) AS class_size FROM r GROUP BY doc_id)
+SELECT k.doc_id, class_id, (SELECT count(*) FROM l WHERE l.a = k.doc_id) AS n_links, coalesce(n.n, 0) AS n_shingles, class_size
+FROM k LEFT JOIN n ON n.doc_id = k.doc_id
+"""
+
+
+@query("op6_chosen_path_join", JOIN_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.join(table(spark, sf_dir, "documents"))
+
+
 # ---- 7: mixing -------------------------------------------------------------------------------------------------
 
 MIX_SQL = r"""

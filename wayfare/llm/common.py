@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,3 +45,22 @@ def numbered(df: DataFrame, order: list[Column], out: str, name: str) -> DataFra
         .withColumn(out, (place + F.col("_before")).cast("long"))
         .drop("_range", "_before")
     )
+
+
+def ship(spark) -> None:
+    """Send this package to the Python workers, unless they find it where the driver does."""
+    root = Path(__file__).resolve().parent.parent.parent
+    seen = [Path(p or ".").resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p]
+    sc = spark.sparkContext
+    if root in seen or sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    with tempfile.TemporaryDirectory() as folder:  # the driver's; Spark copies the file at once and serves it
+        path = Path(folder) / "wayfare.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for file in sorted((root / "wayfare").rglob("*.py")):
+                z.write(file, file.relative_to(root))
+        sc.addPyFile(str(path))
+
+
+_shipped: set[str] = set()
