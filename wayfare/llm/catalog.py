@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import bpe, chosen_path, divergence, exact_dedup, language_spans, mixing, sharding
+from wayfare.llm import bpe, chosen_path, divergence, exact_dedup, language_spans, licences, mixing, ordinal_toxicity, preference, sharding
 from wayfare.llm.common import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# ---- 1: chat formatting ----------------------------------------------------------------------------------------
+
+
+def _render_sql(turns: str) -> str:
+    return f"array_to_string(list_transform({turns}, lambda t: '<|' || coalesce(t.role, 'unknown') || '|>' || chr(10) || coalesce(t.text, '') || '<|end|>' || chr(10)), '')"
+
+
+def _spans_sql(turns: str) -> str:
+    """Start and stop of the assistant's parts, from the lengths of what stands before them."""
+    head, body = "length('<|' || coalesce({t}.role, 'unknown') || '|>') + 1", "length(coalesce({t}.text, '')) + 8"
+    upto = f"coalesce(list_sum(list_transform({turns}[1:i-1], lambda t: {head.format(t='t')} + {body.format(t='t')})), 0)"
+    x = f"{turns}[i]"
+    first = f"{upto} + {head.format(t=f'({x})')}"
+    return (
+        f"array_to_string(list_transform(list_filter(range(1, len({turns}) + 1), lambda i: ({x}).role = 'assistant'), "
+        f"lambda i: ({first})::BIGINT || '-' || ({first} + {body.format(t=f'({x})')})::BIGINT), ',')"
+    )
+
+
+PREFERENCE_SQL = f"""
+WITH c AS (
+  SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS ts FROM conversations GROUP BY conv_id),
+l AS (SELECT *, coalesce(list_max(list_filter(range(1, len(ts) + 1), lambda i: (ts[i]).role = 'assistant')), len(ts) + 1) AS at FROM c),
+p AS (SELECT l.conv_id, l.ts AS a, list_concat(l.ts[1:l.at-1], coalesce(o.ts[o.at:o.at], [])) AS b FROM l LEFT JOIN l o ON o.conv_id = l.conv_id + 1),
+n AS (SELECT *, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[1:i] = b[1:i])) AS n FROM p),
+r AS (SELECT conv_id, n, a[1:n] AS s, a[n+1:] AS x, b[n+1:] AS y FROM n)
+SELECT conv_id, n::INTEGER AS n_shared, {_render_sql('s')} AS prompt, {_render_sql('x')} AS chosen, {_spans_sql('x')} AS chosen_spans,
+       {_render_sql('y')} AS rejected, {_spans_sql('y')} AS rejected_spans FROM r
+"""
+
+
+@query("op1_preference_pairs", PREFERENCE_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = preference.alternatives(preference.turns(table(spark, sf_dir, "conversations")))
+
+    def listed(c: str):
+        return F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["start"], x["stop"])), ",")
+
+    done = preference.formatted(pairs)
+    return done.select("conv_id", "n_shared", "prompt", "chosen", listed("chosen_spans").alias("chosen_spans"), "rejected", listed("rejected_spans").alias("rejected_spans"))
+
+
 # ---- 2: quality rules ------------------------------------------------------------------------------------------
 
 
@@ -40,6 +82,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.judge(table(spark, sf_dir, "documents"))
 
 
+# ---- 3: toxicity -----------------------------------------------------------------------------------------------
+
+
+@query("op3_ordinal_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ordinal_toxicity.score(docs, ordinal_toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 # ---- 4: language ID --------------------------------------------------------------------------------------------
 
 
@@ -51,6 +102,42 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_spans.predict(known, model).select("doc_id", language_spans.held_out("doc_id").alias("held_out"), "lang_pred", "score", "n_spans")
 
 
+# ---- 5: licence scans ------------------------------------------------------------------------------------------
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    lines = f"regexp_replace(lower({text}), {_quoted(licences.COPYRIGHT_LINE)}, ' ', 'g')"
+    plain = f"' ' || trim(regexp_replace({lines}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+    for spelled, same in licences.SPELLINGS.items():
+        if spelled != same:
+            plain = f"replace({plain}, ' {spelled} ', ' {same} ')"
+    return f"trim({plain})"
+
+
+LICENCE_SQL = f"""
+WITH t(licence, text) AS (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in licences.KNOWN)}),
+k AS (SELECT sha256({_canonical_sql('text')}) AS digest, min(licence) AS licence FROM t GROUP BY 1),
+d AS (SELECT doc_id, text, sha256({_canonical_sql('text')}) AS digest FROM documents),
+l AS (SELECT doc_id, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
+n AS (
+  SELECT doc_id, string_agg(k.licence, ',' ORDER BY i) AS notices
+  FROM (SELECT doc_id, i, sha256({_canonical_sql('line')}) AS digest FROM l WHERE line <> '') x JOIN k ON k.digest = x.digest GROUP BY doc_id)
+SELECT d.doc_id, d.digest, k.licence, coalesce(n.notices, '') AS notices FROM d LEFT JOIN k ON k.digest = d.digest LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
+@query("op5_licence_digests", LICENCE_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of each document that is a licence text as a whole, and of each of its lines that is a notice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = licences.known(spark)
+    return licences.notices(licences.lookup(docs, known), known).select("doc_id", "digest", "licence", F.array_join("notices", ",").alias("notices"))
+
+
 # ---- 6: n-gram Jaccard join ------------------------------------------------------------------------------------
 
 JOIN_SQL = r"""
