@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.llm import shingles as S
-from wayfare.llm.common import partitions
+from wayfare.llm.common import free_name, partitions
 from wayfare.session import materialise
 
 THRESHOLD = Fraction(4, 5)
@@ -389,5 +389,6 @@ def join(
 def kept(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One document of each class, the one with the least identifier, with the columns of ``docs``."""
     found = materialise(join(docs, id_col=id_col, **options), "near-classes")
-    gone = found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(small(gone), docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    out = free_name(docs, "_gone")
+    gone = found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(out)).distinct()
+    return docs.join(small(gone), docs[id_col].cast("long") == F.col(out), "left_anti")

@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfare.llm.common import free_name, partitions
+
 BUDGET = 64 << 20
 PARTIAL = "length long, content_hash long, content binary, owner long, copies long"
 OWNERS = "text_sha256 string, keep_id long, group_size long"
@@ -182,8 +184,7 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
         raise ValueError(f"keep is smallest or largest, not {keep!r}")
     narrow = docs.select(F.col(id_col).cast("long"), F.col(text_col))
     partial = narrow.mapInArrow(local_owners(keep == "largest", budget), PARTIAL)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    dealt = partial.repartition(n, "length", "content_hash").sortWithinPartitions("content_hash", "length")
+    dealt = partial.repartition(partitions(docs), "length", "content_hash").sortWithinPartitions("content_hash", "length")
     return dealt.mapInArrow(merged_owners(keep == "largest", budget), OWNERS)
 
 
@@ -198,6 +199,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", budget: int = BUDGET) -> DataFrame:
     """The documents that stay, with the columns of ``docs``; equal rows that all carry the owner's identifier all stay."""
-    own = owners(docs, id_col, text_col, keep, budget).select(F.struct("*").alias("_own"))
+    mine = free_name(docs, "_own")
+    own = owners(docs, id_col, text_col, keep, budget).select(F.struct("*").alias(mine))
     digest = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
-    return docs.join(own, digest == own["_own.text_sha256"]).where(docs[id_col].eqNullSafe(F.col("_own.keep_id"))).select(*[docs[c] for c in docs.columns])
+    joined = docs.join(own, digest == own[f"{mine}.text_sha256"])
+    return joined.where(docs[id_col].cast("long").eqNullSafe(F.col(f"{mine}.keep_id"))).drop(mine)

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfare.llm.common import free_name
+
 #: More known texts than this are joined without a broadcast hint.
 SEND = 10_000
 
@@ -124,12 +126,13 @@ def known_of(texts: DataFrame) -> DataFrame:
 
 
 def lookup(texts: DataFrame, known_texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """``texts`` with digest and licence (null if unknown)."""
+    """``texts`` with digest and licence (null if unknown); columns of these names are replaced."""
     few = known_texts.limit(SEND + 1).count() <= SEND
-    table = known_texts.select(F.struct(F.col("digest").alias("d"), F.col("licence").alias("l")).alias("_known"))
-    table = F.broadcast(table) if few else table
+    mine = free_name(texts, "_known")
+    table = known_texts.select(F.struct(F.col("digest").alias("d"), F.col("licence").alias("l")).alias(mine))
     held = texts.withColumn("digest", digest(F.col(text_col)))
-    return held.join(table, held["digest"] == F.col("_known.d"), "left").withColumn("licence", F.col("_known.l")).drop("_known")
+    joined = held.join(F.broadcast(table) if few else table, held["digest"] == F.col(f"{mine}.d"), "left")
+    return joined.withColumn("licence", F.col(f"{mine}.l")).drop(mine)
 
 
 def notices(texts: DataFrame, known_texts: DataFrame, text_col: str = "text") -> DataFrame:

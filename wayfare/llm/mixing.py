@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import n_words, numbered
+from wayfare.llm.common import free_name, n_words, numbered
 from wayfare.session import materialise
 
 WEIGHTS = (5, 2, 1)
@@ -159,11 +159,11 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of ``docs``."""
     id_col, text_col, source_col = (options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
     _, sources = plan(docs, **options)
-    own = sources.select(F.struct("*").alias("_mix"))
-    d = draw(id_col, text_col, options.get("seed", SEED))
-    times = F.col("_mix.whole") + F.when(d < F.col("_mix.cut"), 1).otherwise(0)
+    mine, time = free_name(docs, "_mix"), free_name(docs, "_time")
+    own = sources.select(F.struct("*").alias(mine))
+    times = F.col(f"{mine}.whole") + F.when(draw(id_col, text_col, options.get("seed", SEED)) < F.col(f"{mine}.cut"), 1).otherwise(0)
     return (
-        docs.join(own, docs[source_col].eqNullSafe(own["_mix.source"]))
-        .withColumn("_time", F.explode(F.array_repeat(F.lit(0), times.cast("int"))))
-        .select(*[docs[c] for c in docs.columns])
+        docs.join(own, docs[source_col].eqNullSafe(own[f"{mine}.source"]))
+        .select(*docs.columns, F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias(time))
+        .drop(time)
     )
