@@ -140,7 +140,7 @@ def leaves(sets: DataFrame, threshold: float, runs: int, depth: int, bucket: int
 
 
 def cells(held: DataFrame, bucket: int) -> DataFrame:
-    """One row per set and block pair to compare; ``part`` is the set's block, -1 if the bucket is one block.
+    """One row per set and block pair to compare; ``part`` is the set's block, -1 where a block meets itself.
 
     A bucket in b blocks has b * (b + 1) / 2 block pairs, and each set goes to the b of its own block.
     """
@@ -152,7 +152,7 @@ def cells(held: DataFrame, bucket: int) -> DataFrame:
         F.transform("leaves", lambda x: x["path"]).alias("paths"),
         "path",
         F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("cell"),
-        F.when(F.col("blocks") == 1, -1).otherwise(F.col("own")).alias("part"),
+        F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("part"),
     )
 
 
@@ -162,7 +162,7 @@ class Cell:
     def __init__(self, path: int, part: np.ndarray, paths: list[list[int]]):
         m = len(part)
         mine = np.triu(np.ones((m, m), bool), 1)
-        if m and part[0] >= 0 and part.min() != part.max():  # two blocks: across only
+        if m and part[0] >= 0:  # two blocks, one of which may have no set here: across only
             mine &= part[:, None] != part[None, :]
         earlier: dict[int, list[int]] = {}
         for i, own in enumerate(paths):
