@@ -39,7 +39,7 @@ THRESHOLD = Fraction(4, 5)
 RECALL = 0.995
 COORDINATES = 64
 DEPTH = 3
-BUCKET = 400
+BUCKET = 200
 #: A child that keeps this share of its parent's sets is not split again.
 STAYS = 0.6
 #: Standard deviations of agreeing minima below the threshold's mean at which a pair is still compared exactly.
