@@ -17,7 +17,7 @@ def test_spelling_case_marks_and_copyright_lines_do_not_matter(spark):
 def test_permission_text_that_speaks_of_copyright_stays(spark):
     # only whole copyright lines go: "COPYRIGHT HOLDERS BE LIABLE" begins a line of the text itself in one layout
     flat = " ".join(L.MIT.split())
-    assert look(spark, [flat, flat.replace("notice", "note")]) == {0: ("MIT", []), 1: (None, [])}
+    assert look(spark, [flat, flat.replace("notice", "note")]) == {0: ("MIT", ["MIT"]), 1: (None, [])}
 
 
 def test_notices_are_whole_lines(spark):

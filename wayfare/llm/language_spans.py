@@ -275,7 +275,7 @@ def per_text(model: Model, slots: int, switch: int):
         names = [model.langs[b] if n and model.langs else UND for b, n in zip(best, total, strict=True)]
         cut = np.ones(len(lang), bool)
         cut[1:] = (lang[1:] != lang[:-1]) | (w.text[1:] != w.text[:-1])
-        at = np.flatnonzero(cut)
+        at = np.flatnonzero(cut) if model.langs else np.zeros(0, np.int64)
         return names, [s if m != UND else 0.0 for s, m in zip(score.tolist(), names, strict=True)], w, lang, at
 
     return label

@@ -25,6 +25,7 @@ SPELLINGS = {
     "licence": "license",
     "licences": "licenses",
     "licenced": "licensed",
+    "sublicence": "sublicense",
     "sub license": "sublicense",
     "sub licensed": "sublicensed",
     "acknowledgement": "acknowledgment",
@@ -33,7 +34,6 @@ SPELLINGS = {
     "copyright owner": "copyright holder",
     "favour": "favor",
     "fulfil": "fulfill",
-    "merchantability": "merchantability",
     "noncommercial": "non commercial",
     "organisation": "organization",
     "per cent": "percent",
@@ -98,8 +98,9 @@ KNOWN = [
     ("all-rights-reserved", "All rights reserved."),
 ]
 
-#: A line that only says whose the rights are: it begins with the word or the sign, after any comment marks.
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n(©]*(copyright\b|\(c\)|©)[^\n]*$"
+#: A line that says whose the rights are: after any comment marks "copyright" with a sign, a year or "by", or the sign
+#: with a year. Lines of running text that happen to begin with the word stay.
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n(©]*(?:copyright[ \t,:]*(?:\(c\)|©|by\b|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©)[^\n]*$"
 
 
 def canonical(text: Column) -> Column:

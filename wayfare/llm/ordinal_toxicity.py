@@ -13,7 +13,7 @@ The labels at hand say toxic or not. ``graded`` makes grades from them: 0 for ro
 rows at least ``MARK_RATIO`` times that of the others), cut at the sample's quantiles.
 
 Defined cases: a null text has no features; labels of identifiers that are null or without a row are not used;
-without toxic or without other labels every severity is 0; repeated rows get equal results; an empty table gives
+without toxic labels, without others or without a telling word every severity is 0; repeated rows get equal results; an empty table gives
 an empty result. Only the columns named are read.
 """
 
@@ -52,7 +52,7 @@ class Model:
         known = self.weights
         seen = Counter(w for w in words((text or "").lower()) if w in known)
         s = sum(known[w] * math.log2(1 + n) for w, n in sorted(seen.items()))
-        return [1 / (1 + math.exp(min(700.0, c - s))) for c in self.cuts]
+        return [0.0 if c == math.inf else 1 / (1 + math.exp(min(700.0, c - s))) for c in self.cuts]
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int = SAMPLE) -> list[tuple[int, dict[str, int]]]:
@@ -105,6 +105,8 @@ def fit(rows: list[tuple[int, dict[str, int]]], grades: np.ndarray, penalty: flo
         return a + b >= min_docs and abs(a / n_bad - b / n_good) >= LEAST_Z * math.sqrt(share * (1 - share) * (1 / n_bad + 1 / n_good) + 1e-12)
 
     vocabulary = sorted(w for w in bad.keys() | good.keys() if tells(w))
+    if not vocabulary:
+        return Model({}, [math.inf])
     place = {w: i for i, w in enumerate(vocabulary)}
     row = np.concatenate([np.full(sum(w in place for w in c), i, np.int32) for i, (_, c) in enumerate(rows)] or [np.zeros(0, np.int32)])
     col = np.array([place[w] for _, c in rows for w in c if w in place], np.int32)

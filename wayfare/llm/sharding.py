@@ -60,7 +60,7 @@ def rebalanced(shard_of: list[int], sizes: dict[int, int], shards: int) -> list[
         for slot in sorted(held[giver], key=lambda s: (-sizes.get(s, 0), s)):
             size = sizes.get(slot, 0)
             taker = min(range(shards), key=lambda s: (load[s], s))
-            if size and taker != giver and load[giver] - size >= mean * 0.999 and load[taker] + size < load[giver]:
+            if size and taker != giver and load[giver] - size >= mean * 0.999 and load[taker] + size <= mean:
                 out[slot] = taker
                 load[giver] -= size
                 load[taker] += size
