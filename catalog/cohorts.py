@@ -140,7 +140,7 @@ def cohort_points(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "cohort_captions",
     """SELECT session_id, measure, printf('n = %d of %d', count(value), count(*)) || CASE WHEN count(*) FILTER (WHERE excluded = 'unresolved') > 0 THEN printf('; %d unresolved', count(*) FILTER (WHERE excluded = 'unresolved')) ELSE '' END
-    || CASE WHEN count(*) FILTER (WHERE excluded = 'no_value') > 0 THEN printf('; %d with no value for this measure', count(*) FILTER (WHERE excluded = 'no_value')) ELSE '' END AS caption FROM k_points GROUP BY session_id, measure""",
+    || CASE WHEN count(*) FILTER (WHERE excluded = 'no_value') > 0 THEN printf('; %d without value', count(*) FILTER (WHERE excluded = 'no_value')) ELSE '' END AS caption FROM k_points GROUP BY session_id, measure""",
 )
 def cohort_captions(spark: SparkSession, sf: str) -> DataFrame:
     return CH.captions(_points(spark, sf), ["session_id", "measure"]).select("session_id", "measure", "caption")
@@ -446,10 +446,10 @@ def review_ending_entry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _why = {
-    "escaped": ("escaped", "not available for this trial"), "primary_latency_s": ("primary_latency_s", "the target was never reached"),
-    "total_latency_s": ("total_latency_s", "no escape entry ended the trial"), "primary_errors": ("primary_errors", "not available for this trial"),
+    "escaped": ("escaped", "not available for this trial"), "primary_latency_s": ("primary_latency_s", "target not reached"),
+    "total_latency_s": ("total_latency_s", "no ending entry"), "primary_errors": ("primary_errors", "not available for this trial"),
     "total_errors": ("total_errors", "not available for this trial"), "path_length_cm": ("path_cm", "not available for this trial"),
-    "mean_speed_cm_per_s": ("mean_speed_cm_s", "no tracked time inside the trial"), "tracked_fraction": ("tracked_fraction", "not available for this trial"),
+    "mean_speed_cm_per_s": ("mean_speed_cm_s", "no tracked time in the trial"), "tracked_fraction": ("tracked_fraction", "not available for this trial"),
 }
 
 

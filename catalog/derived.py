@@ -392,7 +392,7 @@ _yes = lambda c: f"CASE WHEN {c} THEN 'yes' ELSE 'no' END"
 _verdict = lambda name: f"CASE WHEN auto_strategy = '{name}' THEN 'fired' WHEN {name} THEN 'fired, outranked by ' || auto_strategy ELSE 'did not fire' END"
 _over = """CASE WHEN overridden THEN 'Overridden by the user (correction so-' || s || '): serial — seen on video. Automatic classification: ' || auto_strategy || '.' END"""
 _reason_sql = f"""
-WITH t AS (SELECT c.s, list_filter(CASE WHEN auto_strategy = 'unclassified' THEN [CASE WHEN errors IS NULL THEN 'Not classified: no trial start could be proposed, so there is no trial window.' ELSE 'Not classified: no investigation and no target visit in the trial.' END, {_over}]
+WITH t AS (SELECT c.s, list_filter(CASE WHEN auto_strategy = 'unclassified' THEN [CASE WHEN errors IS NULL THEN 'No class: the trial has no start.' ELSE 'No class: the trial has neither an investigation nor a target visit.' END, {_over}]
  ELSE [CASE WHEN NOT reached THEN 'The target was never reached, so the class covers the whole trial window.' END,
   'Over the search phase (to ' || CASE WHEN reached THEN 'the first target visit' ELSE 'the trial end; the target was never reached' END || '): ' || errors || ' error' || CASE WHEN errors = 1 THEN '' ELSE 's' END
    || ', holes visited ' || CASE WHEN len(seq) > 0 THEN array_to_string(list_transform(seq, lambda e: e.hole), '→') ELSE 'none' END || ', farthest from the target ' || max_hole_distance || ', longest adjacent run ' || longest_run

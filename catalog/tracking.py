@@ -44,7 +44,7 @@ cte("k_blobs", f"""SELECT *, sqrt((cx - {CX}) ** 2 + (cy - {CY}) ** 2) >= {R} -
   area * cx AS sum_x, area * cy AS sum_y, area * (area / 20 + cx * cx) AS sum_xx, area * (area / 40 + cy * cy) AS sum_yy, area * (area * ((n % 5 - 2) / 160.0::DOUBLE) + cx * cy) AS sum_xy FROM k_blob0""")
 T = P.DEFAULTS["tracking"]
 A2 = f"({PXCM} * {PXCM})"
-cte("k_cand", f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s, n ORDER BY area DESC, fi) - 1 AS rank FROM k_blobs WHERE area >= {T['minBlobArea_cm2']} * {A2}) WHERE rank < 8""")
+cte("k_cand", f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s, n ORDER BY area DESC, fi) - 1 AS rank FROM k_blobs WHERE area >= {T['minBlobArea_cm2']} * {A2})""")
 
 
 def _ellipse(p: str = "") -> str:
@@ -292,11 +292,12 @@ def background_threshold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("background_contamination", f"""SELECT {V}, n AS frame_index, fi AS first_index, {srd('area / typical', 'ratio')}, (cnt >= 2 AND area / typical >= 1.5) OR (area / typical >= 1 AND area <= {T['maxBlobArea_cm2']} * {A2} AND major / minor >= 1.8) AS flagged FROM
-  (SELECT k.*, list_sort(list(area) OVER (PARTITION BY s))[((count(*) OVER (PARTITION BY s) + 1) // 2)::INT] AS typical, count(*) OVER (PARTITION BY s) AS cnt FROM (SELECT s, n, fi, area, rim, {_ellipse()} FROM k_blobs WHERE area >= {T['minBlobArea_cm2']} * {A2} AND NOT rim AND n % 40 = 0) k) q {JV}""")
+  (SELECT k.*, g.typical, g.cnt FROM (SELECT s, n, fi, area, rim, {_ellipse()} FROM k_blobs WHERE area >= {T['minBlobArea_cm2']} * {A2} AND NOT rim) k
+   JOIN (SELECT s, list_sort(list(area))[((count(*) + 1) // 2)::INT] AS typical, count(*) AS cnt FROM k_blobs WHERE area >= {T['minBlobArea_cm2']} * {A2} AND NOT rim GROUP BY s) g ON g.s = k.s) q {JV}""")
 def background_contamination(spark: SparkSession, sf: str) -> DataFrame:
     """Blobs too large or too long to be holes, over the blobs of a stand-in background."""
     e = SE.ellipse(*[F.col(c) for c in ("area", "sum_x", "sum_y", "sum_xx", "sum_yy", "sum_xy")])
-    b = B.blobs(C.inputs(spark, sf).frames).filter(F.col("frame_index") % 40 == 0).withColumn("e", e)
+    b = B.blobs(C.inputs(spark, sf).frames).withColumn("e", e)
     b = b.withColumn("elongation", F.col("e.major") / F.col("e.minor")).join(C.clean(spark, sf)["geometry"].select(*KEY, "px_per_cm"), KEY)
     return BG.contamination(b, C.params()).select(*KEY, "frame_index", "first_index", rd("ratio").alias("ratio"), "flagged")
 
@@ -582,7 +583,7 @@ def incremental_stale(spark: SparkSession, sf: str) -> DataFrame:
     return INC.stale(_stamped(spark, sf), C.params())
 
 
-@query("incremental_export_gate", """SELECT session_id, count(*) FILTER (WHERE s % 7 <> 2) AS analysed, count(*) FILTER (WHERE s % 7 <> 2 AND s % 6 = 4) AS stale, CASE WHEN count(*) FILTER (WHERE s % 7 <> 2 AND s % 6 = 4) > 0 THEN printf('the analysis of %d videos does not match the parameters in force', count(*) FILTER (WHERE s % 7 <> 2 AND s % 6 = 4)) END AS blocked FROM k_videos GROUP BY session_id""")
+@query("incremental_export_gate", """SELECT session_id, count(*) FILTER (WHERE s % 7 <> 2) AS analysed, count(*) FILTER (WHERE s % 7 <> 2 AND s % 6 = 4) AS stale, CASE WHEN count(*) FILTER (WHERE s % 7 <> 2 AND s % 6 = 4) > 0 THEN printf('%d videos analysed under other parameters', count(*) FILTER (WHERE s % 7 <> 2 AND s % 6 = 4)) END AS blocked FROM k_videos GROUP BY session_id""")
 def incremental_export_gate(spark: SparkSession, sf: str) -> DataFrame:
     return INC.export_gate(C.inputs(spark, sf).videos, _stamped(spark, sf), C.params())
 
@@ -595,7 +596,7 @@ def incremental_changed_inputs(spark: SparkSession, sf: str) -> DataFrame:
     return INC.changed_inputs(v, after)
 
 
-@query("incremental_skip_reasons", f"SELECT {V}, CASE WHEN s % 8 = 5 THEN 'this video is not in the session' WHEN s % 8 = 6 THEN 'the maze has not been finished yet' WHEN s % 8 = 7 THEN 'this video has not been tracked yet' END AS reason FROM k_sup")
+@query("incremental_skip_reasons", f"SELECT {V}, CASE WHEN s % 8 = 5 THEN 'unknown video' WHEN s % 8 = 6 THEN 'map missing' WHEN s % 8 = 7 THEN 'track missing' END AS reason FROM k_sup")
 def incremental_skip_reasons(spark: SparkSession, sf: str) -> DataFrame:
     i = C.inputs(spark, sf)
     s = F.substring("video_id", 2, 12).cast("int")

@@ -53,7 +53,7 @@ def _correction(r: tuple) -> str:
         f"SELECT s, session_id, video_id, n, off, '{tag}-' || s AS id, '2026-01-{day}T10:00:00Z' AS ts, '{kind}' AS kind, "
         f"CASE WHEN s % 3 <> 2 THEN 'rev-' || (s % 3) END AS reviewer, ({lo})::INT AS lo_no, ({hi})::INT AS hi_no, "
         f"{what} AS what, {x}::DOUBLE AS x, {y}::DOUBLE AS y, {conf}::DOUBLE AS conf, {valid}::BOOLEAN AS valid, {rt} AS range_type "
-        f"FROM k_sup WHERE n > 420 AND {when}"
+        f"FROM k_sup WHERE {when}"
     )
 
 

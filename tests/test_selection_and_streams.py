@@ -119,7 +119,7 @@ def test_files_are_matched_by_content(spark, tmp_path):
     (tmp_path / "b.avi").write_bytes(b"two")
     files = intake.read_files(spark, str(tmp_path))
     t = {r.path[-5:]: (r.accepted, r.hint) for r in intake.triage(files).collect()}
-    assert t["a.mp4"] == (True, None) and t["b.avi"] == (False, "re-encode as H.264 MP4")
+    assert t["a.mp4"] == (True, None) and t["b.avi"] == (False, "convert to MP4 with H.264")
     v = spark.createDataFrame([("s", "v", 3, "7692c3ad3540bb803c020b3aee66cd8887123234ea0c6e7143c0add73ff431ed")], "session_id string, video_id string, n bigint, h string")
     v = v.select(*KEY, F.struct(F.col("n").alias("byte_length"), F.col("h").alias("sha256")).alias("fingerprint"))
     assert intake.match(files, v).select("video_id").collect()[0].video_id == "v"

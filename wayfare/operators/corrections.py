@@ -86,12 +86,12 @@ def out_of_range_flags(edits: DataFrame) -> DataFrame:
     message = F.when(
         point,
         F.format_string(
-            "Point correction %s names frame %d, outside this track of %d frames; ignored.",
+            "%s (point) skipped: frame %d is not among the track's %d frames.",
             "id", F.col("lo_no"), F.col("n"),
         ),
     ).otherwise(
         F.format_string(
-            "Range correction %s covers frames %d–%d, outside this track of %d frames; ignored.",
+            "%s (range) skipped: frames %d–%d miss the track's %d frames.",
             "id", F.col("lo_no"), F.col("hi_no"), F.col("n"),
         )
     )

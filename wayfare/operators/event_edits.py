@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from wayfare.functions.numbers import fmt
 from wayfare.operators.clean import TRACK
 from wayfare.operators.events import span_distances
-from wayfare.operators.timeline import KEY
+from wayfare.operators.timeline import KEY, overlaps
 
 # the fold travels with its task, so workers need not have the package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -72,7 +72,7 @@ def _fold(key: tuple, events: pd.DataFrame, edits: pd.DataFrame) -> pd.DataFrame
         if c.action == "add":
             spot = (_int(c.lo), _int(c.hi))
             if hole is None or None in spot or spot[0] > spot[1] or not 0 <= hole < holes:
-                flag("orphaned_correction", c, f"Event correction {c.id} adds an event without a valid hole and frame span inside this track; ignored.")
+                flag("orphaned_correction", c, f"{c.id} (add) skipped: hole or frame span is not on this track.")
                 continue
             live.append(
                 _event(c, f"user-{c.id}", "investigation", hole, spot, c, source="corrected",
@@ -82,28 +82,28 @@ def _fold(key: tuple, events: pd.DataFrame, edits: pd.DataFrame) -> pd.DataFrame
             continue
         if c.action == "edit" and _text(c.new_kind) == "tracking_failure":
             if target is None or target["kind"] != "escape_entry":
-                why = "that event no longer exists" if target is None else "only an escape entry can be reclassified"
-                flag("orphaned_correction", c, f"Event correction {c.id} reclassifies event {named} as a tracking failure, but {why}; ignored.")
+                why = "no such event now" if target is None else f"a {target['kind']} has no failure reading"
+                flag("orphaned_correction", c, f"{c.id} (tracking failure for {named}) skipped: {why}.")
                 continue
             base = target["auto_shadow"] or _span_of(target)
             auto_kind = base.get("kind") or target["kind"]
             base = {**base, "kind": None if auto_kind == "tracking_failure" else auto_kind}
             target.update(
                 kind="tracking_failure", source="corrected", confirmed=False, auto_shadow=base,
-                evidence=f"Reclassified by the user (correction {c.id}) from an escape entry to a tracking failure. The entry's reading was: {target['evidence']}",
+                evidence=f"{c.id} turned this escape entry into a tracking failure. Before: {target['evidence']}",
             )
             continue
         if c.action == "edit" and c.confirmed is True:
             if target is None:
-                flag("confirmation_contradicted", c, f"The confirmation {c.id} names event {named}, which no longer exists under the current parameters.")
+                flag("confirmation_contradicted", c, f"{c.id} confirms {named}, but these parameters give no such event.")
             elif target["kind"] == "tracking_failure":
-                flag("orphaned_correction", c, f"The confirmation {c.id} names {named}, a tracking failure, which cannot be confirmed; ignored.")
+                flag("orphaned_correction", c, f"{c.id} (confirm) skipped: {named} is a tracking failure.")
             else:
                 target["confirmed"] = True
             continue
         if c.action == "delete":
             if target is None:
-                flag("orphaned_correction", c, f"Event correction {c.id} deletes event {named}, which no longer exists under the current parameters; nothing was removed.")
+                flag("orphaned_correction", c, f"{c.id} (delete) had nothing to do: these parameters give no event {named}.")
             else:
                 live = [e for e in live if e is not target]
             continue
@@ -114,7 +114,7 @@ def _fold(key: tuple, events: pd.DataFrame, edits: pd.DataFrame) -> pd.DataFrame
         hi = (_int(c.hi), _int(c.end_frame), c.hi_t) if _int(c.end_frame) is not None else (
             (target["end_pos"], target["end_frame"], target["end_t"]) if target else (None, None, None))
         if lo[0] is None or hi[0] is None or lo[0] > hi[0] or (hole is not None and not 0 <= hole < holes):
-            flag("orphaned_correction", c, f"Event correction {c.id} edits event {named} but names no valid hole and frame span inside this track; ignored.")
+            flag("orphaned_correction", c, f"{c.id} (edit of {named}) skipped: hole or frame span is not on this track.")
             continue
         new = _event(
             c, target["event_id"] if target else (named or f"user-{c.id}"), target["kind"] if target else "investigation",
@@ -126,7 +126,7 @@ def _fold(key: tuple, events: pd.DataFrame, edits: pd.DataFrame) -> pd.DataFrame
         if target is None:
             over = [e["event_id"] for e in live if e["source"] == "auto" and e["start_frame"] <= hi[1] and lo[1] <= e["end_frame"]]
             if over:
-                flag("orphaned_correction", c, f"Event correction {c.id} edits event {named}, which no longer exists; its values are kept as pinned over frames {lo[1]}–{hi[1]}, where {', '.join(over)} also sit.")
+                flag("orphaned_correction", c, f"{c.id} edits {named}, which these parameters do not give; its span {lo[1]}–{hi[1]} stays, together with {', '.join(over)}.")
             live.append(new)
         else:
             new["evidence_corrected"] = target["evidence_corrected"]
@@ -184,11 +184,12 @@ def locate(edits: DataFrame, clean: DataFrame) -> DataFrame:
 def event_edits(corrections: DataFrame, clean: DataFrame, geo: DataFrame, spans: DataFrame) -> DataFrame:
     """The event corrections with what the fold needs to know about the track."""
     edits = locate(corrections.filter(F.col("kind") == "event"), clean)
+    named = edits.filter(F.col("start_frame").isNotNull() & F.col("end_frame").isNotNull()).select(
+        *KEY, "id", F.col("start_frame").alias("a"), F.col("end_frame").alias("z")
+    )
+    about = spans.select(*KEY, F.col("id").alias("sid"), "timestamp", "span_start", "span_end")
     hit = (
-        edits.filter(F.col("start_frame").isNotNull() & F.col("end_frame").isNotNull())
-        .select(*KEY, "id", F.col("start_frame").alias("a"), F.col("end_frame").alias("z"))
-        .join(spans.select(*KEY, F.col("id").alias("sid"), "timestamp", "span_start", "span_end"), KEY)
-        .filter((F.col("span_start") <= F.col("z")) & (F.col("a") <= F.col("span_end")))
+        overlaps(named, about, ("a", "z"), ("span_start", "span_end"))
         .groupBy(*KEY, "id")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("timestamp", "sid"))), lambda v: v["sid"]).alias("touched"))
     )

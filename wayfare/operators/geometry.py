@@ -76,7 +76,7 @@ def geometry(videos: DataFrame, maps: DataFrame, p: dict[str, Any]) -> DataFrame
         F.when(target.isNotNull() & ~whole(target), F.lit("the video's target must name one of the holes")),
         F.when(
             ~((F.col("platform.r") > 0) & (F.col("platform_diameter_cm") > 0)),
-            F.lit("cannot calibrate: radius and diameter must both be positive"),
+            F.lit("no scale: platform radius or diameter is not above zero"),
         ),
         F.when(~(F.col("hole_radius_px") > 0), F.lit("the hole radius must be positive")),
     )

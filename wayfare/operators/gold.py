@@ -29,45 +29,113 @@ THRESHOLDS = {
     "outlier_velocity_threshold_cm_per_s": "outlierVelocityThreshold_cmPerS",
 }
 
-# The exported columns in order, as "header:unit" (no unit when empty).
-TRIAL_COLUMNS = (
-    "session_id session_name video_id animal day trial_label group trial_type target_hole:hole_index "
-    "trial_start_s:s primary_latency_s:s total_latency_s:s primary_errors:count total_errors:count "
-    "path_length_cm:cm path_length_smoothed_cm:cm mean_speed_cm_per_s:cm/s target_quadrant_time_s:s strategy "
-    "strategy_source escaped:bool no_escape_confirmed:bool no_escape_confirmed_by status review_flags "
-    "tracked_fraction:0–1 correction_count:count hole_investigation_radius_factor:×_hole_radius "
-    "hole_investigation_min_duration_s:s hole_investigation_merge_gap_s:s escape_entry_radius_factor:×_hole_radius "
-    "escape_entry_min_duration_s:s escape_entry_persist_cutoff_s:s trial_cutoff_s:s target_quadrant_hole_span:holes "
-    "gap_fill_max_duration_s:s nose_confidence_cutoff:0–1 outlier_velocity_threshold_cm_per_s:cm/s tool_version "
-    "schema_version parameters_hash"
-)
-EVENT_COLUMNS = (
-    "session_id session_name video_id trial_label event_id kind hole_index is_target:bool start_frame end_frame "
-    "start_time_s:s end_time_s:s duration_s:s point_used min_nose_distance_cm:cm min_centroid_distance_cm:cm "
-    "evidence_summary source evidence_corrected:bool correction_ids confirmed:bool reviewer auto_hole_index "
-    "auto_start_frame auto_end_frame tool_version schema_version parameters_hash"
-)
-QUALITY_COLUMNS = (
-    "session_id session_name video_id tracked_fraction:0–1 not_detected_fraction:0–1 ambiguous_fraction:0–1 "
-    "low_confidence_fraction:0–1 positioned_fraction:0–1 whole_clip_positioned_fraction:0–1 "
-    "nose_judged_event_fraction:0–1 gap_count:count longest_gap_s:s duplicate_timestamp_count:count "
-    "dropped_frame_gap_count:count drift_s:s platform_diameter_cm:cm px_per_cm:px/cm tier tool_version "
-    "schema_version parameters_hash"
-)
+# The exported columns in order, each with its unit.
+TRIAL_COLUMNS = [
+    ("session_id", ""),
+    ("session_name", ""),
+    ("video_id", ""),
+    ("animal", ""),
+    ("day", ""),
+    ("trial_label", ""),
+    ("group", ""),
+    ("trial_type", ""),
+    ("target_hole", "hole index"),
+    ("trial_start_s", "s"),
+    ("primary_latency_s", "s"),
+    ("total_latency_s", "s"),
+    ("primary_errors", "count"),
+    ("total_errors", "count"),
+    ("path_length_cm", "cm"),
+    ("path_length_smoothed_cm", "cm"),
+    ("mean_speed_cm_per_s", "cm/s"),
+    ("target_quadrant_time_s", "s"),
+    ("strategy", ""),
+    ("strategy_source", ""),
+    ("escaped", "bool"),
+    ("no_escape_confirmed", "bool"),
+    ("no_escape_confirmed_by", ""),
+    ("status", ""),
+    ("review_flags", ""),
+    ("tracked_fraction", "0–1"),
+    ("correction_count", "count"),
+    ("hole_investigation_radius_factor", "× hole radius"),
+    ("hole_investigation_min_duration_s", "s"),
+    ("hole_investigation_merge_gap_s", "s"),
+    ("escape_entry_radius_factor", "× hole radius"),
+    ("escape_entry_min_duration_s", "s"),
+    ("escape_entry_persist_cutoff_s", "s"),
+    ("trial_cutoff_s", "s"),
+    ("target_quadrant_hole_span", "holes"),
+    ("gap_fill_max_duration_s", "s"),
+    ("nose_confidence_cutoff", "0–1"),
+    ("outlier_velocity_threshold_cm_per_s", "cm/s"),
+    ("tool_version", ""),
+    ("schema_version", ""),
+    ("parameters_hash", ""),
+]
+EVENT_COLUMNS = [
+    ("session_id", ""),
+    ("session_name", ""),
+    ("video_id", ""),
+    ("trial_label", ""),
+    ("event_id", ""),
+    ("kind", ""),
+    ("hole_index", ""),
+    ("is_target", "bool"),
+    ("start_frame", ""),
+    ("end_frame", ""),
+    ("start_time_s", "s"),
+    ("end_time_s", "s"),
+    ("duration_s", "s"),
+    ("point_used", ""),
+    ("min_nose_distance_cm", "cm"),
+    ("min_centroid_distance_cm", "cm"),
+    ("evidence_summary", ""),
+    ("source", ""),
+    ("evidence_corrected", "bool"),
+    ("correction_ids", ""),
+    ("confirmed", "bool"),
+    ("reviewer", ""),
+    ("auto_hole_index", ""),
+    ("auto_start_frame", ""),
+    ("auto_end_frame", ""),
+    ("tool_version", ""),
+    ("schema_version", ""),
+    ("parameters_hash", ""),
+]
+QUALITY_COLUMNS = [
+    ("session_id", ""),
+    ("session_name", ""),
+    ("video_id", ""),
+    ("tracked_fraction", "0–1"),
+    ("not_detected_fraction", "0–1"),
+    ("ambiguous_fraction", "0–1"),
+    ("low_confidence_fraction", "0–1"),
+    ("positioned_fraction", "0–1"),
+    ("whole_clip_positioned_fraction", "0–1"),
+    ("nose_judged_event_fraction", "0–1"),
+    ("gap_count", "count"),
+    ("longest_gap_s", "s"),
+    ("duplicate_timestamp_count", "count"),
+    ("dropped_frame_gap_count", "count"),
+    ("drift_s", "s"),
+    ("platform_diameter_cm", "cm"),
+    ("px_per_cm", "px/cm"),
+    ("tier", ""),
+    ("tool_version", ""),
+    ("schema_version", ""),
+    ("parameters_hash", ""),
+]
 TABLES = {"trials": TRIAL_COLUMNS, "events": EVENT_COLUMNS, "quality": QUALITY_COLUMNS}
 
 
 def headers(table: str) -> list[str]:
-    return [c.split(":")[0] for c in TABLES[table].split()]
+    return [header for header, _ in TABLES[table]]
 
 
 def catalogue(spark: Any) -> DataFrame:
     """(table, position, header, unit) of every exported column."""
-    rows = []
-    for table, columns in TABLES.items():
-        for i, c in enumerate(columns.split()):
-            header, _, unit = c.partition(":")
-            rows.append((table, i, header, unit.replace("_", " ")))
+    rows = [(table, i, header, unit) for table, columns in TABLES.items() for i, (header, unit) in enumerate(columns)]
     return spark.createDataFrame(rows, "table_name string, position int, header string, unit string")
 
 

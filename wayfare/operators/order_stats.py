@@ -1,7 +1,8 @@
 """Exact order statistics per group without collecting a group.
 
-Equal values are counted before the shuffle; the counts are ranked in value buckets, so even a
-group of billions of distinct values is split over tasks.
+Equal values are counted before the shuffle. Groups of many distinct values are cut into value buckets whose
+limits come from a mergeable quantile sketch of those values, so that buckets hold about equally many however the
+values lie; ranks are then exact inside the buckets that hold a wanted one.
 """
 
 from __future__ import annotations
@@ -11,7 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+BUCKETS = 64
+#: Groups of at most this many distinct values are one bucket.
+WHOLE = 4096
+#: Rank error of the sketch that chooses the limits; the limits need not be exact, the answer is.
+ACCURACY = 2000
 
 
 def order_statistics(
@@ -28,14 +33,14 @@ def order_statistics(
         .groupBy(*keys, "__v")
         .agg(F.count(F.lit(1)).alias("__c"))
     )
-    range_ = counts.groupBy(*keys).agg(
-        F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__c").alias("n")
-    )
-    bucket = F.when(F.col("__hi") > F.col("__lo"), F.least(
-        F.lit(BUCKETS - 1),
-        F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * BUCKETS),
-    )).otherwise(F.lit(0)).cast("int")
-    binned = counts.join(range_, keys).withColumn("__b", bucket)
+    totals = counts.groupBy(*keys).agg(F.sum("__c").alias("n"), F.count(F.lit(1)).alias("__d"))
+    large = totals.filter(F.col("__d") > WHOLE).select(*keys)
+    steps = [k / BUCKETS for k in range(1, BUCKETS)]
+    limits = counts.join(large, keys, "left_semi").groupBy(*keys).agg(F.percentile_approx("__v", steps, ACCURACY).alias("__limits"))
+    info = totals.drop("__d").join(limits, keys, "left")
+    bucket = F.coalesce(F.size(F.filter("__limits", lambda x: x < F.col("__v"))), F.lit(0))
+    bucket = F.when(F.col("__limits").isNull(), 0).otherwise(bucket)
+    binned = counts.join(info, keys).withColumn("__b", bucket).drop("__limits")
     sizes = binned.groupBy(*keys, "__b").agg(F.sum("__c").alias("__s"), F.first("n").alias("n"))
     before = F.coalesce(
         F.sum("__s").over(

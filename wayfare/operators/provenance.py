@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.operators.timeline import KEY
+from wayfare.operators.timeline import KEY, overlaps
 
 MEASURED = [
     "kind", "hole_index", "is_target", "start_frame", "end_frame", "start_t", "end_t", "duration_s",
@@ -53,7 +53,7 @@ def _pairs(corrected: DataFrame, auto: DataFrame, same_kind: bool) -> DataFrame:
 def ids_in_span(events: DataFrame, spans: DataFrame, lo: Column, hi: Column) -> DataFrame:
     """Per event, the corrections whose frames overlap [lo, hi], in application order."""
     e = events.select(*KEY, "event_id", lo.alias("lo"), hi.alias("hi"))
-    hit = e.join(spans, KEY).filter((F.col("span_start") <= F.col("hi")) & (F.col("lo") <= F.col("span_end")))
+    hit = overlaps(e, spans, ("lo", "hi"), ("span_start", "span_end"))
     item = F.struct("timestamp", "id")
     return hit.groupBy(*KEY, "event_id").agg(
         F.transform(F.array_sort(F.collect_list(item)), lambda v: v["id"]).alias("correction_ids")
@@ -154,9 +154,7 @@ def removed_events(
     )
     c = events.select(*KEY, F.col("start_frame").alias("cs"), F.col("end_frame").alias("ce"))
     reach = (
-        left.select(*KEY, "event_id", "start_frame", "end_frame")
-        .join(c, KEY)
-        .filter((F.col("cs") <= F.col("end_frame")) & (F.col("start_frame") <= F.col("ce")))
+        overlaps(left.select(*KEY, "event_id", "start_frame", "end_frame"), c, ("start_frame", "end_frame"), ("cs", "ce"))
         .groupBy(*KEY, "event_id")
         .agg(F.min("cs").alias("cs"), F.max("ce").alias("ce"))
     )

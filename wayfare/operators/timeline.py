@@ -206,3 +206,29 @@ def with_halo(
     )
     out = df.withColumn("__x", F.explode(copies))
     return out.select(*[c for c in df.columns if c != chunk], F.col("__x.c").alias(chunk), F.col("__x.h").alias("halo"))
+
+
+def overlaps(
+    left: DataFrame, right: DataFrame, left_span: tuple[Column | str, Column | str], right_span: tuple[Column | str, Column | str],
+    keys: Sequence[str] = KEY, width: int = 64,
+) -> DataFrame:
+    """Rows of the same track whose closed frame spans overlap, each pair once.
+
+    Either span is listed under every bucket of ``width`` frames it touches, so rows meet on (track, bucket) and not
+    on the track alone; a pair is taken in the first bucket both touch. The two sides share no column but the keys.
+    """
+    keys = list(keys)
+
+    def listed(df: DataFrame, span: tuple[Column | str, Column | str], name: str) -> DataFrame:
+        lo, hi = (F.col(c) if isinstance(c, str) else c for c in span)
+        df = df.withColumns({f"__{name}_lo": lo, f"__{name}_hi": hi})
+        first, last = F.least(f"__{name}_lo", f"__{name}_hi"), F.greatest(f"__{name}_lo", f"__{name}_hi")
+        known = df.filter(F.col(f"__{name}_lo").isNotNull() & F.col(f"__{name}_hi").isNotNull())
+        return known.withColumn("__bucket", F.explode(F.sequence(F.floor(first / width), F.floor(last / width))))
+
+    met = listed(left, left_span, "l").join(listed(right, right_span, "r"), [*keys, "__bucket"])
+    begin = F.greatest(F.least("__l_lo", "__l_hi"), F.least("__r_lo", "__r_hi"))
+    met = met.filter(
+        (F.col("__r_lo") <= F.col("__l_hi")) & (F.col("__l_lo") <= F.col("__r_hi")) & (F.col("__bucket") == F.floor(begin / width))
+    )
+    return met.drop("__bucket", "__l_lo", "__l_hi", "__r_lo", "__r_hi")

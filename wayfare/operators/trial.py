@@ -77,7 +77,7 @@ def start_flags(starts: DataFrame) -> DataFrame:
         *KEY,
         F.lit("correction_out_of_range").alias("code"),
         F.format_string(
-            "Trial-start correction %s names frame %d, outside this track of %d frames; using frame %d.",
+            "%s (trial start) asks for frame %d of a track of %d frames; frame %d is taken.",
             "start_correction", "named", "n", "clamped",
         ).alias("message"),
         F.col("named").alias("frame_index"),
@@ -96,15 +96,24 @@ def cutoffs(clean: DataFrame, starts: DataFrame, p: dict[str, Any], chunk_frames
         spread(slim, TRACK, chunk_frames), [*TRACK, "chunk"]
     )
     limit = F.col("from_t") + float(p["trialCutoff_s"]) + P.CUTOFF_TOLERANCE_S
-    # stamps never decrease, so the frames up to the cutoff are a prefix of the track
     inside = F.when(F.col("t") <= limit, F.col("pos"))
+    past = F.when((F.col("pos") > F.col("from_pos")) & (F.col("t") > limit), F.col("pos"))
     early = F.col("pos") < F.coalesce(F.col("auto_pos"), F.col("n"))
     agg = df.groupBy(*TRACK).agg(
         F.max(inside).alias("c_pos"),
         F.max_by("t", inside).alias("c_t"),
         F.max_by("frame_index", inside).alias("c_no"),
+        F.min(past).alias("past"),
         F.max(F.when(early & (F.col("reason") == "oversized_blob"), F.col("pos"))).alias("last_oversized"),
     )
+    agg = materialise(agg, "cutoffs")
+    # the cutoff is the frame before the first one past the limit; where stamps go back, frames after it may be inside again
+    back = agg.filter(F.col("past") < F.col("c_pos")).select(*TRACK, (F.col("past") - 1).alias("pos"))
+    if not back.isEmpty():
+        held = clean.join(back, [*TRACK, "pos"], "left_semi").select(*TRACK, F.struct("pos", "t", "frame_index").alias("held"))
+        agg = agg.join(held, TRACK, "left").withColumns(
+            {c: F.coalesce(F.col(f"held.{f}"), F.col(c)) for c, f in (("c_pos", "pos"), ("c_t", "t"), ("c_no", "frame_index"))}
+        )
     return starts.join(
         agg.select(*TRACK, _row("c_pos", "c_t", "c_no").alias("cut"), "last_oversized"), TRACK
     )

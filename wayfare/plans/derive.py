@@ -189,7 +189,8 @@ def edit_events(
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """Apply event corrections; where they move the end of a trial, detect again for that end.
 
-    The loop is bounded, and each pass works only on the videos whose end moved.
+    Each pass works only on the videos whose end moved, until none moves. Ends come from the starts of entries and
+    the cutoff; a video that comes back to an end it had has no settled one, which is an error that names it.
     """
     clean, geo, bounds, corrected = stage["clean"], stage["geometry"], stage["bounds"], stage["detected"]
     named = edits.select(*KEY).distinct()
@@ -201,7 +202,8 @@ def edit_events(
         return EE.split_edited(materialise(out, "fold"), clean, geo)
 
     events, flags = fold(labelled)
-    for _ in range(P.TRIAL_END_PASSES):
+    seen = bounds.filter(F.col("variant") == "c").join(named, KEY, "left_semi").select(*KEY, F.col("end.pos").alias("end_pos"), "end_reason")
+    while True:
         last = bounds.filter(F.col("variant") == "c").select(
             *KEY, F.col("last.frame_index").alias("last_no"), F.col("from").alias("begin")
         )
@@ -210,7 +212,7 @@ def edit_events(
             *KEY,
             F.lit("correction_out_of_range").alias("code"),
             F.format_string(
-                "Escape entry %s starts at frame %d, before the trial start at frame %d; it cannot end the trial.",
+                "%s begins at frame %d, earlier than the trial (frame %d), so it ends nothing.",
                 "event_id", "start_frame", F.col("begin.frame_index"),
             ).alias("message"),
             F.col("start_frame").alias("frame_index"), "event_id", F.lit(None).cast("string").alias("correction_id"),
@@ -233,6 +235,11 @@ def edit_events(
         moved = materialise(moved, "moved")
         if moved.isEmpty():
             break
+        ends = moved.select(*KEY, F.col("end.pos").alias("end_pos"), "end_reason")
+        again = ends.join(seen, [*KEY, "end_pos", "end_reason"], "left_semi").limit(5).collect()
+        if again:
+            raise ValueError("event corrections leave no settled trial end for " + ", ".join(f"{r.session_id}/{r.video_id}" for r in again))
+        seen = materialise(seen.unionByName(ends), "seen-ends")
         key = moved.select(*KEY)
         bounds = materialise(
             bounds.join(key.withColumn("variant", F.lit("c")), TRACK, "left_anti").unionByName(moved.select(bounds.columns)), "bounds"

@@ -63,9 +63,9 @@ def skip_reasons(asked: DataFrame, videos: DataFrame, maps: DataFrame, tracked:
     m = maps.select("map_id", F.lit(True).alias("mapped"))
     df = asked.select(*KEY).join(v, KEY, "left").join(m, "map_id", "left").join(t, KEY, "left")
     reason = (
-        F.when(F.col("known").isNull(), "this video is not in the session")
-        .when(F.col("mapped").isNull(), "the maze has not been finished yet")
-        .when(F.col("tracked").isNull(), "this video has not been tracked yet")
+        F.when(F.col("known").isNull(), "unknown video")
+        .when(F.col("mapped").isNull(), "map missing")
+        .when(F.col("tracked").isNull(), "track missing")
     )
     return df.select(*KEY, reason.alias("reason"))
 
@@ -75,8 +75,8 @@ def export_gate(videos: DataFrame, derived: DataFrame, p: dict[str, Any]) -> Dat
     old = F.col("parameters_hash") != P.parameters_hash(p)
     done = derived.groupBy("session_id").agg(F.count(F.lit(1)).alias("analysed"), F.count_if(old).alias("stale"))
     df = videos.select("session_id").distinct().join(done, "session_id", "left")
-    blocked = F.when(F.col("analysed").isNull(), "no video has been analysed yet").when(
-        F.col("stale") > 0, F.format_string("the analysis of %d videos does not match the parameters in force", "stale")
+    blocked = F.when(F.col("analysed").isNull(), "nothing analysed").when(
+        F.col("stale") > 0, F.format_string("%d videos analysed under other parameters", "stale")
     )
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return df.select("session_id", zero("analysed"), zero("stale"), blocked.alias("blocked"))

@@ -292,7 +292,7 @@ CORRECTION_COLUMNS = {
 
 def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviewer edits by rule: points, ranges, trial starts, overrides and event edits."""
-    base = suppliers(spark, sf_dir).filter(F.col("n") > 420)
+    base = suppliers(spark, sf_dir)
     s, n, off = F.col("s"), F.col("n"), F.col("off")
     zones = zone_points()
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-OTHER_VIDEO = r"(?i)\.(avi|mov|mkv|webm|mpg|mpeg|m4v|wmv|flv|mts|m2ts|ogv|3gp)$"
+# Extensions of video files that can be read after conversion.
+OTHER_VIDEO = ["avi", "mov", "mkv", "webm", "mpg", "mpeg", "m4v", "wmv", "flv", "mts", "m2ts", "ogv", "3gp"]
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -19,12 +20,12 @@ def triage(files: DataFrame) -> DataFrame:
     name = F.col("path")
     ok = name.rlike(r"(?i)\.mp4$")
     ext = F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1))
-    what = F.when(ext != "", F.concat(F.lit("a ."), ext, F.lit(" file"))).otherwise("a file with no recognised type")
+    what = F.when(ext != "", F.concat(F.lit("extension "), ext)).otherwise("no extension")
     return files.withColumns(
         {
             "accepted": ok,
-            "reason": F.when(~ok, F.concat(F.lit("This is "), what, F.lit("; MP4 files with H.264 video are read."))),
-            "hint": F.when(~ok & name.rlike(OTHER_VIDEO), "re-encode as H.264 MP4"),
+            "reason": F.when(~ok, F.concat(F.lit("Only MP4 (H.264) can be read; here: "), what, F.lit("."))),
+            "hint": F.when(~ok & ext.isin(OTHER_VIDEO), "convert to MP4 with H.264"),
         }
     )
 

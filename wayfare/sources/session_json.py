@@ -216,7 +216,7 @@ def read_maps(texts: DataFrame) -> DataFrame:
         (target.isNull(), "it names no target hole"),
         ((target < 0) | (target >= n), "its target is not one of its holes"),
         (c("calibration.platformDiameter_cm").isNull(), "it has no platform diameter"),
-        (c("calibration.platformDiameter_cm") <= 0, "its platform diameter is not a real measurement"),
+        (c("calibration.platformDiameter_cm") <= 0, "platform diameter must be above zero"),
     )
     return d.select(
         "value", problem.alias("problem"), c("platform").alias("platform"), n.cast("int").alias("n"), c("holes.ringRatio").alias("ring_ratio"),

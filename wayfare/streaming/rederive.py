@@ -1,7 +1,10 @@
 """Incremental derivation as a stream: each micro-batch of changed videos is derived again.
 
 A batch writes below its own epoch folder and replaces that folder when it is retried, so a restarted
-query leaves one result per epoch; readers take the latest epoch of each video.
+query leaves one result per epoch. The keys of an epoch are a table of their own, written last: readers take the
+latest epoch of each video from it, so a video whose new result has no rows shows none, and half a written epoch
+is not seen. An output folder belongs to one checkpoint; with a new checkpoint (epochs start at 0 again) use a
+new folder.
 """
 
 from __future__ import annotations
@@ -19,6 +22,10 @@ from wayfare.plans.derive import Inputs, derive
 from wayfare.session import materialise
 
 
+#: The table of the videos each epoch derived.
+KEYS = "keys"
+
+
 def only(inputs: Inputs, keys: DataFrame) -> Inputs:
     """The inputs of the named videos."""
     keep = lambda d: d.join(keys, KEY, "left_semi")
@@ -33,8 +40,9 @@ def rederive_batch(load: Callable[[SparkSession], Inputs], p: dict[str, Any], ou
         if keys.isEmpty():
             return
         d = derive(only(load(batch.sparkSession), keys), p)
-        for name, df in (("metrics", d.metrics), ("quality", d.quality), ("events", d.events)):
+        for name, df in (("metrics", d.metrics), ("quality", d.quality), ("events", d.events), ("flags", d.flags), ("removed", d.removed)):
             df.write.mode("overwrite").parquet(f"{out}/{name}/epoch={epoch}")
+        keys.write.mode("overwrite").parquet(f"{out}/{KEYS}/epoch={epoch}")
 
     return write
 
@@ -50,7 +58,6 @@ def rederive_stream(changes: DataFrame, load: Callable[[SparkSession], Inputs],
 
 
 def latest(spark: SparkSession, out: str, name: str) -> DataFrame:
-    """The current derived rows: those of each video's latest epoch."""
-    rows = spark.read.parquet(f"{out}/{name}")
-    last = rows.groupBy(*KEY).agg(F.max("epoch").alias("epoch"))
-    return rows.join(last, [*KEY, "epoch"], "left_semi").drop("epoch")
+    """The current derived rows: those of each video's latest epoch that was written to the end."""
+    last = spark.read.parquet(f"{out}/{KEYS}").groupBy(*KEY).agg(F.max("epoch").alias("epoch"))
+    return spark.read.parquet(f"{out}/{name}").join(last, [*KEY, "epoch"], "left_semi").drop("epoch")
