@@ -11,37 +11,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wayfare.llm import bpe, chosen_path, divergence, exact_dedup, mixing
 from wayfare.llm.catalog import RANKS
-from wayfare.llm.common import ship
+from wayfare.llm.common import prepare
 from wayfare.session import materialise
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and stay near their language's histograms."""
-    ship(spark)
+    prepare(spark)
     return divergence.kept(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest identifier."""
-    ship(spark)
+    prepare(spark)
     return exact_dedup.kept(docs, keep="largest")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates, the document with the least identifier."""
-    ship(spark)
+    prepare(spark)
     return chosen_path.kept(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    ship(spark)
+    prepare(spark)
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of every document of the mix, repeats included."""
-    ship(spark)
+    prepare(spark)
     return bpe.encode_digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 

@@ -55,8 +55,16 @@ def numbered(df: DataFrame, order: list[Column], out: str, name: str) -> DataFra
     )
 
 
-def ship(spark) -> None:
-    """Send this package to the Python workers, unless they find it where the driver does."""
+#: Bytes of one Arrow batch between Spark and a Python worker; with long texts ten thousand rows would be far more.
+BATCH_BYTES = 4 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def prepare(spark) -> None:
+    """Bound the batches that Python workers get (unless the session sets a lower bound), and send them this package,
+    unless they find it where the driver does."""
+    if not (own := spark.conf.get(BATCH_CONF, "")).removesuffix("b").isdigit() or int(own.removesuffix("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
     root = Path(__file__).resolve().parent.parent.parent
     seen = [Path(p or ".").resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p]
     sc = spark.sparkContext

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from wayfare.llm.common import free_name, partitions
 
-BUDGET = 64 << 20
+BUDGET = 32 << 20
 PARTIAL = "length long, content_hash long, content binary, owner long, copies long"
 OWNERS = "text_sha256 string, keep_id long, group_size long"
 

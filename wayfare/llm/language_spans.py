@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import ship
+from wayfare.llm.common import prepare
 
 SLOTS = 1 << 15
 #: Scores are in units of 1/64 nat; a word counts at most this much for or against a language.
@@ -177,7 +177,7 @@ class Model:
 def train(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", slots: int = SLOTS, script_share: float = SCRIPT_SHARE) -> Model:
     """Counts over all rows with a language and a text. The driver gets ``slots`` sums per language."""
     given = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ship(rows.sparkSession)
+    prepare(rows.sparkSession)
     parts = given.mapInArrow(counted(slots), "lang string, pos int, n long")
     listed = parts.groupBy("lang", "pos").agg(F.sum("n").alias("n")).toArrow().to_pydict()
     langs = sorted(set(listed["lang"]))

@@ -12,15 +12,16 @@ U = np.uint64
 P = 0x9E3779B97F4A7C15 | 1
 
 
-@cache
+_powers: list[np.ndarray] = []
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and its inverse for i < n, modulo 2**64."""
-    with np.errstate(over="ignore"):
-        up = np.full(n, U(P))
-        up[0] = U(1)
-        down = np.full(n, U(pow(P, -1, 1 << 64)))
-        down[0] = U(1)
-        return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    """P**i and its inverse for i < n at least, modulo 2**64; kept for the largest n so far."""
+    if not _powers or len(_powers[0]) < n:
+        up, down = np.full(n, U(P)), np.full(n, U(pow(P, -1, 1 << 64)))
+        up[0] = down[0] = U(1)
+        _powers[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
+    return _powers[0], _powers[1]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -34,8 +35,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-#: Bytes hashed at a time.
-CHUNK = 1 << 20
+#: Bytes hashed at a time; small, so that a task's arrays stay at a few MB.
+CHUNK = 1 << 18
 
 
 def word_hashes(content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,7 +49,7 @@ def word_hashes(content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     while first < len(start):  # a run of whole words at a time
         last = max(first + 1, int(np.searchsorted(stop, start[first] + CHUNK)))
         low, high = start[first], stop[last - 1]
-        up, down = powers(1 << max(16, int(high - low + 1).bit_length()))
+        up, down = powers(1 << max(19, int(high - low + 1).bit_length()))
         sums = np.zeros(high - low + 1, U)
         np.cumsum((content[low:high].astype(U) + U(1)) * up[: high - low], out=sums[1:])
         a, b = start[first:last] - low, stop[first:last] - low
