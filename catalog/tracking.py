@@ -687,6 +687,45 @@ def export_csv_lines(spark: SparkSession, sf: str) -> DataFrame:
     return EX.csv_lines(rows).select(ids.alias("video_id"), "value")
 
 
+@query(
+    "export_csv_numbers",
+    """SELECT l_orderkey, l_linenumber, regexp_replace((l_quantity / 10000)::VARCHAR, '[.]0$', '') || ',' || regexp_replace((round(l_extendedprice) * 1000 + 0.5)::VARCHAR, '[.]0$', '')
+  || ',' || l_quantity::BIGINT || CASE WHEN l_discount = 0 THEN ',' ELSE ',-' || regexp_replace(l_discount::VARCHAR, '[.]0$', '') END AS value FROM lineitem""",
+)
+def export_csv_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Number fields in plain digits: small fractions, large fractions, whole numbers and missing values."""
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    rows = li.select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("string").alias("id"), (F.col("l_quantity") / 10000).alias("small"),
+        (F.round("l_extendedprice") * 1000 + 0.5).alias("large"), F.col("l_quantity").cast("double").alias("whole"), F.when(F.col("l_discount") != 0, -F.col("l_discount")).alias("gap"),
+    )
+    parts = F.regexp_extract("value", r"^(\d+),(.*)$", 1).cast("bigint")
+    lines = EX.csv_lines(rows).withColumn("id", parts)
+    return lines.select(F.floor(F.col("id") / 8).alias("l_orderkey"), (F.col("id") % 8).cast("int").alias("l_linenumber"), F.regexp_extract("value", r"^(\d+),(.*)$", 2).alias("value"))
+
+
+@query(
+    "parameters_invalid",
+    """SELECT l_orderkey, l_linenumber, path, value, allowed FROM (
+  SELECT l_orderkey, l_linenumber, unnest(['trialCutoff_s', 'kinematicsSmoothingWindowFrames', 'kinematics.duplicateTimestampFactor', 'noseConfidenceCutoff']) AS path,
+    unnest([l_quantity - 25, l_linenumber / 2.0::DOUBLE, l_discount * 12, l_tax * 15 - 0.3]) AS value,
+    unnest(['number in (0, inf)', 'odd integer in [1, inf)', 'number in [0, 1)', 'number in [0, 1]']) AS allowed FROM lineitem)
+  WHERE CASE path WHEN 'trialCutoff_s' THEN value <= 0 WHEN 'kinematicsSmoothingWindowFrames' THEN value <> floor(value) OR value % 2 <> 1 OR value < 1
+    WHEN 'kinematics.duplicateTimestampFactor' THEN value < 0 OR value >= 1 ELSE value < 0 OR value > 1 END""",
+)
+def parameters_invalid(spark: SparkSession, sf: str) -> DataFrame:
+    """Parameters out of their rules in a table of sets, one set per line item."""
+    from wayfare.plans.incremental import invalid_parameters
+
+    sets = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.inline(F.array(
+        F.struct(F.lit("trialCutoff_s").alias("path"), (F.col("l_quantity") - 25).alias("value")),
+        F.struct(F.lit("kinematicsSmoothingWindowFrames").alias("path"), (F.col("l_linenumber") / 2.0).alias("value")),
+        F.struct(F.lit("kinematics.duplicateTimestampFactor").alias("path"), (F.col("l_discount") * 12).alias("value")),
+        F.struct(F.lit("noseConfidenceCutoff").alias("path"), (F.col("l_tax") * 15 - 0.3).alias("value")),
+    )))
+    return invalid_parameters(sets, ["l_orderkey", "l_linenumber"])
+
+
 @query("cohort_parameter_difference", """SELECT v.session_id, d.path, d.value_a, d.value_b FROM (SELECT DISTINCT session_id FROM k_sup) v CROSS JOIN (VALUES ('holeInvestigation.radiusFactor', '1.5', '2'), ('trialCutoff_s', '180', '120')) d(path, value_a, value_b)""")
 def cohort_parameter_difference(spark: SparkSession, sf: str) -> DataFrame:
     """Parameters of each session that differ from a second set."""

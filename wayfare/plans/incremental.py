@@ -82,6 +82,24 @@ def export_gate(videos: DataFrame, derived: DataFrame, p: dict[str, Any]) -> Dat
     return df.select("session_id", zero("analysed"), zero("stale"), blocked.alias("blocked"))
 
 
+def invalid_parameters(values: DataFrame, keys: list[str]) -> DataFrame:
+    """The numeric parameters of a table of sets (keys, path, value) that their rules do not allow, and what is allowed.
+
+    A parameter that a set lacks is not a row here; ``params.problems`` names those of one set.
+    """
+    rules = values.sparkSession.createDataFrame(
+        [(path, kind, low if low is None else float(low), high if high is None else float(high), P.allowed(kind, low, high)) for path, (kind, low, high) in P.RULES.items()],
+        "path string, kind string, low double, high double, allowed string",
+    )
+    df, v, kind = values.join(rules, "path"), F.col("value"), F.col("kind")
+    whole = ~kind.isin("int", "odd") | (v == F.floor(v))
+    odd = (kind != "odd") | (F.abs(v) % 2 == 1)
+    above = F.when(kind == "gt", v > F.col("low")).otherwise(v >= F.col("low"))
+    below = F.when(kind == "lt", v < F.col("high")).otherwise(v <= F.col("high"))
+    holds = v.isNotNull() & ~F.isnan(v) & whole & odd & F.coalesce(above, F.lit(True)) & F.coalesce(below, F.lit(True))
+    return df.filter(~F.coalesce(holds, F.lit(False))).select(*keys, "path", "value", "allowed")
+
+
 def clamp_parameters(values: DataFrame, bounds: DataFrame) -> DataFrame:
     """Values (path, value) held inside their documented bounds (path, low, high)."""
     df = values.join(bounds, "path", "left")
