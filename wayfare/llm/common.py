@@ -63,7 +63,8 @@ BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 def prepare(spark) -> None:
     """Bound the batches that Python workers get (unless the session sets a lower bound), and send them this package,
     unless they find it where the driver does."""
-    if not (own := spark.conf.get(BATCH_CONF, "")).removesuffix("b").isdigit() or int(own.removesuffix("b")) > BATCH_BYTES:
+    own = spark.conf.get(BATCH_CONF).removesuffix("b")
+    if not own.isdigit() or int(own) > BATCH_BYTES:
         spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
     root = Path(__file__).resolve().parent.parent.parent
     seen = [Path(p or ".").resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p]
