@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wayfare import params as P
 from wayfare.plans.derive import Derived, Inputs, cleaned, derive
 from wayfare.session import materialise
-from wayfare.sources import benchmark as B
+from catalog import benchmark as B
 
 _inputs: dict[tuple[str, str], Inputs] = {}
 _derived: dict[tuple[str, str], Derived] = {}

@@ -18,7 +18,7 @@ from wayfare.operators import metrics as M
 from wayfare.operators import review as RV
 from wayfare.operators.timeline import KEY
 from wayfare.session import chunk_frames
-from wayfare.sources import benchmark as B
+from catalog import benchmark as B
 
 h3 = lambda x, n: f"{TD.half_up(x, 3)} AS {n}"
 h2 = lambda x, n: f"{TD.half_up(x, 2)} AS {n}"

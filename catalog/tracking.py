@@ -24,7 +24,7 @@ from wayfare.operators import timebase as TB
 from wayfare.operators.timeline import KEY
 from wayfare.plans import incremental as INC
 from wayfare.session import chunk_frames, materialise
-from wayfare.sources import benchmark as B
+from catalog import benchmark as B
 from wayfare.sources import exports as EX
 from wayfare.sources import intake as IN
 from wayfare.sources import session_json as SJ

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from wayfare.sources import benchmark as B
+from catalog import benchmark as B
 
 CTES: dict[str, str] = {}
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from wayfare import params as P
 from catalog.twin import CX, CY, PXCM, R, cte
-from wayfare.sources import benchmark as B
+from catalog import benchmark as B
 
 D = P.DEFAULTS
 INV = D["holeInvestigation"]

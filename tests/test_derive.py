@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from tests.tracks import CX, CY, hole, tables, visit, walk
 from wayfare import params as P
 from wayfare.plans.derive import derive
-from wayfare.sources import benchmark as B
+from catalog import benchmark as B
 
 SF = "/root/testdata/sf0.001"
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from wayfare.plans.derive import Inputs
-from wayfare.sources import benchmark as B
+from catalog import benchmark as B
 
 CX, CY, R = B.PLATFORM
 NOWHERE = None
