@@ -1,6 +1,8 @@
 from fractions import Fraction
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import AWKWARD, documents, plain, sentence
 from wayfare.llm import chosen_path as C
@@ -90,3 +92,28 @@ def test_shingles_of_long_text_do_not_depend_on_chunks(monkeypatch):
     monkeypatch.setattr(S, "CHUNK", 100)
     assert (S.shingles([text])[0] == one).all()
     assert len(one) == len({tuple(text.split()[i : i + 5]) for i in range(4996)})
+
+
+def test_drawn_is_what_spark_draws(spark):
+    minima = spark.range(40).select(F.col("id").alias("path"), F.array(*[F.lit(k) for k in range(64)]).alias("minima"))
+    got = minima.select("path", F.size(C.children(F.col("path"), F.col("minima"), 0.8, 64)).alias("n")).collect()
+    assert {r.path: r.n for r in got} == {p: len(C.drawn(p, 0.8, 64)) for p in range(40)}
+    keys = minima.select("path", C.children(F.col("path"), F.col("minima"), 0.8, 64)[0].alias("key"))
+    own = spark.createDataFrame([(p, C.drawn(p, 0.8, 64)[0]) for p in range(40)], "path long, j int")
+    assert keys.join(own, "path").where(F.col("key") == F.xxhash64("path", F.lit(0), "j", "j")).count() == 40
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.82])
+def test_recall_at_depth_three(spark, similarity):
+    """Pairs whose minima agree with this chance, of four values each, so that every bucket is split to the end."""
+    rng, pairs = np.random.default_rng(5), 4000
+    one = rng.integers(0, 4, (pairs, C.COORDINATES))
+    two = np.where(rng.random(one.shape) < similarity, one, (one + rng.integers(1, 4, one.shape)) % 4)
+    rows = [(f"{side}{i}".encode(), 50, m[i].tolist()) for side, m in (("a", one), ("b", two)) for i in range(pairs)]
+    sets = spark.createDataFrame(rows, "set_id binary, n long, minima array<int>")
+    runs = C.runs_needed(C.RECALL, 0.8, C.DEPTH, C.COORDINATES)
+    met = C.leaves(sets, 0.8, runs, C.DEPTH, 1, C.COORDINATES).select("path", F.col("set_id").cast("string").alias("s"))
+    both = met.groupBy("path", F.substring("s", 2, 9).cast("int").alias("pair")).agg(F.count(F.lit(1)).alias("n")).where("n = 2")
+    together = {r.pair for r in both.select("pair").distinct().collect()}
+    compared = (one == two).sum(1) >= C.least_agreeing(C.RECALL, 0.8, C.COORDINATES)
+    assert sum(compared[i] for i in together) >= C.RECALL * pairs

@@ -5,8 +5,9 @@ A run starts with all sets in one bucket and splits buckets on sampled coordinat
 children per bucket, whose keys are the path so far with the shared minimum. Buckets of one set end; buckets of
 at most ``BUCKET`` sets are compared as they are; larger ones are split again, unless a split left most of the
 sets together (near copies, which no further split parts) or ``DEPTH`` is reached: these are cut into blocks and
-compared block by block. Runs are independent; their number follows from the target recall for a pair at the
-threshold and the deepest path (``runs_for``).
+compared block by block. The first splits of the runs are fixed by their numbers and all runs read the same minima; the
+number of runs follows from what these splits draw and the target recall for a pair at the threshold and the
+deepest path (``runs_needed``).
 
 A comparison first uses the minima, then the exact sets. A pair that meets in several buckets counts in the
 first of them only, which both sides can tell from their lists of buckets, so no list of pairs is ever made or
@@ -28,6 +29,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,11 +63,66 @@ def found_by(similarity: float, threshold: float, depth: int) -> float:
 
 
 def runs_for(recall: float, threshold: float, depth: int) -> int:
-    """Runs that find a pair at the threshold with this chance, even if every bucket on its way is split to the end."""
+    """Runs that find a pair at the threshold with this chance, even if every bucket on its way is split to the end,
+    if runs were independent and had 1 / threshold children on average at each level; in fact it takes more."""
     missed = 1 - found_by(threshold, threshold, depth)
     return math.ceil(math.log(1 - recall) / math.log(missed))
 
 
+def drawn(path: int, threshold: float, count: int) -> list[int]:
+    """The coordinates of a bucket's children, as ``children`` draws them in Spark."""
+    mean = 1 / threshold
+    low = int(mean)
+
+    def draw(x: bytes, below: int) -> int:
+        h = xxhash.xxh64_intdigest(x, xxhash.xxh64_intdigest(path.to_bytes(8, "little", signed=True), 42))
+        return (h - (h >> 63 << 64)) % below
+
+    more = draw(b"more", 1 << 20) / (1 << 20) < mean - low
+    return [draw(k.to_bytes(4, "little"), count) for k in range(low + more)]
+
+
+def agreeing(similarity: float, count: int) -> list[float]:
+    """The chance that a pair agrees in so many of its minima, from 0 to ``count``."""
+    return [math.comb(count, a) * similarity**a * (1 - similarity) ** (count - a) for a in range(count + 1)]
+
+
+def least_agreeing(recall: float, threshold: float, count: int) -> int:
+    """Agreeing minima from which a pair is compared exactly: ``SLACK`` deviations below the mean, or fewer where that
+    would lose over a tenth of the pairs that may be missed."""
+    least = max(1, math.floor(count * threshold - SLACK * math.sqrt(count * threshold * (1 - threshold))))
+    chances = agreeing(threshold, count)
+    while least > 1 and sum(chances[:least]) > (1 - recall) / 10:
+        least -= 1
+    return least
+
+
+def found_in(runs: int, similarity: float, threshold: float, depth: int, count: int, least: int) -> float:
+    """The chance that some of the runs brings a pair to a common bucket at this depth and it is compared.
+
+    All runs read the same minima, so the chance is taken for each number of agreeing ones. The first splits are
+    those the roots draw; deeper ones depend on the minima's values and are as good as random.
+    """
+    roots = [j for r in range(runs) for j in drawn(r, threshold, count)]
+    times = [roots.count(j) for j in set(roots)]
+    total = 0.0
+    for a, chance in enumerate(agreeing(similarity, count)):
+        if a >= least:
+            lost = 1 - found_by(a / count, threshold, depth - 1)
+            total += chance * (1 - math.prod(1 - a / count + a / count * lost**t for t in times))
+    return total
+
+
+def runs_needed(recall: float, threshold: float, depth: int, count: int) -> int:
+    """Runs whose own splits find a pair at the threshold with this chance."""
+    least, runs = least_agreeing(recall, threshold, count), runs_for(recall, threshold, depth)
+    while found_in(runs, threshold, threshold, depth, count, least) < recall:
+        runs += 1
+        if runs > 10 * count:
+            raise ValueError(f"{count} minima are too few to find {recall} of the pairs at {threshold}")
+    return runs
+
+
 # ---- sets ------------------------------------------------------------------------------------------------------
 
 
@@ -203,10 +260,8 @@ def sizes_near(n: np.ndarray, threshold: Fraction) -> np.ndarray:
     return low * threshold.denominator >= high * threshold.numerator
 
 
-def plausible(threshold: Fraction, count: int):
-    """Keep the rows of a cell that have a pair to count whose minima agree often enough."""
-    s = float(threshold)
-    least = max(1, math.floor(count * s - SLACK * math.sqrt(count * s * (1 - s))))
+def plausible(threshold: Fraction, count: int, least: int):
+    """Keep the rows of a cell that have a pair to count with at least ``least`` agreeing minima."""
     names = ["set_id", "n", "copies", "paths", "path", "cell", "part"]
 
     def run(parts):
@@ -353,13 +408,13 @@ def join(
     sets = rows.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("minima").alias("minima"))
     sets = materialise(sets, "sets")
     s = float(threshold)
-    met = leaves(sets, s, runs_for(recall, s, depth), depth, bucket, count)
+    met = leaves(sets, s, runs_needed(recall, s, depth, count), depth, bucket, count)
     lists = met.groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("path", "blocks"))).alias("leaves"))
     held = materialise(lists.join(sets.select("set_id", "n", "copies", "minima"), "set_id"), "held")
     p = partitions(docs)
     dealt = cells(held, bucket).repartition(p, "cell").sortWithinPartitions("cell")
     kinds = "set_id binary, n long, copies long, paths array<long>, path long, cell long, part int"
-    pairs = materialise(dealt.mapInArrow(plausible(threshold, count), kinds), "plausible")
+    pairs = materialise(dealt.mapInArrow(plausible(threshold, count, least_agreeing(recall, s, count)), kinds), "plausible")
     asked = pairs.groupBy("set_id").agg(
         *[F.first(c).alias(c) for c in ("n", "copies", "paths")], F.collect_list(F.struct("path", "cell", "part")).alias("at")
     )
