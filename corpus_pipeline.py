@@ -16,7 +16,7 @@ from wayfare.session import materialise
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and stay near their language's histograms."""
+    """Documents that pass the base rules and stay near their language's histograms, if it has any."""
     prepare(spark)
     return divergence.kept(docs)
 
