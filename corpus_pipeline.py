@@ -7,6 +7,7 @@ and read again, so a lost executor repeats at most the stage at hand.
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfare.llm import bpe, chosen_path, divergence, exact_dedup, mixing
@@ -16,9 +17,16 @@ from wayfare.session import materialise
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and stay near their language's histograms, if it has any."""
+    """Documents that pass the base rules and stay near their language's histograms, if it has any; limits are set
+    from the table of labels, if there is one."""
     prepare(spark)
-    return divergence.kept(docs)
+    try:
+        labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        labels = None
+    return divergence.kept(docs, labels=labels)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,7 +79,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_divergence")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divergence.judge(table(spark, sf_dir, "documents"))
+    return divergence.judge(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
 
 
 # ---- 3: toxicity -----------------------------------------------------------------------------------------------
