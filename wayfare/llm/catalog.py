@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import bpe, chosen_path, divergence, exact_dedup, language_spans, licences, mixing, ordinal_toxicity, preference, sharding
+from wayfare.llm import (
+    bpe,
+    chosen_path,
+    collocations,
+    divergence,
+    exact_dedup,
+    language_spans,
+    licences,
+    mixing,
+    ordinal_toxicity,
+    preference,
+    sharding,
+    token_records,
+    turn_repair,
+)
 from wayfare.llm.common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,3 +238,131 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version"
     )
+
+
+# ---- 11: binary records ----------------------------------------------------------------------------------------
+
+END_ID = 2
+
+
+@query("op11_token_records")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_records.encode_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+
+
+# ---- 12: conversation repair -----------------------------------------------------------------------------------
+
+#: The checksum table of CRC-32, and the checksum of an ASCII string, in SQL.
+CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+CRC = "xor(list_reduce(list_concat([4294967295], list_transform(string_split({x}, ''), lambda c: ord(c)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _step_sql() -> tuple[str, str]:
+    """The four states after a turn, each as [cost and audit, output], from those before (z0 to z3)."""
+
+    def more(x: str, cost: str, edit: str, out: str) -> str:
+        paid = f"lpad((left({x}[1], 12)::BIGINT + {cost})::VARCHAR, 12, '0') || substr({x}[1], 13)"
+        return f"[{paid} || '{edit}', {x}[2] || {out}]"
+
+    own, extra = "(chr(10) || r.role || ':' || r.text)", "(r.fault IS NOT DISTINCT FROM 'truncated')::INT"
+    stays = "r.fault IS DISTINCT FROM 'blank' AND r.fault IS DISTINCT FROM 'duplicate'"
+    edits: dict[int, list[str]] = {q: [more(f"z{q}", "3", "D", "''")] for q in turn_repair.STATES}
+    for (p, x), q in turn_repair.NEXT.items():
+        edits[q].append(f"CASE WHEN {stays} AND left(r.role, 1) = '{x}' THEN {more(f'z{p}', extra, 'K', own)} END")
+        if x in turn_repair.ROLE:
+            renamed = f"(chr(10) || '{turn_repair.ROLE[x]}:' || r.text)"
+            edits[q].append(f"CASE WHEN {stays} THEN {more(f'z{p}', '2 + ' + extra, 'R', renamed)} END")
+    after = {q: f"least({', '.join(o)})" for q, o in edits.items()}
+    inner = ", ".join(f"{v} AS e{q}" for q, v in after.items())
+    user, assistant, both = "chr(10) || 'user:'", "chr(10) || 'assistant:'", "chr(10) || 'user:' || chr(10) || 'assistant:'"
+    closed = (
+        "e0 AS z0, e1 AS z1, "
+        f"least(e2, {more('e0', '2', 'I', user)}, {more('e1', '2', 'I', user)}, {more('e3', '2', 'I', user)}) AS z2, "
+        f"least(e3, {more('e2', '2', 'I', assistant)}, {more('e0', '4', 'II', both)}, {more('e1', '4', 'II', both)}) AS z3"
+    )
+    return inner, closed
+
+
+_INNER, _CLOSED = _step_sql()
+
+REPAIR_SQL = f"""
+WITH RECURSIVE k AS (SELECT {CRC_TABLE} AS t),
+c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {CRC.format(x="coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS hit
+  FROM conversations, k),
+d AS (
+  SELECT conv_id, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE hit WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM c WHERE hit <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d),
+m AS (
+  SELECT *, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS trimmed, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+r AS (
+  SELECT conv_id, i, turn, role, text, CASE WHEN trimmed = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+         before IS NOT NULL AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal FROM m),
+f AS (
+  SELECT conv_id, 0::BIGINT AS i, [repeat('0', 12), ''] AS z0, NULL::VARCHAR[] AS z1, [repeat('0', 11) || '2I', chr(10) || 'user:'] AS z2,
+         [repeat('0', 11) || '4II', chr(10) || 'user:' || chr(10) || 'assistant:'] AS z3 FROM conversations GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, {_CLOSED} FROM (
+    SELECT f.conv_id, r.i, {_INNER} FROM f JOIN r ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND r.i = f.i + 1)),
+e AS (SELECT conv_id, least(z0, z3) AS z FROM f QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+n AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal
+  FROM r GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, left(z[1], 12)::BIGINT AS cost, substr(z[1], 13) AS audit, sha256(substr(z[2], 2)) AS repaired_sha256
+FROM e LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Turns with faults planted by a checksum of conversation and number."""
+    named = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    hit = F.crc32(F.concat_ws(":", *named)) % 20
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"), hit.alias("hit"))
+    role = F.when(F.col("hit") == 4, "user").otherwise(F.col("role"))
+    text = F.when(F.col("hit") == 1, "").when(F.col("hit") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.explode(F.array_repeat(F.lit(0), F.when(F.col("hit") == 3, 2).otherwise(1)))
+    return rows.where("hit <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+@query("op12_turn_repair", REPAIR_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return turn_repair.summary(damaged(conversations), conversations)
+
+
+# ---- 13: collocations ------------------------------------------------------------------------------------------
+
+PHRASE_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
+g AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+s AS (SELECT lang, w, i, unnest(range(1, least(4, len(w) - i + 1) + 1)) AS m FROM g),
+f AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS a FROM s GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS v FROM f WHERE m > 1 AND a >= 30),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+x AS (
+  SELECT k.lang, k.phrase, k.m, k.a, k.k, l.a AS l, r.a AS r, (2000000::HUGEINT * k.a // (l.a + r.a))::BIGINT AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(v[1:k.k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(v[k.k + 1:], ' ')),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, a, m, v, unnest(range(1, m)) AS i FROM c WHERE m > 2),
+j AS (SELECT lang, a, m, v, i, unnest(range(i + 1, m + 1)) AS j FROM i),
+h AS (SELECT lang, array_to_string(v[i:j], ' ') AS phrase, max(a) AS longer FROM j WHERE j - i + 1 < m GROUP BY 1, 2),
+y AS (SELECT b.* FROM b LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase WHERE h.longer IS NULL OR 100 * h.longer < 80 * b.a),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM y)
+SELECT z.lang, rank, phrase, a, l, r, n.n, score FROM z JOIN n ON n.lang = z.lang WHERE rank <= 2000
+"""
+
+
+@query("op13_collocations", PHRASE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
