@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -72,12 +74,14 @@ def prepare(spark) -> None:
     if root in seen or sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
-    with tempfile.TemporaryDirectory() as folder:  # the driver's; Spark copies the file at once and serves it
-        path = Path(folder) / "wayfare.zip"
-        with zipfile.ZipFile(path, "w") as z:
-            for file in sorted((root / "wayfare").rglob("*.py")):
-                z.write(file, file.relative_to(root))
-        sc.addPyFile(str(path))
+    # a local master reads the file again when a task starts, so it stays as long as this process does
+    folder = tempfile.mkdtemp(prefix="wayfare-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / "wayfare.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for file in sorted((root / "wayfare").rglob("*.py")):
+            z.write(file, file.relative_to(root))
+    sc.addPyFile(str(path))
 
 
 _shipped: set[str] = set()
