@@ -75,6 +75,21 @@ def test_kept_has_one_of_each_class(spark):
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [2, 7, 8, 9]
 
 
+def test_repeated_and_null_identifiers(spark):
+    a = sentence(60, 1)
+    rows = [(1, a, "en", "a"), (5, a + " tail", "en", "a"), (5, sentence(70, 2, ("q", "w", "e", "r", "t", "z")), "en", "a")]
+    rows += [(9, sentence(80, 3, ("y", "x", "c", "v")), "en", s) for s in ("a", "b")] + [(None, sentence(90, 4, ("k", "l", "m", "n", "o")), "en", "a")] * 2
+    rows += [(None, sentence(90, 4, ("k", "l", "m", "n", "o")) + " end", "en", "a"), (None, None, "en", "a"), (None, None, "en", "a"), (None, a + " other", None, None)]
+    docs = documents(spark, rows)
+    assert plain(C.join(docs), "doc_id", "class_id", "n_links", "n_shingles") == brute(rows)
+    left = plain(C.kept(docs), "doc_id", "text")
+    texts = [t for _, t in left]
+    assert len(left) == 6 and texts.count(None) == 2
+    assert {(1, rows[0][1]), (5, rows[2][1]), (9, rows[3][1])} <= set(left)
+    assert left == plain(C.kept(docs.repartition(7)), "doc_id", "text")
+    assert plain(C.kept(docs), "source", "text") == plain(C.kept(docs.repartition(7)), "source", "text")
+
+
 def test_empty_table(spark):
     assert C.join(documents(spark, [])).count() == 0
 

@@ -55,7 +55,7 @@ def test_language_accuracy_on_held_out_documents(spark):
 
 def test_pipeline_against_brute_force(spark, tmp_path):
     big = tuple(f"{a}{b}" for a in ("al", "be", "co", "du", "en", "fo", "gi") for b in ("ra", "to", "mi", "lu", "ne", "so", "pa"))
-    rows = [r for r in AWKWARD if r[0] is not None and r[0] != 5]
+    rows = [*AWKWARD, (None, sentence(100, 77, big), "en", "s1"), (None, sentence(100, 77, big), "en", "s1"), (5, sentence(100, 78, big), "en", "s1")]
     rows += [(100 + i, sentence(80 + 3 * i, i, big), "en", f"s{i % 3}") for i in range(40)]
     rows += [(200 + i, sentence(80 + 3 * i, i, big), "en", "s1") for i in range(0, 40, 5)]  # equal texts
     rows += [(300 + i, sentence(80 + 3 * i, i, big) + " tail", "en", "s2") for i in range(0, 40, 4)]  # near copies
@@ -63,21 +63,27 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     got = plain(corpus_pipeline.run(spark, str(tmp_path)))
 
-    kept = {t[0] for t in test_divergence.brute(rows) if t[-1]}
-    left = [r for r in rows if r[0] in kept]
+    # by place in the list, since identifiers are null or repeat
+    kept = {t[0] for t in test_divergence.brute([(k, *r[1:]) for k, r in enumerate(rows)]) if t[-1]}
+    left = [r for k, r in enumerate(rows) if k in kept]
     largest = {}
     for r in left:
-        largest[r[1]] = max(largest.get(r[1], r[0]), r[0])
-    left = [r for r in left if largest[r[1]] == r[0]]
-    classes = {t[0]: t[1] for t in test_chosen_path.brute(left)}
-    left = [r for r in left if classes[r[0]] == r[0]]
-    taken = {t[0]: t[4] // t[1] if t[1] else 0 for t in test_mixing.brute(left)}
+        largest[r[1]] = max(largest.get(r[1], -1), -1 if r[0] is None else r[0])
+    left = [r for r in left if largest[r[1]] == (-1 if r[0] is None else r[0])]
+    assert [r[0] for r in left].count(5) == 3 and [r[0] for r in left].count(None) == 2
+    classes = {t[0]: t[1] for t in test_chosen_path.brute([(k, *r[1:]) for k, r in enumerate(left)])}
+    first = {}
+    for k, r in enumerate(left):
+        best = first.setdefault(classes[k], r)
+        first[classes[k]] = min(best, r, key=lambda r: (r[0] is None, r[0] or 0))
+    left = list(first.values())
+    taken = {(t[0], t[1]): t[4] // t[1] if t[1] else 0 for t in test_mixing.brute(left)}
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     want = []
     for doc, text, *_ in left:
         ids = library.encode_ordinary(text)
-        want += [(doc, len(ids), hashlib.sha256(array("I", ids).tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())] * taken[doc]
+        want += [(doc, len(ids), hashlib.sha256(array("I", ids).tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())] * taken[doc, len(text.split())]
     assert got == sorted(want, key=lambda t: tuple((x is None, str(x)) for x in t))
     assert 20 < len(got) < 2 * len(left)
 

@@ -19,11 +19,13 @@ splits; what a large group of near copies costs grows with the pairs within it,
 
 Defined cases: a text without words (or null) has no shingles, links to nothing and is a class of its own; a
 text of fewer words than the width has one shingle; rows with equal sets are linked to each other; a null
-identifier is kept as such and never names a class unless alone; an empty table gives an empty result.
+identifier is kept as such and never names a class unless alone, and its row has its links; rows of one identifier and
+different texts are rows of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from fractions import Fraction
 
@@ -134,7 +136,7 @@ def set_key(s: np.ndarray) -> bytes:
 
 
 def signed(width: int, count: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("set_id", pa.binary()), ("n", pa.int64()), ("minima", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("set_id", pa.binary()), ("n", pa.int64()), ("minima", pa.list_(pa.int32()))])
 
     def run(parts):
         for part in parts:
@@ -144,9 +146,10 @@ def signed(width: int, count: int):
                 full = [s for s in sets if len(s)]
                 minima = iter(S.minhashes(full, count).view(np.int32))
                 lists = [next(minima).tolist() if len(s) else None for s in sets]
+                digests = pa.array([hashlib.md5(t).hexdigest() for t in texts], pa.string())
+                keys = pa.array([set_key(s) for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).slice(at, len(texts)), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(lists, pa.list_(pa.int32()))],
-                    schema=schema,
+                    [part.column(0).slice(at, len(texts)), digests, keys, pa.array([len(s) for s in sets], pa.int64()), pa.array(lists, pa.list_(pa.int32()))], schema=schema
                 )
                 at += len(texts)
 
@@ -397,14 +400,13 @@ def small(df: DataFrame, most: int = SEND) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def join(
+def grouped(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = S.WIDTH, threshold: Fraction = THRESHOLD, recall: float = RECALL,
     depth: int = DEPTH, bucket: int = BUCKET, count: int = COORDINATES,
-) -> DataFrame:
-    """One row per document: doc_id, class_id (the least doc_id of its class), n_links (other documents it is
-    linked to), n_shingles and class_size."""
+) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest of the text, set_id, n of every row; set_id, root, copies, class_id, class_size, links of every set)."""
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialise(text.mapInArrow(signed(width, count), "doc_id long, set_id binary, n long, minima array<int>"), "signed")
+    rows = materialise(text.mapInArrow(signed(width, count), "doc_id long, digest string, set_id binary, n long, minima array<int>"), "signed")
     sets = rows.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("minima").alias("minima"))
     sets = materialise(sets, "sets")
     s = float(threshold)
@@ -420,7 +422,8 @@ def join(
     )
     asked = materialise(asked, "asked")
     wanted = materialise(sets.join(asked.select("set_id"), "set_id").select("doc_id").distinct(), "wanted")
-    found = text.join(small(wanted), "doc_id", "left_semi").select("text").mapInArrow(shingle_rows(width), "set_id binary, shingles binary")
+    wanted = small(wanted.select(F.col("doc_id").alias("one")))
+    found = text.join(wanted, F.col("doc_id").eqNullSafe(F.col("one")), "left_semi").select("text").mapInArrow(shingle_rows(width), "set_id binary, shingles binary")
     full = found.join(asked, "set_id").dropDuplicates(["set_id"])  # an identifier may be that of several rows
     opened = full.select("set_id", "shingles", "n", "copies", "paths", F.explode("at").alias("x")).select("*", "x.*").drop("x")
     exact = opened.repartition(p, "cell").sortWithinPartitions("cell")
@@ -430,7 +433,14 @@ def join(
     named = sets.select("set_id", "doc_id", "copies", "n").join(root.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     named = materialise(named, "named")
     classes = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    known = materialise(named.join(classes, "root").join(links, "set_id", "left").select("set_id", "copies", "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("links")), "classes")
+    known = materialise(named.join(classes, "root").join(links, "set_id", "left").select("set_id", "root", "copies", "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("links")), "classes")
+    return rows.select("doc_id", "digest", "set_id", "n"), known
+
+
+def join(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, class_id (the least doc_id of its class), n_links (other documents it is
+    linked to), n_shingles and class_size. Options as of ``grouped``."""
+    rows, known = grouped(docs, **options)
     bare = F.col("n") == 0
     return rows.select("doc_id", "set_id", "n").join(known, "set_id").select(
         "doc_id",
@@ -441,9 +451,26 @@ def join(
     )
 
 
-def kept(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each class, the one with the least identifier, with the columns of ``docs``."""
-    found = materialise(join(docs, id_col=id_col, **options), "near-classes")
-    out = free_name(docs, "_gone")
-    gone = found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(out)).distinct()
-    return docs.join(small(gone), docs[id_col].cast("long") == F.col(out), "left_anti")
+def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each class, with the columns of ``docs``: the one with the least identifier (nulls last), among these the
+    one with the least MD5 of the text, among rows equal in both the one whose columns have the least hash. Rows without
+    words all stay."""
+    rows, known = grouped(docs, id_col=id_col, text_col=text_col, **options)
+    told = rows.where("n > 0").join(known.select("set_id", "root"), "set_id")
+    told = told.groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("times"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    first = told.groupBy("root").agg(F.min(place).alias("first"))
+    named = materialise(told.join(first, "root").withColumn("stays", place == F.col("first")).select("doc_id", "digest", "times", "stays"), "near-rows")
+
+    own, other, text_of = (free_name(docs, c) for c in ("_own", "_other", "_digest"))
+    marked = docs.withColumn(own, docs[id_col].cast("long")).withColumn(text_of, F.md5(F.coalesce(docs[text_col], F.lit("")).cast("binary")))
+    listed = named.select(F.col("doc_id").alias(other), F.col("digest").alias(other + "d"), "times", "stays")
+    same = F.col(own).eqNullSafe(F.col(other)) & (F.col(text_of) == F.col(other + "d"))
+    gone = listed.where("NOT stays OR times > 1").drop("times", "stays")
+    left = marked.join(small(gone), same, "left_anti")
+    repeated = listed.where("stays AND times > 1").drop("times", "stays")
+    if not repeated.isEmpty():
+        again = marked.join(small(repeated), same, "left_semi")
+        one = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(other)
+        left = left.unionByName(again.groupBy(own, text_of).agg(one).select(own, text_of, f"{other}.*"))
+    return left.select(*docs.columns)
