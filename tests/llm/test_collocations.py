@@ -73,27 +73,27 @@ def test_short_runs_and_blocks_count_the_same(spark, monkeypatch):
         return seen
 
     class Sent:
-        value = (b"\xff" * C.MAP_BYTES, b"\xff" * C.MAP_BYTES)
+        value = (b"\xff" * C.MAP_BYTES,) * 3
 
-    finds = [C.words_and_pairs, C.growth(Sent, 2), C.growth(Sent, 3)]
+    finds = [C.single_words, C.selected_pairs(Sent), C.growth(Sent, 2), C.growth(Sent, 3)]
     whole = [total(f, C.RUN) for f in finds]
     monkeypatch.setattr(C.blocks, "__defaults__", (64,))
     for size in (5, 17, 100):
         assert [total(f, size) for f in finds] == whole
-    assert whole[0]["de", "q q", 2] == 999 and whole[1]["de", "q q q", 3] == 998 and whole[2]["de", "q q q q", 4] == 997
+    assert [whole[k]["de", " ".join("q" * (k + 1)), k + 1] for k in range(4)] == [1000, 999, 998, 997]
 
 
 def test_map_has_the_bits_the_tasks_ask_for(spark):
     rows = [("en", f"a{i} b{i * 7} ü") for i in range(500)] + [("", "x y z")]
-    bits = np.frombuffer(C.bit_map(spark.createDataFrame(rows, "lang string, phrase string"), 3), np.uint8)
+    bits = np.frombuffer(C.bit_map(C.checksums(spark.createDataFrame(rows, "lang string, phrase string"), 3)), np.uint8)
     run = C.Run()
     for lang, phrase in rows:
         run.add(lang, phrase.encode().split())
         run.end()
-    run.ids = np.concatenate(run.parts)
-    starts = np.flatnonzero(run.ids)[::3]
-    assert run.selected(starts, 3, bits).all()
-    assert not run.selected(starts, 2, bits).any()
+    run.closed()
+    sums = {m: at for m, _, at in run.levels(3)}
+    assert C.has(bits, sums[3]).all() and len(sums[3]) == len(rows)
+    assert not C.has(bits, sums[2]).any()
     assert np.unpackbits(bits).sum() <= len(rows)
 
 

@@ -15,7 +15,7 @@ known. The others go on with the next level, ``WIDEN`` times as many pairs, unti
 
 **Counting.** A pass reads whole texts in Python and counts phrases in runs of about ``RUN`` words before the
 exchange, so a very frequent phrase is a few rows per task. The prefixes to grow reach the tasks as a bit map of
-fixed size (``BITS``, by checksum). A phrase whose bit is set by another one is counted too, and
+fixed size (``MAP_BYTES``, by checksum). A phrase whose bit is set by another one is counted too, and
 exactly, so the map needs no size limit on the prefixes: with very many it only selects less.
 Only phrases that occur ``least`` times are kept after the exchange.
 
@@ -126,37 +126,45 @@ class Run:
         self.end()
         return tail[::-1]
 
+    def closed(self) -> None:
+        """Lay the numbers and what belongs to them side by side; no words may follow."""
+        self.ids = np.concatenate(self.parts)
+        self.stop = len(self.ids) if self.own is None else self.own
+        self.sum, self.lang_sum = np.array(self.sums, np.int64), np.array(self.lang_sums, np.int64)
+
     def levels(self, most: int):
-        """For m = 1, 2, ...: the starts of phrases of m words, the number of each among the distinct ones, one place of
-        each, and its occurrences."""
-        self.ids = ids = np.concatenate(self.parts)
-        own = len(ids) if self.own is None else self.own
+        """For m = 1, 2, ...: the starts of phrases of m words, and their checksums."""
+        ids = self.ids
         starts = np.flatnonzero(ids)
-        number = ids[starts]
+        at = self.lang_sum[ids[starts]] * FACTORS[0]
         for m in range(1, most + 1):
+            last = ids[starts + m - 1]  # a piece ends before the array does
             if m > 1:
-                last = ids[starts + m - 1]  # a piece ends before the array does
-                starts, number, last = starts[last != 0], number[last != 0], last[last != 0]
-                number = number * np.int64(len(self.words)) + last
-            _, first, number = np.unique(number, return_index=True, return_inverse=True)
-            yield m, starts, number, starts[first], np.bincount(number[starts < own], minlength=len(first))
-
-    def selected(self, places: np.ndarray, m: int, bits: np.ndarray) -> np.ndarray:
-        """Whether the map has the bit of the phrase at each place."""
-        sums, langs = np.array(self.sums, np.int64), np.array(self.lang_sums, np.int64)
-        at = langs[self.ids[places]] * FACTORS[0]
-        for k in range(m):
-            at += sums[self.ids[places + k]] * FACTORS[k + 1]
-        at %= PLACES
-        return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-
-    def rows(self, m: int, places: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        places, counts = places[counts > 0], counts[counts > 0]
-        for k in range(0, len(places), 1 << 15):
-            some = [self.ids[at : at + m].tolist() for at in places[k : k + (1 << 15)].tolist()]
+                starts, at, last = starts[last != 0], at[last != 0], last[last != 0]
+            at = at + self.sum[last] * FACTORS[m]
+            yield m, starts, at
+
+    def rows(self, m: int, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The distinct phrases of m words among those that start at ``starts`` and their number."""
+        starts = starts[starts < self.stop]
+        number = self.ids[starts]
+        for k in range(1, m):
+            if k > 1:
+                number = np.unique(number, return_inverse=True)[1]
+            number = number * np.int64(len(self.words)) + self.ids[starts + k]
+        _, first, counts = np.unique(number, return_index=True, return_counts=True)
+        places = starts[first]
+        for k in range(0, len(places), 1 << 14):
+            some = [self.ids[at : at + m].tolist() for at in places[k : k + (1 << 14)].tolist()]
             langs = pa.array([self.langs[x[0]] for x in some], pa.string())
             phrases = pa.array([b" ".join([self.words[i] for i in x]) for x in some], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([langs, phrases, pa.array([m] * len(some), pa.int32()), pa.array(counts[k : k + (1 << 15)], pa.int64())], schema=COUNTED)
+            yield pa.RecordBatch.from_arrays([langs, phrases, pa.array([m] * len(some), pa.int32()), pa.array(counts[k : k + (1 << 14)], pa.int64())], schema=COUNTED)
+
+
+def has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the map has the bits of these checksums."""
+    place = at % PLACES
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def counting(find, size: int = RUN):
@@ -170,42 +178,77 @@ def counting(find, size: int = RUN):
                     now.add(lang, word_list(block))
                     if now.n >= size:
                         tail = now.cut(WORDS)
+                        now.closed()
                         yield from find(now)
                         now = Run()
                         now.add(lang, tail)
                 now.end()
+        now.closed()
         yield from find(now)
 
     return run
 
 
-def words_and_pairs(run: Run) -> Iterator[pa.RecordBatch]:
-    for m, _, _, places, counts in run.levels(2):
-        yield from run.rows(m, places, counts)
+def single_words(run: Run) -> Iterator[pa.RecordBatch]:
+    counts = np.bincount(run.ids[: run.stop], minlength=len(run.words))[1:]
+    for k in range(0, len(counts), 1 << 15):
+        n = counts[k : k + (1 << 15)]
+        kept = np.flatnonzero(n)  # words only seen in the part that the next run counts are left to it
+        langs, phrases = ([held[1 + k + i] for i in kept.tolist()] for held in (run.langs, run.words))
+        columns = [pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array([1] * len(kept), pa.int32()), pa.array(n[kept], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, schema=COUNTED)
+
+
+def pair_sums(sent):
+    """Checksums of the pairs of two selected words, and how often each occurs."""
+
+    def find(run: Run) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(sent.value[0], np.uint8)
+        good = has(bits, run.lang_sum * FACTORS[0] + run.sum * FACTORS[1])
+        for m, starts, at in run.levels(2):
+            if m == 2:
+                both = good[run.ids[starts]] & good[run.ids[starts + 1]] & (starts < run.stop)
+                sums, n = np.unique(at[both], return_counts=True)
+                for k in range(0, len(sums), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(sums[k : k + (1 << 16)]), pa.array(n[k : k + (1 << 16)], pa.int64())], names=["at", "f"])
+
+    return find
+
+
+def selected_pairs(sent):
+    def find(run: Run) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(sent.value[0], np.uint8)
+        for m, starts, at in run.levels(2):
+            if m == 2:
+                yield from run.rows(m, starts[has(bits, at)])
+
+    return find
 
 
 def growth(sent, m: int):
     """Counts of the phrases of ``m`` + 1 words that begin or end with a selected phrase of ``m`` words, and, if ``m``
-    is 3, of the phrases of 3 words that begin with a selected pair."""
+    is 3, of the phrases of 3 words that begin with a selected pair. Phrases with a pair that is not frequent are left out."""
 
     def find(run: Run) -> Iterator[pa.RecordBatch]:
-        grown, pairs = (np.frombuffer(b, np.uint8) for b in sent.value)
+        grown, begin, frequent = (np.frombuffer(b, np.uint8) for b in sent.value)
 
-        def hits(starts, number, places, k, bits):
+        def hits(starts, at, bits):
             out = np.zeros(len(run.ids) + 1, bool)
-            out[starts] = run.selected(places, k, bits)[number]
+            out[starts[has(bits, at)]] = True
             return out
 
-        for k, starts, number, places, counts in run.levels(m + 1):
-            if k == 2 and m == 3:
-                begins = hits(starts, number, places, k, pairs)
+        for k, starts, at in run.levels(m + 1):
+            if k == 2:
+                often = hits(starts, at, frequent)
+                begins = hits(starts, at, begin) & often
+            if k > 2:
+                good = np.all([often[starts + i] for i in range(k - 1)], axis=0)
             if k == 3 and m == 3:
-                yield from run.rows(k, places[begins[places]], counts[begins[places]])
+                yield from run.rows(k, starts[good & begins[starts]])
             if k == m:
-                part = hits(starts, number, places, k, grown)
+                part = hits(starts, at, grown)
             if k == m + 1:
-                wanted = part[places] | part[places + 1]
-                yield from run.rows(k, places[wanted], counts[wanted])
+                yield from run.rows(k, starts[good & (part[starts] | part[starts + 1])])
 
     return find
 
@@ -223,13 +266,9 @@ def share(a: str, l: str, r: str) -> Column:  # noqa: E741
     )
 
 
-def bit_map(phrases: DataFrame, m: int) -> bytes:
-    """The map of (lang, phrase) of ``m`` words: parts of 4 KB are made by the executors, at most 2,048 come to the driver."""
-    words = F.split("phrase", " ")
-    at = F.crc32(F.encode("lang", "UTF-8")) * F.lit(FACTORS[0])
-    for k in range(m):
-        at = at + F.crc32(F.encode(words[k], "UTF-8")) * F.lit(FACTORS[k + 1])
-    rows = phrases.select((F.pmod(at, F.lit(PLACES)) + 1).alias("at"))  # Spark's buckets and places in them count from 1
+def bit_map(checksums: DataFrame) -> bytes:
+    """The map of a column ``at``: parts of 4 KB are made by the executors, at most 2,048 come to the driver."""
+    rows = checksums.select((F.pmod("at", F.lit(PLACES)) + 1).alias("at"))  # Spark's buckets and places in them count from 1
     parts = rows.groupBy(F.expr("bitmap_bucket_number(at)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("map"))
     out = bytearray(MAP_BYTES)
     for r in parts.collect():
@@ -237,10 +276,34 @@ def bit_map(phrases: DataFrame, m: int) -> bytes:
     return bytes(out)
 
 
-def grow(texts: DataFrame, prefixes: DataFrame, pairs: DataFrame | None, m: int, least: int, name: str) -> DataFrame:
+def checksums(phrases: DataFrame, m: int) -> DataFrame:
+    """The checksums of (lang, phrase) of ``m`` words, as the tasks have them."""
+    words = F.split("phrase", " ")
+    at = F.crc32(F.encode("lang", "UTF-8")) * F.lit(FACTORS[0])
+    for k in range(m):
+        at = at + F.crc32(F.encode(words[k], "UTF-8")) * F.lit(FACTORS[k + 1])
+    return phrases.select(at.alias("at"))
+
+
+def sent_maps(docs: DataFrame, *some: DataFrame | bytes | None):
+    """The maps of checksums, sent to every executor; none gives an empty map."""
+    maps = (bytes(MAP_BYTES) if x is None else x if isinstance(x, bytes) else bit_map(x) for x in some)
+    return docs.sparkSession.sparkContext.broadcast(tuple(maps))
+
+
+def words_and_pairs(texts: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """All words, and the frequent pairs. Pairs of frequent words are first counted by checksum, so that only those that
+    may be frequent are spelled out; pairs that share a checksum are counted together there and so never missed."""
+    words = materialise(counts(texts, single_words), "phrases-1")
+    sums = texts.mapInArrow(counting(pair_sums(sent_maps(texts, checksums(words.where(F.col("f") >= least), 1)))), "at long, f long")
+    often = sums.groupBy("at").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    pairs = counts(texts, selected_pairs(sent_maps(texts, often))).where(F.col("f") >= least)
+    return words, materialise(pairs, "phrases-2")
+
+
+def grow(texts: DataFrame, frequent: bytes, prefixes: DataFrame, pairs: DataFrame | None, m: int, least: int, name: str) -> DataFrame:
     """Frequent phrases of ``m`` + 1 words around the prefixes, and of three words that begin with ``pairs``."""
-    maps = bit_map(prefixes, m), bytes(MAP_BYTES) if pairs is None else bit_map(pairs, 2)
-    sent = texts.sparkSession.sparkContext.broadcast(maps)
+    sent = sent_maps(texts, checksums(prefixes, m), pairs if pairs is None else checksums(pairs, 2), frequent)
     return materialise(counts(texts, growth(sent, m)).where(F.col("f") >= least), name)
 
 
@@ -287,10 +350,10 @@ def around(phrases: DataFrame) -> DataFrame:
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, most: int = MOST, lead: int | None = None) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's best ``most`` phrases (see the module)."""
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    every = materialise(counts(texts, words_and_pairs).where((F.col("m") == 1) | (F.col("f") >= least)), "phrases-2")
-    total = every.where("m = 1").groupBy("lang").agg(F.sum("f").alias("n"))
-    known = every.where(F.col("f") >= least)
-    words, two = known.where("m = 1"), known.where("m = 2")
+    words, two = words_and_pairs(texts, least)
+    total = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    words = words.where(F.col("f") >= least)
+    known, frequent = words.unionByName(two), bit_map(checksums(two, 2))
     pairs = materialise(scored(two, words).join(bounded(two, words).select("lang", "phrase", "bound"), ["lang", "phrase"]), "pairs")
 
     lead = lead or 2 * most
@@ -305,10 +368,10 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         reached = "bound >= level AND bound < above"
 
         prefixes = pairs.join(levels, "lang").where(reached).select("lang", "phrase")
-        threes = distinct(known, grow(texts, prefixes, None, 2, least, "phrases-3")).where("m = 3")
+        threes = distinct(known, grow(texts, frequent, prefixes, None, 2, least, "phrases-3")).where("m = 3")
         longer_prefixes = materialise(bounded(threes, words).join(levels, "lang").where(reached).select("lang", "phrase"), "prefixes-3")
         rests = longer_prefixes.select("lang", F.expr("substring(phrase, instr(phrase, ' ') + 1)").alias("phrase")).distinct()
-        known = materialise(distinct(known, threes, grow(texts, longer_prefixes, rests, 3, least, "phrases-4")), "phrases")
+        known = materialise(distinct(known, threes, grow(texts, frequent, longer_prefixes, rests, 3, least, "phrases-4")), "phrases")
 
         long = known.where("m > 2")
         best = pairs.drop("bound").unionByName(scored(long, known)).join(levels, "lang").where("score >= level")
