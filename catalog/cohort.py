@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare import params as P
-from wayfare.plans.derive import Derived, Inputs, cleaned, derive
+from wayfare.plans.derive import Derived, Inputs, clustered, derive
 from wayfare.session import materialise
 from catalog import benchmark as B
 
 _inputs: dict[tuple[str, str], Inputs] = {}
 _derived: dict[tuple[str, str], Derived] = {}
-_cleaned: dict[tuple[str, str], dict[str, DataFrame]] = {}
+_clustered: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
 def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
@@ -26,7 +26,7 @@ def forget() -> None:
     """Drop what is prepared, so that a measurement starts from the tables."""
     _inputs.clear()
     _derived.clear()
-    _cleaned.clear()
+    _clustered.clear()
 
 
 @cache
@@ -55,11 +55,9 @@ def clean(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     key = _key(spark, sf_dir)
     if key in _derived:
         return _derived[key].stages
-    if key not in _cleaned:
-        stage = cleaned(inputs(spark, sf_dir), params())
-        stage["clean"] = materialise(stage["clean"], "clean")
-        _cleaned[key] = stage
-    return _cleaned[key]
+    if key not in _clustered:
+        _clustered[key] = clustered(inputs(spark, sf_dir), params())
+    return _clustered[key]
 
 
 def derived(spark: SparkSession, sf_dir: str) -> Derived:

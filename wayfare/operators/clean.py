@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wayfare import params as P
 from wayfare.functions import geometry as G
 from wayfare.operators.order_stats import midpoint_median
-from wayfare.operators.timeline import Carry, carry, spread
+from wayfare.operators.timeline import Carry, beside, carry, spread
 
 TRACK = ["session_id", "video_id", "variant"]
 
@@ -110,7 +110,7 @@ def clean_tracks(frames: DataFrame, per_video: DataFrame, p: dict[str, Any], chu
         "variant", F.explode(F.array(F.lit("c"), F.lit("a")))
     )
     # the keys of the windows, so the join needs no exchange of its own, and keeps their order
-    df = df.join(spread(per_track, TRACK, chunk_frames).hint("shuffle_hash"), [*TRACK, "chunk"])
+    df = df.join(beside(spread(per_track, TRACK, chunk_frames), TRACK).hint("shuffle_hash"), [*TRACK, "chunk"])
     df = find_outliers(df, p).withColumn("seen_raw", F.col("c_valid"))
     if p["gapFilling"]["enabled"]:
         df = _fill(df, p)

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from wayfare.functions.numbers import fmt
 from wayfare.operators.clean import TRACK
 from wayfare.operators.events import span_distances
-from wayfare.operators.timeline import KEY, overlaps
+from wayfare.operators.timeline import KEY, beside, overlaps, spread
+from wayfare.session import chunk_frames
 
 # the fold travels with its task, so workers need not have the package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -171,10 +172,14 @@ def _event(c: Any, event_id: str, kind: str, hole: int | None, spot: tuple, at:
 
 def locate(edits: DataFrame, clean: DataFrame) -> DataFrame:
     """Position and stamp of the frames an event correction names."""
-    frames = clean.filter(F.col("variant") == "c").select(*KEY, "frame_index", "pos", "t")
+    size = chunk_frames(clean.sparkSession)
+    frames = clean.filter(F.col("variant") == "c").select(*TRACK, "chunk", "frame_index", "pos", "t")
+    lengths = frames.groupBy(*TRACK).agg((F.max("pos") + 1).alias("n"))
     for column, pos, stamp in (("start_frame", "lo", "lo_t"), ("end_frame", "hi", "hi_t")):
         want = edits.filter(F.col(column).isNotNull()).select(*KEY, F.col(column).alias("frame_index")).distinct()
-        found = frames.join(want, [*KEY, "frame_index"], "left_semi").select(
+        # a frame number may stand in any chunk of its track
+        want = spread(want.join(lengths, KEY), TRACK, size).select(*TRACK, "chunk", "frame_index")
+        found = frames.join(beside(want, TRACK), [*TRACK, "chunk", "frame_index"], "left_semi").select(
             *KEY, F.col("frame_index").alias(column), F.col("pos").alias(pos), F.col("t").alias(stamp)
         )
         edits = edits.join(found, [*KEY, column], "left")

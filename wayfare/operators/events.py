@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from wayfare.functions import geometry as G
 from wayfare.operators.clean import ABSENT, FULL, PARTIAL, TRACK
-from wayfare.operators.timeline import Carry, carry, spread
+from wayfare.operators.timeline import Carry, beside, carry, in_chunks, spread
 from wayfare.operators.trial import resolve_end
-from wayfare.session import materialise
+from wayfare.session import chunk_frames, materialise
 
 SPAN_BUCKET = 64
 
@@ -233,22 +233,20 @@ def merged_visits(bouts_: DataFrame, runs: DataFrame, bounds: DataFrame, p: dict
 def span_distances(clean: DataFrame, spans: DataFrame, geo: DataFrame) -> DataFrame:
     """Closest approach to a hole over each span, and how many frames used the nose.
 
-    ``spans``: TRACK, span_id, hole, lo, hi. Frames and spans meet in small buckets of positions, so
-    the join is on equal keys and no group is larger than a bucket.
+    ``spans``: TRACK, span_id, hole, lo, hi. Frames and spans meet by chunk and small buckets of positions, so
+    the join is on equal keys, no group is larger than a bucket, and frames clustered by chunk stay where they are.
     """
-    wanted = spans.filter(F.col("hole").isNotNull() & (F.col("lo") <= F.col("hi"))).withColumn(
-        "bucket",
-        F.explode(F.sequence((F.col("lo") / SPAN_BUCKET).cast("int"), (F.col("hi") / SPAN_BUCKET).cast("int"))),
-    )
+    known = spans.filter(F.col("hole").isNotNull() & (F.col("lo") <= F.col("hi")))
+    wanted = in_chunks(known, "lo", "hi", chunk_frames(clean.sparkSession), SPAN_BUCKET)
     g = geo.select("session_id", "video_id", "holes", "px_per_cm")
     wanted = wanted.join(g, ["session_id", "video_id"]).select(
-        *TRACK, "span_id", "bucket", "lo", "hi", "px_per_cm",
+        *TRACK, "span_id", "chunk", "bucket", "lo", "hi", "px_per_cm",
         F.element_at("holes", (F.col("hole") + 1).cast("int")).alias("h"),
     )
     points = clean.filter("c_valid").select(
-        *TRACK, (F.col("pos") / SPAN_BUCKET).cast("int").alias("bucket"), "pos", "x", "y", "nx", "ny", "use_nose"
+        *TRACK, "chunk", (F.col("pos") / SPAN_BUCKET).cast("int").alias("bucket"), "pos", "x", "y", "nx", "ny", "use_nose"
     )
-    hit = points.join(wanted, [*TRACK, "bucket"]).filter(F.col("pos").between(F.col("lo"), F.col("hi")))
+    hit = points.join(beside(wanted, TRACK), [*TRACK, "chunk", "bucket"]).filter(F.col("pos").between(F.col("lo"), F.col("hi")))
     cm = F.col("px_per_cm")
     d_c = G.length(F.col("x") - F.col("h.x"), F.col("y") - F.col("h.y")) / cm
     d_n = F.when(F.col("use_nose"), G.length(F.col("nx") - F.col("h.x"), F.col("ny") - F.col("h.y")) / cm)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wayfare import params as P
 from wayfare.functions import geometry as G
 from wayfare.operators.clean import TRACK
-from wayfare.operators.timeline import KEY, spread
+from wayfare.operators.timeline import KEY, beside, spread
 
 
 def quality_windows(bounds: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def scan(clean: DataFrame, windows: DataFrame, p: dict[str, Any], chunk_frames:
     bin_ = F.least(F.lit(P.NOSE_BINS - 1), F.floor(conf * P.NOSE_BINS))
     hand = inside & (F.col("reason") == "oversized_blob") & F.col("has_trial")
     return df.groupBy(*KEY).agg(
-        F.first("n").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
+        F.first("variant").alias("variant"), F.first("n").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
         F.first("has_trial").alias("has_trial"),
         F.first("nominal_dt").alias("nominal_dt"),
         F.count_if(inside).alias("frames_in"),
@@ -62,10 +62,10 @@ def scan(clean: DataFrame, windows: DataFrame, p: dict[str, Any], chunk_frames:
 
 def gaps(clean: DataFrame, scan_: DataFrame, geo: DataFrame, chunk_frames: int) -> DataFrame:
     """Stretches without a position in the corrected, uncleaned track, clipped to the window."""
-    w = scan_.select(*KEY, "n", "lo", "hi", "t_before", "t_after", "t_first", "t_last")
+    w = scan_.select(*TRACK, "n", "lo", "hi", "t_before", "t_after", "t_first", "t_last")
     c = clean.filter(F.col("variant") == "c").withColumn("gap", F.coalesce(F.col("prev_ok.pos"), F.lit(-1)))
     lost = c.filter(~F.col("seen_raw")).join(
-        spread(w.select(*KEY, "n", "lo", "hi"), KEY, chunk_frames).drop("n"), [*KEY, "chunk"]
+        beside(spread(w.select(*TRACK, "n", "lo", "hi"), TRACK, chunk_frames).drop("n"), TRACK), [*TRACK, "chunk"]
     ).filter(F.col("pos").between(F.col("lo"), F.col("hi")))
     runs = lost.groupBy(*KEY, "gap").agg(
         F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"),
@@ -75,7 +75,7 @@ def gaps(clean: DataFrame, scan_: DataFrame, geo: DataFrame, chunk_frames: int)
     closers = c.filter(F.col("seen_raw") & (F.col("gap") < F.col("pos") - 1)).select(
         *KEY, "gap", F.col("pos").alias("ap"), F.col("t").alias("at"), F.col("x").alias("ax"), F.col("y").alias("ay")
     )
-    df = runs.join(closers, [*KEY, "gap"], "left").join(w, KEY)
+    df = runs.join(closers, [*KEY, "gap"], "left").join(w.drop("variant"), KEY)
     before = F.when(F.col("start_pos") == 0, F.col("t_first")).when(
         F.col("start_pos") == F.col("gap") + 1, F.col("bt")
     ).otherwise(F.col("t_before"))

@@ -152,6 +152,25 @@ def spread(per_track: DataFrame, keys: Sequence[str], chunk_frames: int, length:
     )
 
 
+def chunked(rows: DataFrame, chunk_frames: int, order: str = "pos") -> DataFrame:
+    """Rows that name a position with the chunk it lies in."""
+    return rows.withColumn("chunk", (F.col(order) / chunk_frames).cast("int"))
+
+
+def in_chunks(spans: DataFrame, lo: str, hi: str, chunk_frames: int, bucket: int) -> DataFrame:
+    """Spans of positions listed under every chunk and every bucket of positions they touch, to meet the frames there."""
+    size = F.lit(bucket)
+    listed = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(lo) / size).cast("int"), F.floor(F.col(hi) / size).cast("int"))))
+    first, last = F.greatest(F.col(lo), F.col("bucket") * size), F.least(F.col(hi), (F.col("bucket") + 1) * size - 1)
+    chunks = F.sequence(F.floor(first / chunk_frames).cast("int"), F.floor(last / chunk_frames).cast("int"))
+    return listed.withColumn("chunk", F.explode(chunks))
+
+
+def beside(rows: DataFrame, keys: Sequence[str], chunk: str = "chunk") -> DataFrame:
+    """Rows dealt by chunk, to be joined to frames clustered so: the planner must not deal the frames by what ``rows`` had."""
+    return rows.repartition(*keys, chunk)
+
+
 def renumber(
     df: DataFrame, chunk_frames: int, keys: Sequence[str] = KEY, order: str = "pos", chunk: str = "chunk",
     name: str = "idx",

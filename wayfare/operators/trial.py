@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from wayfare import params as P
 from wayfare.operators.clean import TRACK
 from wayfare.operators.corrections import latest
-from wayfare.operators.timeline import KEY, spread
-from wayfare.session import materialise
+from wayfare.operators.timeline import KEY, beside, chunked, spread
+from wayfare.session import chunk_frames, materialise
 
 
 def _row(pos: Column | str, t: str, number: str) -> Column:
@@ -47,13 +47,13 @@ def trial_starts(clean: DataFrame, corrections: DataFrame) -> DataFrame:
         *KEY, F.col("frame_index").alias("named"), F.col("id").alias("start_correction")
     )
     asked = materialise(auto.join(edit, KEY), "asked-starts")
-    numbers = clean.join(
-        asked.select(*TRACK, F.col("named").alias("frame_index")), [*TRACK, "frame_index"], "left_semi"
-    ).select(*TRACK, F.col("frame_index").alias("named"), F.struct("pos", "t", "frame_index").alias("hit"))
+    size = chunk_frames(clean.sparkSession)
+    named = spread(asked.select(*TRACK, "n", F.col("named").alias("frame_index")), TRACK, size).drop("n")
+    numbers = clean.join(beside(named, TRACK), [*TRACK, "chunk", "frame_index"], "left_semi").select(*TRACK, F.col("frame_index").alias("named"), F.struct("pos", "t", "frame_index").alias("hit"))
     clamped = F.least(F.greatest(F.lit(0), F.col("named")), F.col("n") - 1)
     asked = materialise(asked.join(numbers, [*TRACK, "named"], "left").withColumn("clamped", clamped), "asked-starts")
     fallback = asked.filter(F.col("hit").isNull()).select(*TRACK, F.col("clamped").alias("pos"))
-    at = clean.join(fallback, [*TRACK, "pos"], "left_semi").select(
+    at = clean.join(beside(chunked(fallback, size), TRACK), [*TRACK, "chunk", "pos"], "left_semi").select(
         *TRACK, F.struct("pos", "t", "frame_index").alias("held")
     )
     asked = asked.join(at, TRACK, "left").select(
@@ -110,7 +110,7 @@ def cutoffs(clean: DataFrame, starts: DataFrame, p: dict[str, Any], chunk_frames
     # the cutoff is the frame before the first one past the limit; where stamps go back, frames after it may be inside again
     back = agg.filter(F.col("past") < F.col("c_pos")).select(*TRACK, (F.col("past") - 1).alias("pos"))
     if not back.isEmpty():
-        held = clean.join(back, [*TRACK, "pos"], "left_semi").select(*TRACK, F.struct("pos", "t", "frame_index").alias("held"))
+        held = clean.join(beside(chunked(back, chunk_frames), TRACK), [*TRACK, "chunk", "pos"], "left_semi").select(*TRACK, F.struct("pos", "t", "frame_index").alias("held"))
         agg = agg.join(held, TRACK, "left").withColumns(
             {c: F.coalesce(F.col(f"held.{f}"), F.col(c)) for c, f in (("c_pos", "pos"), ("c_t", "t"), ("c_no", "frame_index"))}
         )

@@ -28,7 +28,7 @@ from wayfare.operators import trial as T
 from wayfare.operators.clean import TRACK, clean_tracks, nominal_dt
 from wayfare.operators.geometry import geometry
 from wayfare.operators.timeline import KEY
-from wayfare.session import chunk_frames, materialise
+from wayfare.session import buckets_for, chunk_frames, co_partitioned, materialise, materialise_clustered
 
 
 @dataclass
@@ -70,6 +70,10 @@ FLAG_COLUMNS = [*KEY, "code", "message", "frame_index", "event_id", "correction_
 
 def cleaned(inputs: Inputs, p: dict[str, Any]) -> dict[str, DataFrame]:
     """Frames with edits applied and cleaned, in both variants, with the geometry they were read under."""
+    return _cleaned(inputs, p)[0]
+
+
+def _cleaned(inputs: Inputs, p: dict[str, Any]) -> tuple[dict[str, DataFrame], int]:
     size = chunk_frames(inputs.frames.sparkSession)
     geo = geometry(inputs.videos, inputs.maze_maps, p).filter(F.col("problem").isNull())
     flat = C.flat_frames(inputs.frames, size)
@@ -80,8 +84,18 @@ def cleaned(inputs: Inputs, p: dict[str, Any]) -> dict[str, DataFrame]:
     frames = C.both_variants(flat, edits, fields)
     per_video = geo.join(spans.select(*KEY, "n"), KEY).join(nominal_dt(flat, KEY), KEY, "left")
     per_video = materialise(per_video, "per-video")
-    clean = clean_tracks(frames, per_video, p, size)
-    return {"geometry": per_video.drop("n", "nominal_dt"), "edits": edits, "clean": clean}
+    # both variants of a chunk lie together: the one exchange of the frames, and how they are clustered
+    buckets = buckets_for(inputs.frames.sparkSession, 2 * (per_video.agg(F.sum("n")).first()[0] or 0))
+    clean = clean_tracks(frames.repartition(buckets, *KEY, "chunk"), per_video, p, size)
+    return {"geometry": per_video.drop("n", "nominal_dt"), "edits": edits, "clean": clean}, buckets
+
+
+def clustered(inputs: Inputs, p: dict[str, Any]) -> dict[str, DataFrame]:
+    """``cleaned``, with the frames written as a table clustered by chunk of a video, both variants together."""
+    with co_partitioned(inputs.frames.sparkSession):
+        stage, buckets = _cleaned(inputs, p)
+        stage["clean"] = materialise_clustered(stage["clean"], "clean", [*KEY, "chunk"], [*TRACK, "chunk", "pos"], buckets)
+    return stage
 
 
 def detected(stage: dict[str, DataFrame], bounds: DataFrame, p: dict[str, Any]) -> DataFrame:
@@ -119,11 +133,15 @@ def with_provenance(
 
 
 def derive(inputs: Inputs, p: dict[str, Any], with_edits: bool = True) -> Derived:
-    """Derive the whole cohort."""
+    """Derive the whole cohort. The cleaned frames are clustered by chunk of a track once; what reads them meets them there."""
     P.require_valid(p)
+    with co_partitioned(inputs.frames.sparkSession):
+        return _derive(inputs, p, with_edits)
+
+
+def _derive(inputs: Inputs, p: dict[str, Any], with_edits: bool) -> Derived:
     size = chunk_frames(inputs.frames.sparkSession)
-    stage = cleaned(inputs, p)
-    stage["clean"] = materialise(stage["clean"], "clean")
+    stage = clustered(inputs, p)
     clean, geo = stage["clean"], stage["geometry"]
     stage["correction_spans"] = C.correction_spans(inputs.corrections)
 

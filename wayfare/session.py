@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,3 +67,41 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a clustered stage that make another bucket worth while.
+BUCKET_ROWS = 250_000
+
+
+def buckets_for(spark: SparkSession, rows: int) -> int:
+    """Buckets for a clustered stage of about ``rows`` rows: as many as shuffle partitions, fewer for few rows."""
+    most = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(1, min(most, -(-rows // BUCKET_ROWS)))
+
+
+def materialise_clustered(df: DataFrame, name: str, keys: Sequence[str], order: Sequence[str], buckets: int) -> DataFrame:
+    """Write a stage as a bucketed, sorted table in the shared folder and read it back.
+
+    Windows, aggregates and joins on ``keys`` and more columns (joins within ``co_partitioned``) then read the buckets as
+    they are, without an exchange. Rows should come dealt by ``keys`` into as many partitions, so that each task writes
+    one bucket.
+    """
+    spark = df.sparkSession
+    table = f"wayfare_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{stage_folder(spark)}/{table}"
+    df.write.option("path", path).bucketBy(buckets, *keys).sortBy(*order).saveAsTable(table, format="parquet")
+    return spark.table(table)
+
+
+CO_PARTITION_CONF = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
+@contextmanager
+def co_partitioned(spark: SparkSession) -> Iterator[None]:
+    """Joins planned within may use a partitioning by some of their keys, as that of a clustered stage by (track, chunk)."""
+    before = spark.conf.get(CO_PARTITION_CONF)
+    spark.conf.set(CO_PARTITION_CONF, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(CO_PARTITION_CONF, before)
