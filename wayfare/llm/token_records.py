@@ -13,7 +13,7 @@ well, so a repeated or lost attempt leaves at most files nobody reads. ``read``
 reads single records by offset in any order, ``shuffled`` gives a seeded order of all records.
 
 Long texts are encoded block by block, cut before a space that a letter of A-Z follows, where the pre-tokenizer
-always cuts. The ids of such blocks' words are remembered (at most ``MEMO`` per worker).
+always cuts. The ids of such blocks' words are remembered (about ``MEMO`` per worker).
 
 Defined cases: a null text is empty and has the end id alone; null identifiers come first; rows with equal
 identifiers are ordered by a hash of the text, equal rows in any order; an empty table gives no files and empty
@@ -43,7 +43,7 @@ from wayfare.llm.common import partitions
 from wayfare.session import materialise, stage_folder
 
 FILE_BYTES = 128 << 20
-MEMO = 1 << 19
+MEMO = 1 << 20
 BLOCK = 1 << 20
 MASK = 0xA282EAD8
 
@@ -53,8 +53,9 @@ HEAD = struct.Struct("<BqB")
 
 #: Before " x" a pre-token always begins, whatever stands before and after.
 CUT = re.compile(r"(?= [A-Za-z])")
-#: The byte-level pre-tokenizer on plain ASCII.
-ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+#: The byte-level pre-tokenizer on texts of ASCII and Latin-1 letters.
+PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*").fullmatch
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+", re.ASCII).findall
 
 
 def masked(data: bytes) -> int:
@@ -108,34 +109,45 @@ class Encoder:
         self.code = "H" if self.width == 2 else "I"
         self.end = array(self.code, [] if end_id is None else [end_id]).tobytes()
         self.most, self.chunks, self.pieces = memo, {}, {}
-
-    def library(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+
+    def library(self, texts: list[str]) -> dict[str, bytes]:
+        """Ids of texts by the library. Words go in lines: a line end between two texts without white space (but a space
+        in front) is always a pre-token of its own, and one call for many is much cheaper."""
+        lines, others = [], []
+        for text in texts:
+            word = text[1:] if text[:1] == " " else text
+            (lines if word.split() == [word] else others).append(text)
+        out = dict(zip(others, (array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)), strict=True))
+        for k in range(0, len(lines), 4096):
+            some = lines[k : k + 4096]
+            ids = np.array(self.tokenizer.encode("\n".join(some), add_special_tokens=False).ids, self.code)
+            ends = np.flatnonzero(ids == self.line_end).tolist()
+            packed, size = ids.tobytes(), self.width
+            out.update(zip(some, (packed[a * size : b * size] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True)), strict=True))
+        return out
 
     def learn(self, missing: set[str]) -> dict[str, bytes]:
         """Ids of chunks not seen before; plain ones by their pre-tokens, of which fewer are new."""
-        split = {c: ASCII_PIECES.findall(c) for c in missing if c.isascii()}
-        if len(self.pieces) > self.most:
-            self.pieces = {}
-        new = {p for parts in split.values() for p in parts if p not in self.pieces}
-        texts = [*new, *(c for c in missing if c not in split)]
-        ids = dict(zip(texts, self.library(texts), strict=True))
-        self.pieces.update((p, ids[p]) for p in new)
-        look = self.pieces.__getitem__
-        return {c: b"".join(map(look, split[c])) if c in split else ids[c] for c in missing}
+        split = {c: PIECES(c) for c in missing if PLAIN(c)}
+        pieces = self.pieces
+        if len(pieces) > self.most:
+            pieces.clear()
+        new = {p for parts in split.values() for p in parts if p not in pieces}
+        ids = self.library([*new, *(c for c in missing if c not in split)])
+        pieces.update((p, ids[p]) for p in new)
+        return {c: b"".join([pieces[p] for p in split[c]]) if c in split else ids[c] for c in missing}
 
     def some(self, text: str) -> bytes:
-        chunks = CUT.split(text)
-        known = self.chunks
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            found = self.learn({c for c in chunks if c not in known})
-        if len(known) + len(found) > self.most:
-            found |= {c: known[c] for c in set(chunks) if c in known}
-            self.chunks = known = {}
-        known.update((c, b) for c, b in found.items() if len(c) <= 64)
-        return b"".join(known[c] if c in known else found[c] for c in chunks)
+        chunks, known = CUT.split(text), self.chunks
+        got = list(map(known.get, chunks))
+        if None in got:
+            found = self.learn({c for c, ids in zip(chunks, got, strict=True) if ids is None})
+            got = [found[c] if ids is None else ids for c, ids in zip(chunks, got, strict=True)]
+            if len(known) + len(found) > self.most >> 2:
+                known.clear()
+            known.update((c, ids) for c, ids in found.items() if len(c) <= 64)
+        return b"".join(got)
 
     def encode(self, text: str | None) -> bytes:
         """The ids of the whole text and the end id, packed."""
