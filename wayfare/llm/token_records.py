@@ -12,8 +12,9 @@ per file; the table of these rows (``write``) is committed by Spark and names on
 well, so a repeated or lost attempt leaves at most files nobody reads. ``read`` streams whole files, ``fetch``
 reads single records by offset in any order, ``shuffled`` gives a seeded order of all records.
 
-Long texts are encoded block by block, cut before a space that a letter of A-Z follows, where the pre-tokenizer
-always cuts. The ids of such blocks' words are remembered (about ``MEMO`` per worker).
+Long texts are encoded block by block, cut before a space that no white space follows, where the pre-tokenizer
+always cuts. A block's chunks between such places are looked up once each: those of ASCII and Latin-1 letters go to the
+library's model by pre-token, others to the whole library. Ids of short pre-tokens are remembered (``MEMO`` per worker).
 
 Defined cases: a null text is empty and has the end id alone; null identifiers come first; rows with equal
 identifiers are ordered by a hash of the text, equal rows in any order; an empty table gives no files and empty
@@ -29,11 +30,13 @@ import uuid
 import zlib
 from array import array
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -45,19 +48,32 @@ from wayfare.session import materialise, stage_folder
 FILE_BYTES = 128 << 20
 MEMO = 1 << 20
 BLOCK = 1 << 20
+HELD = 1 << 24
 MASK = 0xA282EAD8
 
 LENGTH = struct.Struct("<QI")
 SUM = struct.Struct("<I")
 HEAD = struct.Struct("<BqB")
 
-#: Before " x" a pre-token always begins, whatever stands before and after.
-CUT = re.compile(r"(?= [A-Za-z])")
+#: Before a space that no white space follows a pre-token always begins, whatever stands before and after.
+CUT = re.compile(r"(?= \S)")
+SPLIT = re.compile(r" (?=\S)").split
+GAP = re.compile(r" (?!\S)").search
 #: The byte-level pre-tokenizer on texts of ASCII and Latin-1 letters.
 PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*").fullmatch
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+", re.ASCII).findall
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones as they are, the rest from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + k for k, b in enumerate(hidden)}
+
+
+LETTERS = byte_letters()
+
+
 def masked(data: bytes) -> int:
     crc = zlib.crc32(data)
     return ((crc >> 15 | crc << 17) + MASK) & 0xFFFFFFFF
@@ -108,57 +124,82 @@ class Encoder:
         self.width = 2 if max(size, (end_id or 0) + 1) <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.end = array(self.code, [] if end_id is None else [end_id]).tobytes()
-        self.most, self.chunks, self.pieces = memo, {}, {}
-        (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-
-    def library(self, texts: list[str]) -> dict[str, bytes]:
-        """Ids of texts by the library. Words go in lines: a line end between two texts without white space (but a space
-        in front) is always a pre-token of its own, and one call for many is much cheaper."""
-        lines, others = [], []
-        for text in texts:
-            word = text[1:] if text[:1] == " " else text
-            (lines if word.split() == [word] else others).append(text)
-        out = dict(zip(others, (array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)), strict=True))
-        for k in range(0, len(lines), 4096):
-            some = lines[k : k + 4096]
-            ids = np.array(self.tokenizer.encode("\n".join(some), add_special_tokens=False).ids, self.code)
-            ends = np.flatnonzero(ids == self.line_end).tolist()
-            packed, size = ids.tobytes(), self.width
-            out.update(zip(some, (packed[a * size : b * size] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True)), strict=True))
-        return out
-
-    def learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of chunks not seen before; plain ones by their pre-tokens, of which fewer are new."""
-        split = {c: PIECES(c) for c in missing if PLAIN(c)}
-        pieces = self.pieces
-        if len(pieces) > self.most:
-            pieces.clear()
-        new = {p for parts in split.values() for p in parts if p not in pieces}
-        ids = self.library([*new, *(c for c in missing if c not in split)])
-        pieces.update((p, ids[p]) for p in new)
-        return {c: b"".join([pieces[p] for p in split[c]]) if c in split else ids[c] for c in missing}
-
-    def some(self, text: str) -> bytes:
-        chunks, known = CUT.split(text), self.chunks
-        got = list(map(known.get, chunks))
-        if None in got:
-            found = self.learn({c for c, ids in zip(chunks, got, strict=True) if ids is None})
-            got = [found[c] if ids is None else ids for c, ids in zip(chunks, got, strict=True)]
-            if len(known) + len(found) > self.most >> 2:
-                known.clear()
-            known.update((c, ids) for c, ids in found.items() if len(c) <= 64)
-        return b"".join(got)
+        self.model = self.tokenizer.model
+        self.most, self.pieces = memo, {}
+
+    def piece(self, p: str) -> bytes:
+        """Ids of one pre-token, by the library's model alone."""
+        found = self.pieces.get(p)
+        if found is None:
+            found = array(self.code, [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(LETTERS))]).tobytes()
+            if len(p) <= 64:
+                if len(self.pieces) >= self.most:
+                    self.pieces.clear()
+                self.pieces[p] = found
+        return found
+
+    def chunk(self, c: str) -> bytes:
+        """Ids of a chunk: a plain one by its pre-tokens, of which fewer are new, another by the whole library."""
+        if c.isascii() or PLAIN(c):
+            return b"".join(map(self.piece, PIECES(c)))
+        return array(self.code, self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes()
+
+    def spaced(self, w: str) -> bytes:
+        """Ids of a chunk given without the space in front; words, with one more character or none, by the short way."""
+        if w.isascii() or PLAIN(w):
+            if w.isalpha():
+                return self.piece(" " + w)
+            body = w[:-1]
+            if body.isalpha():
+                return self.piece(" " + body) + self.piece(w[-1])
+        return self.chunk(" " + w)
+
+    def blocks(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that begin a pre-token; every chunk is looked up once, without the space in front."""
+        if not texts:
+            return []
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        words = lists.values.dictionary_encode()
+        ids = pa.array(list(map(self.spaced, words.dictionary.to_pylist())), pa.large_binary()).take(words.indices)
+        _, ends, data = ids.buffers()
+        ends, data = np.frombuffer(ends, np.int64), memoryview(data or b"")
+        first = lists.offsets.to_numpy()
+        rest = zip(ends[first[:-1] + 1].tolist(), ends[first[1:]].tolist(), strict=True)
+        return [self.chunk(t.partition(" ")[0]) + data[a:b] for t, (a, b) in zip(texts, rest, strict=True)]
+
+    def parted(self, text: str) -> bytes:
+        """The same for one text where some spaces have white space after them."""
+        first, *rest = SPLIT(text)
+        return self.chunk(first) + b"".join(map(self.spaced, rest))
+
+    def encode_all(self, rows: Iterable[tuple[int | None, str | None]]) -> Iterator[tuple[int | None, bytes]]:
+        """Every row with the ids of its whole text and the end id, packed. Rows are held back up to ``HELD`` code points."""
+        held, plain, size = [], [], 0  # held: a key and its blocks, as ids or as the place in ``plain``
+
+        def done() -> Iterator[tuple[int | None, bytes]]:
+            found = self.blocks(plain)
+            for key, own in held:
+                yield key, b"".join([*(found[x] if isinstance(x, int) else x for x in own), self.end])
+
+        for key, text in rows:
+            text, at, own = text or "", 0, []
+            while at is not None:
+                cut = CUT.search(text, at + BLOCK) if len(text) - at > BLOCK else None
+                block, at = (text[at:], None) if cut is None else (text[at : cut.start()], cut.start())
+                if GAP(block) is None:
+                    own.append(len(plain))
+                    plain.append(block)
+                else:
+                    own.append(self.parted(block))
+                size += len(block)
+            held.append((key, own))
+            if size > HELD:
+                yield from done()
+                held, plain, size = [], [], 0
+        yield from done()
 
     def encode(self, text: str | None) -> bytes:
-        """The ids of the whole text and the end id, packed."""
-        text, out, at = text or "", [], 0
-        while len(text) - at > BLOCK:
-            cut = CUT.search(text, at + BLOCK)
-            if cut is None:
-                break
-            out.append(self.some(text[at : cut.start()]))
-            at = cut.start()
-        return b"".join([*out, self.some(text[at:]), self.end])
+        return next(self.encode_all([(None, text)]))[1]
 
 
 @lru_cache(maxsize=1)
@@ -204,17 +245,18 @@ def writing(folder: str, path: str, end_id: int | None, file_bytes: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = opened(folder)
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
-        encoder, now, count = None, None, 0
+        now, count = None, 0
 
         def done() -> pa.RecordBatch:
             now.close()
             row = [part, count, now.name, now.records, now.ids, now.at]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, FILES, strict=True)], schema=FILES)
 
-        for batch in parts:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                encoder = encoder or encoder_of(path, end_id)
-                ids = encoder.encode(text.as_py())
+        rows = ((doc, text.as_py()) for batch in parts for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        first = next(rows, None)
+        if first is not None:
+            encoder = encoder_of(path, end_id)
+            for doc, ids in encoder.encode_all(chain([first], rows)):
                 if now is None:
                     now = Writer(fs, base, f"{part:06d}-{count:05d}-{attempt}")
                 now.add(payload(doc, ids, encoder.width), len(ids) // encoder.width)
