@@ -456,7 +456,7 @@ _why = {
 @query(
     "review_unavailable",
     " UNION ALL ".join(
-        f"""SELECT m.session_id, m.video_id, '{n}' AS measure, CASE {"WHEN trial_type = 'probe' THEN 'a probe trial has no escape box'" if n in ('escaped', 'total_latency_s') else ''}
+        f"""SELECT m.session_id, m.video_id, '{n}' AS measure, CASE {"WHEN trial_type = 'probe' THEN 'probe trials end without a box'" if n in ('escaped', 'total_latency_s') else ''}
         WHEN status = 'unresolved' THEN 'no trial start could be found' ELSE '{w}' END AS reason FROM k_metrics m JOIN k_videos v ON v.s = m.s WHERE {c} IS NULL"""
         for n, (c, w) in _why.items()
     ),

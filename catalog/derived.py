@@ -390,7 +390,7 @@ def strategy_class(spark: SparkSession, sf: str) -> DataFrame:
 _st = TD._st
 _yes = lambda c: f"CASE WHEN {c} THEN 'yes' ELSE 'no' END"
 _verdict = lambda name: f"CASE WHEN auto_strategy = '{name}' THEN 'fired' WHEN {name} THEN 'fired, outranked by ' || auto_strategy ELSE 'did not fire' END"
-_over = """CASE WHEN overridden THEN 'Overridden by the user (correction so-' || s || '): serial — seen on video. Automatic classification: ' || auto_strategy || '.' END"""
+_over = """CASE WHEN overridden THEN 'By hand (correction so-' || s || '): serial — seen on video. Found by rule: ' || auto_strategy || '.' END"""
 _reason_sql = f"""
 WITH t AS (SELECT c.s, list_filter(CASE WHEN auto_strategy = 'unclassified' THEN [CASE WHEN errors IS NULL THEN 'No class: the trial has no start.' ELSE 'No class: the trial has neither an investigation nor a target visit.' END, {_over}]
  ELSE [CASE WHEN NOT reached THEN 'The target was never reached, so the class covers the whole trial window.' END,

@@ -535,7 +535,7 @@ def corrections_orphaned(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("corrections_described", f"""SELECT {V}, id, CASE kind WHEN 'point' THEN CASE WHEN what = 'nose' THEN 'Nose' ELSE 'Centroid' END || CASE WHEN valid THEN ' placed by hand on frame ' || lo_no || printf(' at (%.1f, %.1f) px', x, y) ELSE ' marked invalid on frame ' || lo_no END
   WHEN 'range' THEN CASE WHEN range_type = 'not_visible' THEN 'Animal not visible' ELSE 'Animal in the escape box' END || ', frames ' || lo_no || '–' || hi_no WHEN 'event' THEN CASE WHEN what = 'add' THEN 'Investigation added at hole ' || (s % 20) || ', frames ' || lo_no || '–' || hi_no ELSE 'Event auto-investigation-hx-f1 deleted' END
-  WHEN 'trial_start' THEN 'Trial start moved to frame ' || lo_no WHEN 'strategy_override' THEN 'Strategy set to serial by hand: seen on video' ELSE 'Confirmed: the animal never entered the escape box' || CASE WHEN s % 8 = 1 THEN ': never went in' ELSE '' END END AS sentence FROM k_corr""")
+  WHEN 'trial_start' THEN 'Trial start moved to frame ' || lo_no WHEN 'strategy_override' THEN 'Strategy set to serial by hand: seen on video' ELSE 'No escape, as a reviewer saw' || CASE WHEN s % 8 = 1 THEN ': never went in' ELSE '' END END AS sentence FROM k_corr""")
 def corrections_described(spark: SparkSession, sf: str) -> DataFrame:
     return CE.describe(C.inputs(spark, sf).corrections)
 

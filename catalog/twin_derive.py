@@ -302,8 +302,8 @@ SELECT s, v, run, concat_ws(' ',
     || {_hole.format(k='partial_hole')} || '; ' || {_lasted} || '.'
   ELSE 'Lost at frame ' || start_no || ' (' || {_s('start_t')} || '), '
     || CASE WHEN seen_pos IS NOT NULL THEN 'last seen ' || {_cm('seen_px')} || ' from ' || {_hole.format(k='seen_hole')}
-         || printf(' (%.2f × hole radius), ', seen_px / {HR}) || {_cm(f'sqrt((seen_ex - {CX}) ** 2 + (seen_ey - {CY}) ** 2)')} || ' from the centre; '
-       ELSE 'no positioned frame before it in the trial; ' END || {_lasted} || '.' END,
+         || printf(' (%.2f × hole radius), ', seen_px / {HR}) || {_cm(f'sqrt((seen_ex - {CX}) ** 2 + (seen_ey - {CY}) ** 2)')} || ' off the centre; '
+       ELSE 'nothing positioned earlier in the trial; ' END || {_lasted} || '.' END,
   CASE WHEN back_pos IS NOT NULL THEN CASE WHEN back_part >= 0 THEN 'Seen again as a partial blob' ELSE 'Seen full-size again' END
     || ' at frame ' || back_no || ' (' || {_s('back_t')} || ') '
     || CASE WHEN hole >= 0 THEN {_cm('back_px')} || ' from ' || {_hole.format(k='hole')} || CASE WHEN back_same THEN ' (the same hole)' ELSE ' (elsewhere)' END
@@ -316,26 +316,26 @@ SELECT s, v, run, concat_ws(' ',
     ELSE printf('No blob-area trend (%d positioned frames before the loss).', coalesce(tn, 0)) END END) AS run_text
 FROM k_runs LEFT JOIN k_trend USING (s, v, run)
 """)
-_measure = f"""concat_ws(' ', CASE WHEN nose_frames + centroid_frames = 0 THEN 'No positioned frame in the span.'
-  ELSE printf('Nose used on %d of %d positioned frames, centroid on the rest.', nose_frames, nose_frames + centroid_frames) END,
-  CASE WHEN min_nose_cm IS NOT NULL THEN 'Closest approach: nose ' || printf('%.1f cm', min_nose_cm) || ', centroid ' || coalesce(printf('%.1f cm', min_centroid_cm), 'n/a') || '.'
-  ELSE 'Closest approach: centroid ' || coalesce(printf('%.1f cm', min_centroid_cm), 'n/a') || '; nose not available on any frame, so the nose distance is not recorded.' END)"""
+_measure = f"""concat_ws(' ', CASE WHEN nose_frames + centroid_frames = 0 THEN 'The span has no position.'
+  ELSE printf('Nose in %d of %d positions, else the centroid.', nose_frames, nose_frames + centroid_frames) END,
+  CASE WHEN min_nose_cm IS NOT NULL THEN 'Least distance to the hole: nose ' || printf('%.1f cm', min_nose_cm) || ', centroid ' || coalesce(printf('%.1f cm', min_centroid_cm), 'n/a') || '.'
+  ELSE 'Least distance to the hole: centroid ' || coalesce(printf('%.1f cm', min_centroid_cm), 'n/a') || ' (the nose was never seen).' END)"""
 cte("k_ev_text", f"""
 SELECT e.*, CASE WHEN kind = 'investigation' THEN concat_ws(' ',
-    CASE WHEN e.run IS NOT NULL THEN 'Physically unlikely: an entry-shaped run where there is no escape box, counted as an investigation. ' || run_text END,
+    CASE WHEN e.run IS NOT NULL THEN 'Kept as an investigation, since no escape box is there to enter. ' || run_text END,
     {_hole.format(k='e.hole')} || ': within {INV['radiusFactor']} × hole radius (' || {_cm(INV_PX)} || ') for ' || {_s('duration_s')}
       || printf(', frames %d–%d (%.2f s–%.2f s)', e.start_no, e.end_no, e.start_t, e.end_t)
       || CASE WHEN last_pos = b.end_pos AND b.next_hole = e.hole THEN printf(' (still there when the trial ended at %.2f s)', b.end_t) ELSE '' END || '.',
     {_measure},
     CASE WHEN bouts > 1 THEN printf('Merged from %d bouts, the largest gap %.2f s.', bouts, largest_gap) END)
   WHEN kind = 'escape_entry' THEN concat_ws(' ',
-    CASE WHEN marked THEN 'Entry marked by the user from frame ' || e.start_no || ' (' || {_s('e.start_t')} || ').'
+    CASE WHEN marked THEN 'A reviewer marked an entry at frame ' || e.start_no || ' (' || {_s('e.start_t')} || ').'
         || CASE WHEN box_px > {ESC_PX} THEN ' Last positioned ' || {_cm('box_px')} || ' from its nearest hole: kept as marked, for review.' ELSE '' END
       ELSE 'Escape-box entry at the target hole. ' || run_text END,
     CASE WHEN persistent THEN 'Persistent: the trial ends at its first frame.' ELSE 'Not persistent: the trial continues.' END,
     CASE WHEN nose_frames + centroid_frames > 0 THEN {_measure} END)
   ELSE concat_ws(' ', 'Tracking failure ' || CASE WHEN e.hole IS NULL THEN 'away from every hole' ELSE 'at ' || {_hole.format(k='e.hole')} END || '.',
-    run_text, CASE WHEN e.hole IS NOT NULL THEN 'Lost at a hole: review whether this was an entry.' END) END AS evidence
+    run_text, CASE WHEN e.hole IS NOT NULL THEN 'The track ends at a hole, so look at the video for an entry.' END) END AS evidence
 FROM k_ev e JOIN k_ends b ON b.s = e.s AND b.v = e.v
 JOIN (SELECT s, target FROM k_videos) kv ON kv.s = e.s
 LEFT JOIN (SELECT s, v, run, marked, persistent, box_px, duration AS run_s FROM k_runs) r ON r.s = e.s AND r.v = e.v AND r.run = e.run
@@ -403,7 +403,7 @@ cte("k_events", f"""
 SELECT * FROM k_lab UNION ALL
 SELECT s, event_id, 'investigation', hole, hole = target, p0, p1, lo_no, hi_no, t0, t1, t1 - t0,
   CASE WHEN nose_frames > centroid_frames THEN 'nose' ELSE 'centroid' END, min_nose_cm, min_centroid_cm,
-  printf('Investigation added by the user at hole %d, frames %d–%d. ', hole, lo_no, hi_no) || {_measure}, 'corrected', false,
+  printf('New investigation from a reviewer: hole %d, frames %d–%d. ', hole, lo_no, hi_no) || {_measure}, 'corrected', false,
   coalesce((SELECT string_agg(id, ';' ORDER BY ts, id) FROM k_spans p WHERE p.s = a.s AND p.span_lo <= a.hi_no AND a.lo_no <= p.span_hi), ''), NULL, NULL, NULL
 FROM k_added a
 """)

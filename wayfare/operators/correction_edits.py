@@ -174,7 +174,7 @@ def describe(corrections: DataFrame) -> DataFrame:
         F.when(c("kind") == "point", point).when(c("kind") == "range", range_).when(c("kind") == "event", event)
         .when(c("kind") == "trial_start", F.concat(F.lit("Trial start moved to frame "), n("frame_index")))
         .when(c("kind") == "strategy_override", F.concat(F.lit("Strategy set to "), c("strategy"), F.lit(" by hand"), because))
-        .otherwise(F.concat(F.lit("Confirmed: the animal never entered the escape box"), because))
+        .otherwise(F.concat(F.lit("No escape, as a reviewer saw"), because))
     )
     return corrections.select(*KEY, "id", text.alias("sentence"))
 

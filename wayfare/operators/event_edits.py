@@ -77,7 +77,7 @@ def _fold(key: tuple, events: pd.DataFrame, edits: pd.DataFrame) -> pd.DataFrame
                 continue
             live.append(
                 _event(c, f"user-{c.id}", "investigation", hole, spot, c, source="corrected",
-                       evidence=f"Investigation added by the user at hole {hole}, frames {int(c.start_frame)}–{int(c.end_frame)}. {MEASURE}",
+                       evidence=f"New investigation from a reviewer: hole {hole}, frames {int(c.start_frame)}–{int(c.end_frame)}. {MEASURE}",
                        correction_ids=list(c.touched))
             )
             continue
@@ -120,7 +120,7 @@ def _fold(key: tuple, events: pd.DataFrame, edits: pd.DataFrame) -> pd.DataFrame
         new = _event(
             c, target["event_id"] if target else (named or f"user-{c.id}"), target["kind"] if target else "investigation",
             hole, (lo[0], hi[0]), c, source="corrected",
-            evidence=f"Corrected by the user (correction {c.id}), frames {lo[1]}–{hi[1]}. {MEASURE}",
+            evidence=f"Set by correction {c.id} to frames {lo[1]}–{hi[1]}. {MEASURE}",
             correction_ids=target["correction_ids"] if target else list(c.touched),
         )
         new.update(start_frame=lo[1], end_frame=hi[1], start_t=lo[2], end_t=hi[2], duration_s=hi[2] - lo[2])
@@ -252,16 +252,16 @@ def split_edited(out: DataFrame, clean: DataFrame, geo: DataFrame) -> tuple[Data
 def measure_sentence() -> Column:
     total = F.coalesce(F.col("nose_frames") + F.col("centroid_frames"), F.lit(0))
     cm = lambda c: F.coalesce(fmt("%.1f cm", c), F.lit("n/a"))
-    used = F.when(total == 0, "No positioned frame in the span.").otherwise(
-        F.format_string("Nose used on %d of %d positioned frames, centroid on the rest.", F.col("nose_frames"), total)
+    used = F.when(total == 0, "The span has no position.").otherwise(
+        F.format_string("Nose in %d of %d positions, else the centroid.", F.col("nose_frames"), total)
     )
     near = F.when(
         F.col("min_nose_cm").isNotNull(),
-        F.concat(F.lit("Closest approach: nose "), cm("min_nose_cm"), F.lit(", centroid "), cm("min_centroid_cm"), F.lit(".")),
+        F.concat(F.lit("Least distance to the hole: nose "), cm("min_nose_cm"), F.lit(", centroid "), cm("min_centroid_cm"), F.lit(".")),
     ).otherwise(
         F.concat(
-            F.lit("Closest approach: centroid "), cm("min_centroid_cm"),
-            F.lit("; nose not available on any frame, so the nose distance is not recorded."),
+            F.lit("Least distance to the hole: centroid "), cm("min_centroid_cm"),
+            F.lit(" (the nose was never seen)."),
         )
     )
     return F.concat_ws(" ", used, near)
