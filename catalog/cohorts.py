@@ -316,12 +316,13 @@ def figure_display_speed(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "figure_speed_distribution",
     f"""SELECT {V}, count(*) AS positions, round(list_sort(list(speed))[(floor(0.5 * (count(*) - 1) + 0.5) + 1)::INT], 4) + 0.0::DOUBLE AS median_cm_s,
-    round(list_sort(list(speed))[(floor(0.95 * (count(*) - 1) + 0.5) + 1)::INT], 4) + 0.0::DOUBLE AS p95_cm_s, {srd('max(speed)', 'fastest_cm_s', 4)} FROM k_speed q {JV} GROUP BY {V}""",
+    round(list_sort(list(speed))[(floor(0.95 * (count(*) - 1) + 0.5) + 1)::INT], 4) + 0.0::DOUBLE AS p95_cm_s, {srd('max(speed)', 'fastest_cm_s', 4)},
+    {srd('any_value(mean_speed_cm_s)', 'mean_cm_s', 4)} FROM k_speed q {JV} LEFT JOIN (SELECT s AS ms, mean_speed_cm_s FROM k_metrics) m ON m.ms = q.s GROUP BY {V}""",
 )
 def figure_speed_distribution(spark: SparkSession, sf: str) -> DataFrame:
     s = FG.display_speed(_path(spark, sf), C.clean(spark, sf)["geometry"], C.params(), chunk_frames(spark))
-    d = FG.speed_distribution(s)
-    return d.select(*KEY, "positions", rd("median_cm_s", 4).alias("median_cm_s"), rd("p95_cm_s", 4).alias("p95_cm_s"), rd("fastest_cm_s", 4).alias("fastest_cm_s"))
+    d = FG.speed_distribution(s, C.derived(spark, sf).metrics)
+    return d.select(*KEY, "positions", rd("median_cm_s", 4).alias("median_cm_s"), rd("p95_cm_s", 4).alias("p95_cm_s"), rd("fastest_cm_s", 4).alias("fastest_cm_s"), rd("mean_cm_s", 4).alias("mean_cm_s"))
 
 
 @query(

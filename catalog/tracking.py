@@ -588,11 +588,18 @@ def incremental_export_gate(spark: SparkSession, sf: str) -> DataFrame:
     return INC.export_gate(C.inputs(spark, sf).videos, _stamped(spark, sf), C.params())
 
 
-@query("incremental_changed_inputs", f"SELECT {V}, concat_ws(';', CASE WHEN s % 5 = 1 AND NOT own_target THEN 'target_hole' END, CASE WHEN s % 4 = 2 AND trial_type <> 'probe' THEN 'trial_type' END) AS changed FROM k_videos WHERE (s % 5 = 1 AND NOT own_target) OR (s % 4 = 2 AND trial_type <> 'probe')")
+@query(
+    "incremental_changed_inputs",
+    f"""SELECT {V}, concat_ws(';', CASE WHEN s % 5 = 1 AND NOT own_target THEN 'target_hole' END, CASE WHEN s % 4 = 2 AND trial_type <> 'probe' THEN 'trial_type' END,
+    CASE WHEN s % 7 = 3 THEN 'map_digest' END, CASE WHEN s % 6 = 5 THEN 'parameters_hash' END) AS changed, 'derived' AS falls
+    FROM k_videos WHERE (s % 5 = 1 AND NOT own_target) OR (s % 4 = 2 AND trial_type <> 'probe') OR s % 7 = 3 OR s % 6 = 5""",
+)
 def incremental_changed_inputs(spark: SparkSession, sf: str) -> DataFrame:
-    v = C.inputs(spark, sf).videos
+    digest, other = P.parameters_hash(C.params()), P.parameters_hash(C.params(trialCutoff_s=120))
+    v = C.inputs(spark, sf).videos.withColumns({"map_digest": F.lit("one"), "parameters_hash": F.lit(digest)})
     s = F.substring("video_id", 2, 12).cast("int")
     after = v.withColumn("target_hole", F.when(s % 5 == 1, 3).otherwise(F.col("target_hole"))).withColumn("trial_type", F.when(s % 4 == 2, "probe").otherwise(F.col("trial_type")))
+    after = after.withColumn("map_digest", F.when(s % 7 == 3, "two").otherwise("one")).withColumn("parameters_hash", F.when(s % 6 == 5, other).otherwise(digest))
     return INC.changed_inputs(v, after)
 
 

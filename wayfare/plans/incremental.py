@@ -47,13 +47,21 @@ def stale(derived: DataFrame, p: dict[str, Any]) -> DataFrame:
     return derived.filter(F.col("parameters_hash") != P.parameters_hash(p)).select(*KEY)
 
 
+#: What the derived layer of a video was made from. The automatic layer comes from the pixels and stays.
+DERIVED_FROM = ("transform", "target_hole", "trial_type", "map_id", "map_digest", "parameters_hash")
+
+
 def changed_inputs(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Which layer each change of a video row invalidates: the automatic one, the derived one, or none."""
-    cols = ["transform", "target_hole", "trial_type", "map_id"]
+    """Videos with a changed input: the names of these inputs, and the layer that falls with them.
+
+    ``map_digest`` (what the map of this name holds) and ``parameters_hash`` are compared where both sides have them. A
+    video without a row before has all inputs changed that are not null.
+    """
+    cols = [c for c in DERIVED_FROM if c in before.columns and c in after.columns]
     b = before.select(*KEY, F.struct(*cols).alias("b"))
     df = after.select(*KEY, *cols).join(b, KEY, "left")
     what = F.concat_ws(";", *[F.when(~F.col(c).eqNullSafe(F.col("b")[c]), F.lit(c)) for c in cols])
-    return df.select(*KEY, what.alias("changed")).filter(F.col("changed") != "")
+    return df.select(*KEY, what.alias("changed"), F.lit("derived").alias("falls")).filter(F.col("changed") != "")
 
 
 def skip_reasons(asked: DataFrame, videos: DataFrame, maps: DataFrame, tracked: DataFrame) -> DataFrame:
