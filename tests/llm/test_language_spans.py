@@ -52,6 +52,20 @@ def test_blocked_viterbi_is_exact():
             assert (L.forward(scores, begins, 640, block) == plain_viterbi(scores, begins, 640)).all()
 
 
+def test_labels_are_one_best_sequence():
+    rng = np.random.default_rng(2)
+    for n in [*range(1, 60), 63, 64, 65, 128, 129, 400]:
+        for unit in (1, 64):  # whole numbers in few steps: many ties
+            scores, begins = rng.integers(-4, 5, (n, 3)) * unit, rng.random(n) < 0.05
+            begins[0] = True
+            sums = L.forward(scores, begins, 2 * unit)
+            last = np.append(begins[1:], True)
+            for block in (1, 7, 64):
+                got = L.traced(sums, begins, 2 * unit, block)
+                moved = (got[1:] != got[:-1]) & ~begins[1:]
+                assert scores[np.arange(n), got].sum() - 2 * unit * moved.sum() == sums[last].max(1).sum()
+
+
 def test_awkward_texts(spark, model):
     rows = [*AWKWARD, (20, "́́", "en", "a"), (21, "\U00020000\U00020001", None, None), (22, "1 2 3 !!", "en", "a")]
     got = L.predict(documents(spark, rows), model).collect()

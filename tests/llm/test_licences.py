@@ -42,3 +42,14 @@ def test_all_in_the_jvm(spark):
     known = L.known(spark)
     plan = L.notices(L.lookup(documents(spark, AWKWARD), known), known)._jdf.queryExecution().toString()
     assert "PythonUDF" not in plan and "MapInArrow" not in plan
+
+
+def test_any_number_of_known_texts(spark, monkeypatch):
+    texts = ["Some prose.\nLicensed under the Apache Licence, version 2.0\nmore\n\nAll rights reserved", None, "", "All rights reserved\nAll rights reserved.", "none"]
+    docs = documents(spark, [(5, t, None, None) for t in texts] + AWKWARD)
+    known = L.known(spark)
+    few = plain(L.notices(docs, known), "doc_id", "text", "notices")
+    monkeypatch.setattr(L, "SEND", 2)
+    many = L.notices(docs, known)
+    assert plain(many, "doc_id", "text", "notices") == few and set(many.columns) == {*docs.columns, "notices"}
+    assert sum(bool(n) for *_, n in few) == 2

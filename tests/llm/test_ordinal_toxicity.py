@@ -45,6 +45,15 @@ def test_sample_is_bounded(spark):
     assert sum(k == 0 for k, _ in got) == 10 and sum(k == 1 for k, _ in got) == 10
 
 
+def test_repeated_identifiers_lose_no_row_of_the_sample(spark):
+    rows, labels = corpus(60)
+    table = spark.createDataFrame(labels + labels, "doc_id long, toxic int")
+    copies = [(i, f"{text} copy {k}", *rest) for i, text, *rest in rows for k in range(9)]
+    got = O.sample(documents(spark, copies, 2), table, "doc_id", "text", "toxic", 10)
+    assert [k for k, _ in got] == [0] * 10 + [1] * 10
+    assert got == O.sample(documents(spark, copies[::-1], 5), table, "doc_id", "text", "toxic", 10)
+
+
 def test_awkward_rows_and_labels(spark):
     docs = documents(spark, AWKWARD)
     labels = spark.createDataFrame([(1, 1), (None, 1), (4, 0), (77, 0), (5, None)], "doc_id long, toxic int")

@@ -249,16 +249,42 @@ def forward(scores: np.ndarray, begins: np.ndarray, switch: int, block: int = 64
     return out.reshape(-1, k)[:n]
 
 
+def traced(there: np.ndarray, begins: np.ndarray, switch: int, block: int = 64) -> np.ndarray:
+    """One best sequence per text, read back from the sums of ``forward``; ties stay in the language, else the first.
+
+    A step back is a map from the next word's language to this word's. Blocks of words advance in step, as in ``forward``:
+    their maps are composed, then the blocks' entries follow one by one, then all words.
+    """
+    n, k = there.shape
+    count = -(-n // block)
+    top = there.argmax(1)
+    stays = there >= there.max(1, keepdims=True) - switch
+    stays[:-1] &= ~begins[1:, None]
+    stays[-1:] = False
+    back = np.tile(np.arange(k), (count * block, 1))
+    back[:n] = np.where(stays, np.arange(k), top[:, None])
+    back = back.reshape(count, block, k)
+    whole = np.tile(np.arange(k), (count, 1))
+    for t in reversed(range(block)):
+        whole = np.take_along_axis(back[:, t], whole, 1)
+    after = np.zeros(count, np.int64)
+    for b in reversed(range(count - 1)):
+        after[b] = whole[b + 1, after[b + 1]]
+    out, at = np.empty((count, block), np.int64), np.arange(count)
+    for t in reversed(range(block)):
+        after = back[at, t, after]
+        out[:, t] = after
+    return out.reshape(-1)[:n]
+
+
 def labelled(w: Words, model: Model, slots: int, switch: int) -> np.ndarray:
-    """The language number of each word: at each word, the language of the best whole sequence through it."""
+    """The language number of each word along one best sequence of its text."""
     scores = word_scores(w, model, slots)
+    if not len(scores):
+        return np.zeros(0, np.int64)
     begins = np.ones(len(scores), bool)
     begins[1:] = w.text[1:] != w.text[:-1]
-    ends = np.ones(len(scores), bool)
-    ends[:-1] = begins[1:]
-    there = forward(scores, begins, switch)
-    back = forward(scores[::-1], ends[::-1], switch)[::-1]
-    return (there + back - scores).argmax(1) if len(scores) else np.zeros(0, np.int64)
+    return traced(forward(scores, begins, switch), begins, switch)
 
 
 def per_text(model: Model, slots: int, switch: int):

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.llm.common import free_name
+from wayfare.session import materialise
 
 #: More known texts than this are joined without a broadcast hint.
 SEND = 10_000
@@ -139,14 +140,27 @@ def lookup(texts: DataFrame, known_texts: DataFrame, text_col: str = "text") ->
 def notices(texts: DataFrame, known_texts: DataFrame, text_col: str = "text") -> DataFrame:
     """``texts`` with ``notices``: for every line that is a known text as a whole, the name of its licence.
 
-    The lookup is a map of the known digests, whose number is bounded; lines stay in their row.
+    Up to ``SEND`` known texts are a map of digests and lines stay in their row; more of them are joined with the lines.
     """
     listed = known_texts.limit(SEND + 1).collect()
-    if len(listed) > SEND:
-        raise ValueError(f"more than {SEND} known texts")
+    lines = F.filter(F.split(F.col(text_col), "\n"), lambda x: F.length(x) > 0)
+    none = F.array().cast("array<string>")
     if not listed:
-        return texts.withColumn("notices", F.array().cast("array<string>"))
+        return texts.withColumn("notices", none)
+    if len(listed) > SEND:
+        return joined_notices(texts, known_texts, lines)
     table = F.create_map(*[F.lit(x) for r in listed for x in (r["digest"], r["licence"])])
-    lines = F.filter(F.split(F.col(text_col), "\n"), lambda x: F.length(x) > 0)
     names = F.filter(F.transform(lines, lambda x: F.try_element_at(table, digest(x))), lambda x: x.isNotNull())
-    return texts.withColumn("notices", F.coalesce(names, F.array().cast("array<string>")))
+    return texts.withColumn("notices", F.coalesce(names, none))
+
+
+def joined_notices(texts: DataFrame, known_texts: DataFrame, lines: Column) -> DataFrame:
+    """``notices`` for any number of known texts: a hash join of line digests, put together again per row."""
+    row = free_name(texts, "_row")
+    held = materialise(texts.withColumn(row, F.monotonically_increasing_id()), "licence-rows")  # so that a row keeps its number
+    each = held.select(F.col(row).alias("row"), F.posexplode(lines).alias("at", "line")).select("row", "at", digest(F.col("line")).alias("digest"))
+    found = each.join(known_texts.select("digest", "licence"), "digest").where(F.col("licence").isNotNull())
+    told = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "licence"))).alias("told"))  # at most a text's lines
+    mine = free_name(held, "_told")
+    told = told.select(F.col("row").alias(row), F.col("told.licence").alias(mine))
+    return held.join(told, row, "left").withColumn("notices", F.coalesce(F.col(mine), F.array().cast("array<string>"))).drop(row, mine)

@@ -12,7 +12,8 @@ The labels at hand say toxic or not. ``graded`` makes grades from them: 0 for ro
 ``TOP`` for toxic rows, by how often they use words that mark toxic rows of the sample (used by a share of toxic
 rows at least ``MARK_RATIO`` times that of the others), cut at the sample's quantiles.
 
-Defined cases: a null text has no features; labels of identifiers that are null or without a row are not used;
+Defined cases: a null text has no features; of rows with one identifier the one with the least hash of its text is
+sampled; an identifier labelled both ways counts once for each; labels of identifiers that are null or without a row are not used;
 without toxic labels, without others or without a telling word every severity is 0; repeated rows get equal results; an empty table gives
 an empty result. Only the columns named are read.
 """
@@ -57,10 +58,12 @@ class Model:
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int = SAMPLE) -> list[tuple[int, dict[str, int]]]:
     """(label, word counts) of the sampled rows: at most ``most`` per label reach the driver."""
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(F.col("id").isNotNull() & F.col("label").isin(0, 1))
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(F.col("id").isNotNull() & F.col("label").isin(0, 1)).distinct()
     chosen = [known.where(F.col("label") == k).orderBy(F.xxhash64("id", F.lit("fit")), "id").limit(most) for k in (0, 1)]
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * most rows
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(picked, "id").select("id", "label", "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(picked, "id")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")  # where identifiers repeat
+    rows = rows.groupBy("id", "label").agg(one).select("id", "label", "one.text")
 
     def count(parts):
         for part in parts:
@@ -70,7 +73,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
                     [pa.array([label], pa.int32()), pa.array([list(c)], pa.list_(pa.string())), pa.array([list(c.values())], pa.list_(pa.int32()))], names=["label", "words", "counts"]
                 )
 
-    got = rows.mapInArrow(count, "label int, words array<string>, counts array<int>").limit(4 * most).toArrow()
+    got = rows.mapInArrow(count, "label int, words array<string>, counts array<int>").toArrow()
     out = []
     for label, ws, ns in zip(got.column("label").to_pylist(), got.column("words"), got.column("counts"), strict=True):
         out.append((label, dict(zip(ws.as_py(), ns.as_py(), strict=True))))
