@@ -101,3 +101,20 @@ def test_ranges_split_trim_and_merge(spark):
     )
     got = sorted((r.start_frame, r.end_frame, r.range_type) for r in CE.resolve_ranges(m).collect())
     assert got == [(0, 39, "not_visible"), (40, 49, "in_escape_box"), (50, 89, "not_visible"), (1990, 2000, "not_visible")]
+
+
+def test_circle_rotation_and_resolution_transforms(spark):
+    c = lambda x, y, r: F.struct(F.lit(x).alias("cx"), F.lit(y).alias("cy"), F.lit(r).alias("r"))
+    names = ("translate_x", "translate_y", "rotation_deg", "scale")
+    onto = G.circle_to_circle(c(10.0, 20.0, 5.0), c(100.0, 50.0, 10.0))
+    row = spark.range(1).select(
+        onto.alias("onto"), F.struct(*G.apply_point(onto, F.lit(15.0), F.lit(20.0))).alias("rim"),
+        G.circle_to_circle(c(1.0, 1.0, 0.0), c(1.0, 1.0, 2.0)).isNull().alias("none"),
+        F.struct(*G.apply_point(G.rotation_about(F.lit(90.0), F.lit(3.0), F.lit(4.0)), F.lit(3.0), F.lit(4.0))).alias("fixed"),
+        F.struct(*G.apply_point(G.rotation_about(F.lit(180.0), F.lit(3.0), F.lit(4.0)), F.lit(4.0), F.lit(6.0))).alias("turned"),
+        G.resolution_ratio(F.lit(640.0), F.lit(1280.0))["scale"].alias("ratio"), G.resolution_ratio(F.lit(0.0), F.lit(5.0))["scale"].alias("unknown"),
+    ).first()
+    assert tuple(row.onto[n] for n in names) == (80.0, 10.0, 0.0, 2.0)
+    assert tuple(row.rim) == (110.0, 50.0) and row.none
+    assert tuple(row.fixed) == pytest.approx((3.0, 4.0)) and tuple(row.turned) == pytest.approx((2.0, 2.0))
+    assert (row.ratio, row.unknown) == (2.0, 1.0)
