@@ -28,6 +28,7 @@ from catalog import benchmark as B
 from wayfare.sources import exports as EX
 from wayfare.sources import intake as IN
 from wayfare.sources import session_json as SJ
+from wayfare.sources import session_parts as SP
 
 # candidates
 _blob = [
@@ -646,6 +647,33 @@ def documents_frames_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return f.groupBy(*KEY).agg(F.count(F.lit(1)).alias("frames"), F.count_if("f.centroid.valid").alias("positioned"), rd(F.sum("f.centroid.x"), 3).alias("sum_x"))
 
 
+_lost = "its lines are not those that its header counts"
+
+
+@query("documents_in_parts", f"""
+SELECT v.session_id, CASE WHEN v.session_id = 'session-1' THEN '{_lost}' END AS problem, v.videos, v.targets, f.frames, f.positioned, f.sum_x, c.corrections, c.edits
+FROM (SELECT session_id, CASE WHEN session_id <> 'session-1' THEN count(*) ELSE 0 END AS videos, CASE WHEN session_id <> 'session-1' THEN count(*) FILTER (WHERE s % 14 = 9) ELSE 0 END AS targets FROM k_videos GROUP BY session_id) v
+LEFT JOIN (SELECT session_id, count(*) AS frames, count(*) FILTER (WHERE c_valid) AS positioned, {srd('sum(x)', 'sum_x', 3)} FROM k_frames WHERE session_id <> 'session-1' GROUP BY session_id) f ON f.session_id = v.session_id
+LEFT JOIN (SELECT 'session-' || (s % 3) AS session_id, count(*) AS corrections, count(*) FILTER (WHERE kind = 'point' OR kind = 'range') AS edits FROM k_corr WHERE s % 3 <> 1 GROUP BY ALL) c ON c.session_id = v.session_id""")
+def documents_in_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """All sessions written as headers and line files and read back; one header counts a frame too many."""
+    from wayfare.session import stage_folder
+
+    i, sid = C.inputs(spark, sf), "00000000-0000-0000-0000-00000000000"
+    named = lambda d: d.withColumn("session_id", F.concat(F.lit(sid), F.substring("session_id", 9, 1)))
+    parts = SP.Parts(named(B.sessions(spark, sf)), named(i.videos), named(i.frames), named(i.corrections))
+    one_more = F.col("parts").withField("frames", F.col("parts.frames") + F.when(F.col("session_id").endswith("1"), 1).otherwise(0))
+    folder = f"{stage_folder(spark)}/parts-{uuid.uuid4().hex}"
+    SP.write_parts(parts, folder, SP.manifest(parts).withColumn("parts", one_more))
+    got = SP.read_parts(spark, folder)
+    n = F.count(F.lit(1))
+    v = got.videos.groupBy("session_id").agg(n.alias("videos"), F.count("target_hole").alias("targets"))
+    f = got.frames.groupBy("session_id").agg(n.alias("frames"), F.count_if("centroid.valid").alias("positioned"), rd(F.sum("centroid.x"), 3).alias("sum_x"))
+    c = got.corrections.groupBy("session_id").agg(n.alias("corrections"), F.count_if(F.col("kind").isin("point", "range")).alias("edits"))
+    out = got.sessions.select("session_id", "problem").join(v, "session_id", "left").join(f, "session_id", "left").join(c, "session_id", "left")
+    return out.fillna(0, ["videos", "targets"]).withColumn("session_id", F.concat(F.lit("session-"), F.substring("session_id", 36, 1)))
+
+
 @query("documents_maps", "SELECT CASE s % 4 WHEN 1 THEN 'its hole ring has fewer than three holes' WHEN 2 THEN 'its target is not one of its holes' WHEN 3 THEN 'it has no platform diameter' END AS problem, count(*) AS documents FROM k_sup GROUP BY 1")
 def documents_maps(spark: SparkSession, sf: str) -> DataFrame:
     """Maze maps read with the first problem of each."""
@@ -746,9 +774,17 @@ def cohort_parameter_difference(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
+#: Observations in a file of the stream.
+ONLINE_ROWS = 4_096
+
+
 @query("streaming_selection", f"SELECT {V}, n AS frame_index, reason, rank, true AS accepted FROM k_sel q {JV}")
 def streaming_selection(spark: SparkSession, sf: str) -> DataFrame:
-    """The selection made online: all observations streamed from files, one state per video."""
+    """The selection made online: observations streamed from files, one for each core at a time, one state per video.
+
+    The frames of a video lie in order in files of at most ``ONLINE_ROWS`` rows written one after the other. Files may change places
+    by one where the clock of the folder cannot tell them apart, which the frames held ahead make good.
+    """
     from wayfare.session import stage_folder
     from wayfare.streaming import online
 
@@ -757,8 +793,10 @@ def streaming_selection(spark: SparkSession, sf: str) -> DataFrame:
     obs = SE.observations(frames, t["cand"], t["unions"]).join(t["px"].join(t["expected"], KEY), KEY).withColumn("px", SE.thresholds_struct(p))
     obs = obs.select(*KEY, "frame_index", "t", "cs", "u", "px")
     root = f"{stage_folder(spark)}/online-{uuid.uuid4().hex}"
-    obs.write.parquet(f"{root}/in")
-    chosen = online.select_stream(spark.readStream.schema(obs.schema).parquet(f"{root}/in"))
+    dealt = obs.repartition(*KEY).sortWithinPartitions(*KEY, "frame_index")
+    dealt.write.option("maxRecordsPerFile", ONLINE_ROWS).parquet(f"{root}/in")
+    files = spark.readStream.schema(obs.schema).option("maxFilesPerTrigger", spark.sparkContext.defaultParallelism).parquet(f"{root}/in")
+    chosen = online.select_stream(files, held=2 * ONLINE_ROWS)
     q = chosen.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(chosen.schema).parquet(f"{root}/out").select(*KEY, "frame_index", "reason", "rank", "accepted")

@@ -8,7 +8,7 @@ from tests.tracks import CX, CY, hole, tables, visit
 from wayfare import params as P
 from wayfare.operators import selection as SE
 from wayfare.operators.timeline import KEY
-from wayfare.sources import intake, session_json
+from wayfare.sources import intake, session_json, session_parts
 from wayfare.streaming import online, rederive
 
 LIM = {"min_area": 80.0, "max_area": 1600.0, "merge_px": 35.0, "near_px": 27.0, "oversized": 3.0, "small": 0.5}
@@ -44,15 +44,35 @@ def _observations(spark, n, chunk):
     )
 
 
-def _brute(rows):
+def _judged(r, prev):
+    """(reason, rank, position) of one observation by hand, for an expected area of 500."""
+    top = min(LIM["max_area"], LIM["oversized"] * 500.0)
+    ok = [b for b in r.cs if b.area >= LIM["min_area"]]
+    if r.cs and r.cs[0].area > top:
+        return "oversized_blob", -1, None
+    if not ok:
+        return "no_foreground", -1, None
+    usual = "single_blob"
+    if len(ok) > 1:
+        if r.u is not None and LIM["min_area"] <= r.u.area <= top:
+            return "fragmented", -2, (r.u.cx, r.u.cy)
+        ok = [b for b in ok if prev is not None and math.dist((b.cx, b.cy), prev) <= LIM["near_px"]]
+        usual = "proximity_to_previous"
+    if len(ok) != 1:
+        return "multiple_blobs", -1, None
+    why = "partial_at_rim" if ok[0].rim else "small_blob" if ok[0].area < LIM["small"] * 500.0 else usual
+    return why, ok[0].rank, (ok[0].cx, ok[0].cy)
+
+
+def _brute(rows, left_out=()):
     out, prev, last = {}, None, None
     for r in sorted(rows, key=lambda r: (r.video_id, r.pos)):
         if r.video_id != last:
             prev, last = None, r.video_id
-        blobs = [(b.rank, b.area, b.cx, b.cy, b.rim) for b in r.cs]
-        u = None if r.u is None else (-2, r.u.area, r.u.cx, r.u.cy, r.u.rim)
-        reason, rank, x, y = online.choose(blobs, u, prev, {**LIM, "expected": 500.0})
-        prev = (x, y) if x is not None else prev
+        if r.pos in left_out:
+            continue
+        reason, rank, at = _judged(r, prev)
+        prev = at or prev
         out[(r.video_id, r.pos)] = (reason, rank)
     return out
 
@@ -67,25 +87,45 @@ def test_selection_matches_a_plain_loop(spark, chunk):
     assert got == _brute(obs.collect())
 
 
-def test_online_selection(spark, tmp_path):
-    """A file stream gives what the loop gives; a frame out of order is set aside."""
-    obs = _observations(spark, 60, 1000)
+def _online(spark, tmp_path, files, **options):
+    """Each group of frame numbers is one file and one micro-batch, read in the order given."""
+    obs = _observations(spark, 150, 1000)
     px = F.struct(F.lit(500.0).alias("expected"), *[F.lit(LIM[k]).alias(k) for k in ("max_area", "min_area", "merge_px", "near_px", "oversized", "small")])
-    src = str(tmp_path / "in")
-    full = obs.withColumn("px", px)
-    full.filter("pos < 30").coalesce(1).write.parquet(src)
-    full.filter("pos >= 30 and pos <> 45").coalesce(1).write.mode("append").parquet(src)
+    full, src = obs.withColumn("px", px), str(tmp_path / "in")
+    for numbers in files:
+        full.filter(F.col("pos").isin(list(numbers))).orderBy(F.rand(3)).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(full.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = online.select_stream(stream).writeStream.format("memory").queryName("chosen").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    name = f"chosen_{tmp_path.name.replace('-', '_')}"
+    q = online.select_stream(stream, **options).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
     try:
         q.processAllAvailable()
+        rows = spark.sql(f"select * from {name}").collect()
     finally:
         q.stop()
-    rows = spark.sql("select * from chosen").collect()
-    want = _brute(obs.collect())
-    good = {(r.video_id, r.frame_index): (r.reason, r["rank"]) for r in rows if r.accepted}
-    assert good == {k: v for k, v in want.items() if k[1] < 45}
-    assert sum(not r.accepted for r in rows) == 28
+    taken = {(r.video_id, r.frame_index): (r.reason, r["rank"]) for r in rows if r.accepted}
+    return taken, sorted((r.video_id, r.frame_index) for r in rows if not r.accepted), obs.collect()
+
+
+def test_online_selection_in_any_order(spark, tmp_path):
+    """Files out of order give what the loop gives; early frames wait for the ones before them."""
+    taken, passed, obs = _online(spark, tmp_path, [range(60, 100), range(0, 30), range(100, 150), range(30, 60)])
+    assert taken == _brute(obs) and not passed
+
+
+def test_online_selection_gives_up_missing_frames(spark, tmp_path):
+    """Frame 45 is missing and given up once a frame lies more than 50 ahead; when it comes it is set aside."""
+    rest = [n for n in range(150) if n != 45]
+    taken, passed, obs = _online(spark, tmp_path, [rest[:60], rest[60:], [45]], held=50)
+    assert taken == _brute(obs, [45]) and passed == [("a", 45), ("b", 45)]
+
+
+def test_held_frames_are_bounded():
+    import numpy as np
+
+    assert online._released(np.array([3, 4, 9]), 3, 50) == (2, 5)
+    assert online._released(np.array([5, 6, 60]), 3, 50) == (2, 10)
+    assert online._released(np.array([10, 11, 60]), 3, 50) == (2, 12)
+    assert online._released(np.array([], dtype=int), 3, 50) == (0, 3)
 
 
 def test_incremental_stream(spark, tmp_path):
@@ -114,6 +154,41 @@ def test_session_documents(spark):
     assert session_json.session_headers(docs.filter("problem is null").select("session_id", "name", "reviewer", "tool_version")).count() == 2
 
 
+def _same(a, b, columns):
+    return a.select(columns).exceptAll(b.select(columns)).isEmpty() and b.select(columns).exceptAll(a.select(columns)).isEmpty()
+
+
+def test_session_documents_in_parts(spark, tmp_path):
+    """What is written is read again; a session with a lost line, a foreign target or no lines gets its reason or its empty tables."""
+    sid = [f"11111111-1111-1111-1111-11111111111{k}" for k in range(5)]
+    i = tables(spark, {"v": visit(3, 5), "w": visit(8)})
+    of = lambda d, k: d.withColumn("session_id", F.lit(sid[k]))
+    both = lambda d: of(d, 0).unionByName(of(d, 1)).unionByName(of(d, 2))
+    content = F.struct(F.lit(5).cast("bigint").alias("byte_length"), F.lit(0.1).alias("duration_s"), F.lit(3).cast("bigint").alias("frame_count"), F.lit("x").alias("sha256"))
+    videos = both(i.videos).withColumn("fingerprint", content)
+    videos = videos.withColumn("target_hole", F.when(F.col("session_id") == sid[2], 20).otherwise(F.lit(None)).cast("int"))
+    entry = "struct<" + ",".join(f"{n}:{t}" for n, t in {
+        "id": "string", "timestamp": "string", "kind": "string", "reviewer": "string", "frame_index": "int", "point": "string", "x": "double", "y": "double",
+        "confidence": "double", "valid": "boolean", "range_type": "string", "start_frame": "int", "end_frame": "int", "action": "string", "event_id": "string",
+        "new_kind": "string", "hole_index": "int", "confirmed": "boolean", "strategy": "string", "reason_text": "string"}.items()) + ">"
+    corrections = spark.range(1).select(F.lit(sid[0]).alias("session_id"), F.lit("v").alias("video_id"), F.from_json(F.lit('{"id":"a","kind":"point","x":0.1,"reason_text":"a\\"b"}'), entry).alias("e")).select("session_id", "video_id", "e.*")
+    sessions = spark.createDataFrame([(s, f"n{k}", None, "0.1", '{"holes":{"n":20}}') for k, s in enumerate(sid)], "session_id string, name string, reviewer string, tool_version string, maze_map string")
+    sessions = sessions.withColumn("name", F.when(F.col("session_id") != sid[4], F.col("name")))
+    parts = session_parts.Parts(sessions, videos, both(i.frames), corrections)
+    counted = session_parts.manifest(parts)
+    counted = counted.withColumn("parts", F.col("parts").withField("frames", F.col("parts.frames") + F.when(F.col("session_id") == sid[1], 1).otherwise(0)))
+    session_parts.write_parts(parts, str(tmp_path / "d"), counted)
+    got = session_parts.read_parts(spark, str(tmp_path / "d"))
+    problems = {r.session_id: r.problem for r in got.sessions.collect()}
+    assert problems == dict(zip(sid, [None, "its lines are not those that its header counts", "a video names a target its map does not have", None, "it has no session name"]))
+    mine = lambda d: d.filter(F.col("session_id") == sid[0])
+    assert _same(got.videos, mine(videos), [c for c in got.videos.columns if c in videos.columns])
+    assert _same(got.frames, mine(parts.frames), got.frames.columns) and got.frames.count() > 100
+    assert _same(got.corrections, corrections, corrections.columns)
+    head = session_json.read_sessions(spark.read.text(str(tmp_path / "d" / "sessions")))
+    assert {r.problem for r in head.collect()} == {"the header of a session in parts"}
+
+
 def test_files_are_matched_by_content(spark, tmp_path):
     (tmp_path / "a.mp4").write_bytes(b"one")
     (tmp_path / "b.avi").write_bytes(b"two")

@@ -66,6 +66,7 @@ def read_sessions(texts: DataFrame) -> DataFrame:
     problem = first_problem(
         (c("_bad").isNotNull() | F.col("d").isNull() | ~F.trim("value").startswith("{"), "not valid JSON"),
         (has("platform") & has("holes"), "a maze map, not a session"),
+        (has("parts"), "the header of a session in parts"),
         (v.isNull(), "no schema version"),
         (v > SESSION_VERSION, "written by a newer version"),
         (~v.isin(1.0, 2.0), "written by an older version that cannot be read"),
@@ -115,26 +116,39 @@ def _analyses(docs: DataFrame) -> DataFrame:
     return docs.filter("problem is null").select("session_id", "migrated", F.explode("analyses").alias("video_id", "a"))
 
 
+def frame_columns() -> list[Column]:
+    """The columns of the frame table from a document's frame object ``f``."""
+    return [
+        F.col("f.frameIndex").alias("frame_index"), F.col("f.t_s").alias("t_s"), F.col("f.centroid").alias("centroid"), F.col("f.nose").alias("nose"),
+        F.col("f.detectionState").alias("detection_state"), F.col("f.reason").alias("reason"), F.col("f.blobArea_px2").alias("blob_area_px2"),
+        F.col("f.noseHeadingConfidence").alias("nose_heading_confidence"), F.col("f.boundingBox").alias("bounding_box"),
+    ]
+
+
+def entry_columns() -> list[Column]:
+    """The columns of the corrections table from a document's entry object ``e``."""
+    named = {
+        "frameIndex": "frame_index", "rangeType": "range_type", "startFrame": "start_frame", "endFrame": "end_frame", "eventId": "event_id",
+        "newKind": "new_kind", "holeIndex": "hole_index", "reason": "reason_text", "value.x": "x", "value.y": "y",
+        "value.confidence": "confidence", "value.valid": "valid",
+    }
+    order = (
+        "id", "timestamp", "kind", "reviewer", "frameIndex", "point", "value.x", "value.y", "value.confidence", "value.valid", "rangeType",
+        "startFrame", "endFrame", "action", "eventId", "newKind", "holeIndex", "confirmed", "strategy", "reason",
+    )
+    return [F.col(f"e.{n}").alias(named.get(n, n)) for n in order]
+
+
 def session_frames(docs: DataFrame) -> DataFrame:
     """The frame table of usable documents."""
     f = _analyses(docs).select("session_id", "video_id", F.posexplode("a.auto.frames").alias("pos", "f"))
-    return f.select(
-        "session_id", "video_id", "pos", F.col("f.frameIndex").alias("frame_index"), F.col("f.t_s").alias("t_s"), "f.centroid", "f.nose",
-        F.col("f.detectionState").alias("detection_state"), "f.reason", F.col("f.blobArea_px2").alias("blob_area_px2"),
-        F.col("f.noseHeadingConfidence").alias("nose_heading_confidence"), F.col("f.boundingBox").alias("bounding_box"),
-    )
+    return f.select("session_id", "video_id", "pos", *frame_columns())
 
 
 def session_corrections(docs: DataFrame) -> DataFrame:
     """The corrections table of usable documents; a migrated entry without a reviewer stays without."""
     e = _analyses(docs).select("session_id", "video_id", F.explode("a.corrections.entries").alias("e"))
-    return e.select(
-        "session_id", "video_id", "e.id", "e.timestamp", "e.kind", "e.reviewer", F.col("e.frameIndex").alias("frame_index"), "e.point",
-        F.col("e.value.x").alias("x"), F.col("e.value.y").alias("y"), F.col("e.value.confidence").alias("confidence"), F.col("e.value.valid").alias("valid"),
-        F.col("e.rangeType").alias("range_type"), F.col("e.startFrame").alias("start_frame"), F.col("e.endFrame").alias("end_frame"), "e.action",
-        F.col("e.eventId").alias("event_id"), F.col("e.newKind").alias("new_kind"), F.col("e.holeIndex").alias("hole_index"), "e.confirmed", "e.strategy",
-        F.col("e.reason").alias("reason_text"),
-    )
+    return e.select("session_id", "video_id", *entry_columns())
 
 
 def auto_layers(docs: DataFrame) -> DataFrame:
@@ -160,19 +174,28 @@ def video_json(videos: DataFrame) -> Column:
     )
 
 
+def frame_json() -> Column:
+    """One frame row as the document's frame object."""
+    return F.struct(
+        F.col("frame_index").alias("frameIndex"), "t_s", "centroid", "nose", F.col("detection_state").alias("detectionState"), "reason",
+        F.col("blob_area_px2").alias("blobArea_px2"), F.col("bounding_box").alias("boundingBox"),
+        F.col("nose_heading_confidence").alias("noseHeadingConfidence"),
+    )
+
+
+def entry_json() -> Column:
+    """One correction row as the document's entry object."""
+    return F.struct(
+        "kind", "id", "timestamp", "reviewer", F.col("frame_index").alias("frameIndex"), "point", F.struct("x", "y", "confidence", "valid").alias("value"),
+        F.col("range_type").alias("rangeType"), F.col("start_frame").alias("startFrame"), F.col("end_frame").alias("endFrame"), "action",
+        F.col("event_id").alias("eventId"), F.col("new_kind").alias("newKind"), F.col("hole_index").alias("holeIndex"), "confirmed", "strategy",
+        F.col("reason_text").alias("reason"),
+    )
+
+
 def frame_lines(frames: DataFrame) -> DataFrame:
     """Frames as JSON lines, written in parallel beside the session headers."""
-    return frames.select(
-        "session_id", "video_id", "pos",
-        F.to_json(
-            F.struct(
-                F.col("frame_index").alias("frameIndex"), "t_s", "centroid", "nose", F.col("detection_state").alias("detectionState"), "reason",
-                F.col("blob_area_px2").alias("blobArea_px2"), F.col("bounding_box").alias("boundingBox"),
-                F.col("nose_heading_confidence").alias("noseHeadingConfidence"),
-            ),
-            {"ignoreNullFields": "false"},
-        ).alias("value"),
-    )
+    return frames.select("session_id", "video_id", "pos", F.to_json(frame_json(), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def video_lines(videos: DataFrame) -> DataFrame:
@@ -181,15 +204,22 @@ def video_lines(videos: DataFrame) -> DataFrame:
 
 
 def session_headers(sessions: DataFrame) -> DataFrame:
-    """Session documents without their tracks; videos and frames travel as lines of their own."""
+    """Session documents without their tracks: what ``session_parts`` writes beside the line files.
+
+    ``sessions`` may have ``maze_map`` and ``parameters`` (JSON text) and ``parts`` (lines of each kind), which readers ask for.
+    """
+    given = {
+        "maze_map": lambda c: F.try_parse_json(c).alias("mazeMap"), "parameters": lambda c: F.try_parse_json(c).alias("parameters"),
+        "parts": lambda c: c.alias("parts"),
+    }
     return sessions.select(
         "session_id",
         F.to_json(
             F.struct(
                 F.lit(SESSION_VERSION).alias("schemaVersion"), F.col("tool_version").alias("toolVersion"), F.col("session_id").alias("sessionId"),
-                "name", "reviewer",
+                "name", "reviewer", *[as_json(F.col(n)) for n, as_json in given.items() if n in sessions.columns],
             ),
-            {"ignoreNullFields": "false", "pretty": "true"},
+            {"ignoreNullFields": "false"},
         ).alias("value"),
     )
 
