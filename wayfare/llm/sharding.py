@@ -2,11 +2,12 @@
 
 Records are hashed into a fixed number of slots; only the map from slots to shards changes. A first map fills
 the shards with the slots in order of falling size; ``rebalanced`` edits a map by moving slots to new or light
-shards and leaves the others where they are.
+shards and leaves the others where they are. Versions of a map are written once and never changed; ``current_map``
+takes the latest one and writes an edited version only if shards came, went or ran out of balance.
 
 Defined cases: a null text counts no bytes and has checksum 0; a null id is hashed as such with the text, so
-that null or repeated ids spread; identical rows share a slot; an empty table gives an empty result. Only the
-columns named are read.
+that null or repeated ids spread; rows that agree in id, size and checksum are told apart by their number among
+themselves, so that they spread as well; an empty table gives an empty result. Only the columns named are read.
 """
 
 from __future__ import annotations
@@ -25,12 +26,29 @@ SLOTS = 8192
 ROW_BYTES = 8
 
 
+#: Equal rows that are numbered by one task at a time.
+COPIES = 10_000
+#: A map is edited where its heaviest shard holds more than this times the mean.
+MOST_OVER = 1.05
+
+
 def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and virtual slot of every row; texts are read once."""
+    """doc_id, size, text_crc32 and virtual slot of every row; texts are read once.
+
+    Equal rows are counted, and the count is opened in blocks that are dealt anew, so no task holds all copies of a row.
+    """
     crc = F.coalesce(F.crc32(F.col(text_col)), F.lit(0)).cast("long")
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + ROW_BYTES
     rows = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), crc.alias("text_crc32"))
-    return rows.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+    key = ["doc_id", "size", "text_crc32"]
+    counted = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    blocks = counted.withColumn("_b", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / COPIES).cast("long"))))
+    blocks = blocks.repartition(*key, "_b")
+    first, last = F.col("_b") * COPIES, F.least(F.col("_n"), (F.col("_b") + 1) * COPIES) - 1
+    one = blocks.select(*key, F.explode(F.sequence(first, last)).alias("_copy"))
+    said = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), "text_crc32", "size", "_copy")
+    number = F.conv(F.substring(F.md5(said), 1, 12), 16, 10).cast("long")
+    return one.select(*key, F.pmod(number, F.lit(slots)).cast("int").alias("vslot"))
 
 
 def slot_bytes(rows: DataFrame) -> dict[int, int]:
@@ -68,12 +86,51 @@ def rebalanced(shard_of: list[int], sizes: dict[int, int], shards: int) -> list[
 
 
 def store_map(spark: SparkSession, shard_of: list[int], version: int, folder: str) -> DataFrame:
-    """Write a version of the map beside the earlier ones, and read it back."""
+    """Write a version of the map beside the earlier ones, and read it back. A version that is there stays as it is."""
     path = f"{folder}/version={version}"
-    spark.createDataFrame(list(enumerate(shard_of)), "vslot int, shard int").coalesce(1).write.mode("overwrite").parquet(path)
+    spark.createDataFrame(list(enumerate(shard_of)), "vslot int, shard int").coalesce(1).write.mode("errorifexists").parquet(path)
     return spark.read.schema("vslot int, shard int").parquet(path)
 
 
+def latest_map(spark: SparkSession, folder: str) -> tuple[int, list[int]]:
+    """The last version in a folder and its map; version 0 and an empty map where there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    # a version counts once its writer has finished
+    done = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/version=*/_SUCCESS")) or []
+    versions = [int(str(f.getPath().getParent().getName()).split("=")[1]) for f in done]
+    if not versions:
+        return 0, []
+    last = max(versions)
+    listed = spark.read.schema("vslot int, shard int").parquet(f"{folder}/version={last}").orderBy("vslot").collect()  # a row per slot
+    return last, [r.shard for r in listed]
+
+
+def current_map(rows: DataFrame, folder: str, shards: int = SHARDS, slots: int = SLOTS) -> tuple[int, DataFrame]:
+    """(version, map) for ``rows``: the stored map if it fits the shards and is in balance, else an edited next version."""
+    spark, sizes = rows.sparkSession, slot_bytes(rows)
+    version, shard_of = latest_map(spark, folder)
+    if not version:
+        return 1, store_map(spark, first_map(sizes, shards, slots), 1, folder)
+    if len(shard_of) != slots:
+        raise ValueError(f"the map in {folder} has {len(shard_of)} slots, not {slots}: the number of slots is fixed for a data set")
+    # slots of shards that went go to the lightest ones; rebalancing evens the rest
+    edited = [s if s < shards else -1 for s in shard_of]
+    load = [0] * shards
+    for slot, s in enumerate(edited):
+        if s >= 0:
+            load[s] += sizes.get(slot, 0)
+    for slot in sorted((i for i, s in enumerate(edited) if s < 0), key=lambda i: (-sizes.get(i, 0), i)):
+        edited[slot] = min(range(shards), key=lambda s: (load[s], s))
+        load[edited[slot]] += sizes.get(slot, 0)
+    grown = shards > max(shard_of) + 1
+    if grown or max(load) > MOST_OVER * sum(load) / shards:
+        edited = rebalanced(edited, sizes, shards)
+    if edited == shard_of:
+        return version, spark.read.schema("vslot int, shard int").parquet(f"{folder}/version={version}")
+    return version + 1, store_map(spark, edited, version + 1, folder)
+
+
 def placed(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     """``rows`` with shard and ``slot``, the row's gapless place in its shard.
 
@@ -92,10 +149,14 @@ def placed(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     )
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, vslot, shard, slot and map_version of every row, under a first map."""
+def shard(
+    docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None
+) -> DataFrame:
+    """doc_id, size, text_crc32, vslot, shard, slot and map_version of every row.
+
+    ``folder`` holds the versions of the data set's map; without one a first map is made for these rows alone.
+    """
     spark = docs.sparkSession
     rows = materialise(hashed(docs, id_col, text_col, slots), "shard-rows")
-    shard_of = first_map(slot_bytes(rows), shards, slots)
-    slot_map = store_map(spark, shard_of, 1, f"{stage_folder(spark)}/shard-map-{uuid.uuid4().hex}")
-    return placed(rows, slot_map).withColumn("map_version", F.lit(1))
+    version, slot_map = current_map(rows, folder or f"{stage_folder(spark)}/shard-map-{uuid.uuid4().hex}", shards, slots)
+    return placed(rows, slot_map).withColumn("map_version", F.lit(version))
