@@ -647,11 +647,11 @@ def documents_frames_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return f.groupBy(*KEY).agg(F.count(F.lit(1)).alias("frames"), F.count_if("f.centroid.valid").alias("positioned"), rd(F.sum("f.centroid.x"), 3).alias("sum_x"))
 
 
-_lost = "its lines are not those that its header counts"
+_MISCOUNTED = "its lines are not those that its header counts"
 
 
 @query("documents_in_parts", f"""
-SELECT v.session_id, CASE WHEN v.session_id = 'session-1' THEN '{_lost}' END AS problem, v.videos, v.targets, f.frames, f.positioned, f.sum_x, c.corrections, c.edits
+SELECT v.session_id, CASE WHEN v.session_id = 'session-1' THEN '{_MISCOUNTED}' END AS problem, v.videos, v.targets, f.frames, f.positioned, f.sum_x, c.corrections, c.edits
 FROM (SELECT session_id, CASE WHEN session_id <> 'session-1' THEN count(*) ELSE 0 END AS videos, CASE WHEN session_id <> 'session-1' THEN count(*) FILTER (WHERE s % 14 = 9) ELSE 0 END AS targets FROM k_videos GROUP BY session_id) v
 LEFT JOIN (SELECT session_id, count(*) AS frames, count(*) FILTER (WHERE c_valid) AS positioned, {srd('sum(x)', 'sum_x', 3)} FROM k_frames WHERE session_id <> 'session-1' GROUP BY session_id) f ON f.session_id = v.session_id
 LEFT JOIN (SELECT 'session-' || (s % 3) AS session_id, count(*) AS corrections, count(*) FILTER (WHERE kind = 'point' OR kind = 'range') AS edits FROM k_corr WHERE s % 3 <> 1 GROUP BY ALL) c ON c.session_id = v.session_id""")
