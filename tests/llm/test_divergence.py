@@ -135,3 +135,12 @@ def test_labelled_good_rows_set_the_word_test(spark):
     assert {900, 901, 902} <= loose and tight == set(range(300))
     refs = D.references(docs)
     assert D.fitted(docs, labels.limit(20), refs) == D.Limits() == D.fitted(docs, labels.limit(0), refs)
+
+
+def test_every_label_counts(spark):
+    rows = [(i, sentence(60 if i % 2 else 150, i, tuple(f"{a}{b}" for a in ("al", "be", "co", "du") for b in ("ra", "to", "mi", "lu"))), "en", "a") for i in range(300)]
+    docs = documents(spark, rows)
+    # far more labels than any share of which would leave enough of these documents
+    labels = spark.range(60_000).selectExpr("id AS doc_id", "1 AS quality")
+    refs = D.references(docs)
+    assert D.fitted(docs, labels, refs) == D.fitted(docs, labels.where("doc_id < 300"), refs) != D.Limits()

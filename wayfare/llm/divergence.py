@@ -6,7 +6,7 @@ Small texts differ by chance, so a limit falls with the text's length (``base +
 comparison has a minimum length below which it says nothing.
 
 With ``labels`` the word test is set from labelled good documents (``fitted``): it then runs from ``min_short_words``
-letter words on, with the least slack that a sample of at most about ``SAMPLE`` labels needs, and some room.
+letter words on, with the least slack that all labelled good documents need, and some room.
 
 References are counted over all documents of a language. A language with fewer than ``min_reference_words``
 letter words has none. Documents of such a language, or of none given, are measured against the nearest reference, but
@@ -36,8 +36,7 @@ MARKS = ".,;:?!'\"-()"
 #: A word that can be a common one: letters only, at most this many.
 COMMON_LETTERS = 6
 COMMON_WORDS = 50
-#: Labels that set the slack of the word test, by hash; documents of a length that it needs at least; room above the sample.
-SAMPLE = 16_000
+#: Labelled good documents of a length that set a slack of the word test; room above what they need.
 LEAST_SAMPLE = 100
 ROOM = 0.05
 #: Languages are a closed list of codes; more than this many is an error in the column.
@@ -209,20 +208,17 @@ class Judge:
         )
 
 
-def fitted(docs: DataFrame, labels: DataFrame, refs, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limits: Limits = Limits(), most: int = SAMPLE) -> Limits:
+def fitted(docs: DataFrame, labels: DataFrame, refs, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limits: Limits = Limits()) -> Limits:
     """``limits`` with the slack that labelled good documents need, for short and long ones.
 
-    ``labels``: the identifier and quality (0 or 1). About ``most`` labels are used if there are more, those with a
-    low hash; identifiers labelled both ways are not. A slack is the largest that a good document of the sample with a
-    reference of its own needs, plus ``ROOM``, and for long ones never above ``common_slack``; with under ``LEAST_SAMPLE`` documents
+    ``labels``: the identifier and quality (0 or 1). All are used but for identifiers labelled both ways. A slack is the
+    largest that a good document with a reference of its own needs, plus ``ROOM``, and for long ones never above ``common_slack``; with under ``LEAST_SAMPLE`` documents
     of a length, ``limits`` stay as they are there. Two counts and two largest values reach the driver.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col("quality").alias("q")).where(F.col("id").isNotNull() & F.col("q").isin(0, 1))
-    total = known.count()
-    if not total or not refs:
+    if not refs or known.isEmpty():
         return limits
-    part = F.pmod(F.xxhash64("id", F.lit("quality")), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, most / total)))
-    good = known.where(part).groupBy("id").agg(F.min("q").alias("q")).where("q = 1").select("id")
+    good = known.groupBy("id").agg(F.min("q").alias("q")).where("q = 1").select("id")
 
     def needs(parts):
         rule = Judge(refs, limits)
@@ -237,7 +233,7 @@ def fitted(docs: DataFrame, labels: DataFrame, refs, id_col: str = "doc_id", tex
                         need.append((far - limits.common_base) * count**0.5)
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(need, pa.float64())], names=["n", "need"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(good), "id")  # about ``most`` rows
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(good, "id")
     found = rows.select("lang", "text").mapInArrow(needs, "n long, need double")
     most_needed = {long: need for long, count, need in found.groupBy(F.col("n") >= limits.min_common_words).agg(F.count(F.lit(1)), F.max("need")).collect() if count >= LEAST_SAMPLE}
     slacks = {k: max(0.0, v) + ROOM for k, v in most_needed.items()}
