@@ -30,14 +30,15 @@ def sample_frames(frames: DataFrame, excluded: DataFrame, count: int, chunk_fram
     cond = hit
     for s in same:
         cond = cond & s
-    free = frames.alias("f").join(cut.alias("e"), cond, "left_anti")
+    # what an explode makes is not in the planner's estimate: merge joins, so that no such side is broadcast
+    free = frames.alias("f").join(cut.alias("e").hint("merge"), cond, "left_anti")
     numbered = renumber(free, chunk_frames)
     n = numbered.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
     k = F.least(F.lit(count), F.col("n"))
     wanted = n.withColumn("k", F.explode(F.sequence(F.lit(0), k.cast("int") - 1))).select(
         *KEY, F.floor((F.col("k") + 0.5) * F.col("n") / k).alias("idx")
     ).withColumn("chunk", (F.col("idx") / chunk_frames).cast("int"))
-    return numbered.join(wanted, [*KEY, "chunk", "idx"]).select(*KEY, "pos")
+    return numbered.join(wanted.hint("merge"), [*KEY, "chunk", "idx"]).select(*KEY, "pos")
 
 
 def median_background(pixels: DataFrame, keys: list[str]) -> DataFrame:
