@@ -144,3 +144,17 @@ def test_every_label_counts(spark):
     labels = spark.range(60_000).selectExpr("id AS doc_id", "1 AS quality")
     refs = D.references(docs)
     assert D.fitted(docs, labels, refs) == D.fitted(docs, labels.where("doc_id < 300"), refs) != D.Limits()
+
+
+def test_labels_meet_measures_not_texts(spark, monkeypatch):
+    rows = [(i, sentence(60 if i % 2 else 150, i, tuple(f"{a}{b}" for a in ("al", "be", "co", "du") for b in ("ra", "to", "mi", "lu"))), "en", "a") for i in range(300)]
+    rows += [(None, sentence(80, 1), "en", "a"), (7, None, "en", "a"), (8, sentence(80, 8), None, "a")]
+    docs = documents(spark, rows)
+    labels = spark.range(400).selectExpr("id AS doc_id", "int(id % 3 > 0) AS quality")
+    met, meet = [], D.with_slacks
+    monkeypatch.setattr(D, "with_slacks", lambda found, *rest: met.append(found.dtypes) or meet(found, *rest))
+    limits = D.fitted(docs, labels, D.references(docs))
+    by_labels, by_limits = D.judge(docs, labels=labels), D.judge(docs, limits=limits)
+    assert limits != D.Limits() and plain(by_labels) == plain(by_limits)
+    assert sorted(r.doc_id for r in D.kept(docs, labels=labels).collect()) == sorted(r.doc_id for r in by_limits.where("kept").collect())
+    assert met == [[("id", "bigint"), ("letters", "bigint"), ("word_distance", "double")]] * 3
