@@ -2,11 +2,18 @@
 
 import re
 
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from catalog import benchmark as B
+from catalog import cohort as C
+from tests.tracks import CX, CY, hole, tables, visit, walk
+from wayfare import params as P
 from wayfare.operators import background as BG
-from wayfare.session import METHOD_CONF, materialise
+from wayfare.operators import clean as CL
+from wayfare.operators import event_edits as EE
+from wayfare.plans import derive as D
+from wayfare.session import BUCKET_ROWS, METHOD_CONF, PARTITIONS_CONF, buckets_for, materialise
 
 
 def test_frames_are_made_by_many_tasks_and_are_the_same(spark, tmp_path, monkeypatch):
@@ -35,3 +42,72 @@ def test_background_samples_are_not_broadcast(spark):
     assert re.search("SortMergeJoin .*LeftAnti", plan) and re.search("SortMergeJoin .*idx", plan)
     # 200 frames are free: one from the middle of each twenty
     assert sorted((r.video_id, r.pos) for r in got.collect()) == [(f"v{k}", 110 + 20 * i) for k in range(3) for i in range(10)]
+
+
+def test_holes_are_not_carried_through_the_windows(spark):
+    """The holes, many times as large as a frame, join behind the sorts and windows of the filling."""
+    lost = visit(3) + walk(hole(3), (CX, CY), 10) + [None] * 2 + walk((CX, CY), hole(9), 30) + [None] * 2 + [hole(9)] * 3
+    stage = D.cleaned(tables(spark, {"v": lost}), P.defaults(gapFilling__enabled=True, gapFilling__maxDuration_s=0.2))
+    plan = stage["clean"]._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if x.lstrip(" +-:").startswith("Window") and "holes" in x]
+    below = plan[plan.index("Window"):].split("Join Inner")
+    assert len(below) > 2 and "holes#" not in below[1]
+    gaps = [r.unfilled for r in stage["clean"].filter("variant = 'c' and (filled or unfilled is not null)").orderBy("pos").collect()]
+    assert gaps == [None, None, "hole_adjacent", "hole_adjacent"]
+
+
+def test_a_video_that_stands_twice_doubles_its_frames_once(spark):
+    one = tables(spark, {"v": visit(3), "w": visit(4)})
+    one.videos = one.videos.unionByName(one.videos.filter("video_id = 'v'"))
+    clean = D.cleaned(one, P.defaults())["clean"].groupBy("video_id").count().collect()
+    assert {r.video_id: r["count"] for r in clean} == {"v": 2 * len(visit(3)), "w": len(visit(4))}
+
+
+def test_buckets_grow_with_the_rows(spark):
+    """A bucket stays of one size however few shuffle partitions are set."""
+    assert [buckets_for(n) for n in (0, 1, BUCKET_ROWS, 1000 * BUCKET_ROWS)] == [1, 1, 1, 1000]
+
+
+def test_clustered_frames_are_written_without_a_second_move(spark, monkeypatch):
+    """With more shuffle partitions than buckets, the frames went through one more exchange."""
+    before, seen = spark.conf.get(PARTITIONS_CONF), []
+    save = DataFrameWriter.saveAsTable
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", lambda w, *a, **k: seen.append(spark.conf.get(PARTITIONS_CONF)) or save(w, *a, **k))
+    inputs = tables(spark, {"v": visit(3)})
+    spark.conf.set(PARTITIONS_CONF, "40")
+    try:
+        D.clustered(inputs, P.defaults())
+        assert seen == ["1"] and spark.conf.get(PARTITIONS_CONF) == "40"
+    finally:
+        spark.conf.set(PARTITIONS_CONF, before)
+
+
+def test_event_edits_are_folded_by_many_tasks(spark):
+    """The events are few and small, so by their size one task would fold all videos."""
+    corrections = [{"video_id": f"v{k}", "id": f"d{k}", "kind": "event", "action": "delete", "event_id": "none"} for k in range(12)]
+    inputs = tables(spark, {f"v{k}": visit(3) for k in range(12)}, corrections=corrections)
+    d = D.derive(inputs, P.defaults())
+    edits = materialise(EE.event_edits(inputs.corrections, d.clean, d.geometry, d.stages["correction_spans"]), "edits-test")
+    out, _ = EE.apply_event_edits(d.events, edits, d.clean, d.geometry)
+    made = materialise(out, "fold-test")
+    assert len(made.inputFiles()) > 1
+    assert sorted(r.video_id for r in made.filter("row = 'flag'").collect()) == sorted(f"v{k}" for k in range(12))
+
+
+def test_cleaned_frames_are_written_once_for_the_layer_derived_from_them(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(C, "clustered", lambda i, p, f=D.clustered: made.append(1) or f(i, p))
+    monkeypatch.setattr(D, "clustered", lambda i, p, f=D.clustered: made.append(1) or f(i, p))
+    monkeypatch.setattr(C, "inputs", lambda s, d: inputs)
+    inputs = tables(spark, {"v": visit(3)})
+    assert C.clean(spark, "one")["clean"].count() == len(visit(3))
+    assert C.derived(spark, "one").metrics.count() == 1 and len(made) == 1
+    C._clustered.clear(), C._derived.clear()
+
+
+def test_differences_of_stamps_are_made_once(spark):
+    frames = spark.range(9).select(F.lit("v").alias("v"), F.lit(0).alias("chunk"), F.col("id").cast("int").alias("pos"), (F.col("id") / 4).alias("t"))
+    got = CL.nominal_dt(frames, ["v"])
+    # what is left reads the differences, not the frames
+    assert "pos#" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.nominal_dt for r in got.collect()] == [0.25]
