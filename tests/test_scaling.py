@@ -11,6 +11,7 @@ from tests.tracks import CX, CY, hole, tables, visit, walk
 from wayfare import params as P
 from wayfare.operators import background as BG
 from wayfare.operators import clean as CL
+from wayfare.operators import corrections as CO
 from wayfare.operators import event_edits as EE
 from wayfare.plans import derive as D
 from wayfare.session import BUCKET_ROWS, METHOD_CONF, PARTITIONS_CONF, buckets_for, materialise
@@ -111,3 +112,15 @@ def test_differences_of_stamps_are_made_once(spark):
     # what is left reads the differences, not the frames
     assert "pos#" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert [r.nominal_dt for r in got.collect()] == [0.25]
+
+
+def test_frames_do_not_move_to_meet_a_few_edited_ones(spark):
+    """Frame numbers off their positions are looked up in one pass; the few numbers go to the frames."""
+    key = [F.lit("s").alias("session_id"), F.lit("v").alias("video_id")]
+    frames = spark.range(500).select(*key, (F.col("id") + 10).cast("int").alias("frame_index"), F.col("id").cast("int").alias("pos"))
+    schema = ", ".join(f"{c} {t}" for c, t in B.CORRECTION_COLUMNS.items())
+    rows = [("s", "v", i, "t", "range", None, None, None, None, None, None, None, "not_visible", a, z) + (None,) * 7 for i, a, z in (("in", 12, 20), ("out", 900, 950))]
+    edits = CO.frame_edits(spark.createDataFrame(rows, schema), frames, CO.track_spans(frames))
+    # the frames are read for the spans alone, what is left of the lookup is a table of its own
+    assert edits._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 500") == 1
+    assert {r.id: (r.lo, r.hi, r.in_range) for r in edits.collect()} == {"in": (2, 10, True), "out": (0, -1, False)}
