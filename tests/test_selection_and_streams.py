@@ -8,6 +8,7 @@ from tests.tracks import CX, CY, hole, tables, visit
 from wayfare import params as P
 from wayfare.operators import selection as SE
 from wayfare.operators.timeline import KEY
+from wayfare.session import PARTITIONS_CONF, dealt_into
 from wayfare.sources import intake, session_json, session_parts
 from wayfare.streaming import online, rederive
 
@@ -119,6 +120,25 @@ def test_online_selection_gives_up_missing_frames(spark, tmp_path):
     assert taken == _brute(obs, [45]) and passed == [("a", 45), ("b", 45)]
 
 
+def test_replay_reads_several_files_in_a_micro_batch(spark, tmp_path, monkeypatch):
+    """Micro-batches and parts of the states do not grow with the files and the shuffle partitions; the rows stay the loop's."""
+    obs = _observations(spark, 150, 1000)
+    px = F.struct(F.lit(500.0).alias("expected"), *[F.lit(LIM[k]).alias(k) for k in ("max_area", "min_area", "merge_px", "near_px", "oversized", "small")])
+    monkeypatch.setattr(online, "FILE_ROWS", 10)
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(online, "MOST_FILES", 2 * cores)
+    with dealt_into(spark, 3 * cores):
+        rows = online.replay(obs.withColumn("px", px), str(tmp_path), 2).collect()
+        assert spark.conf.get(PARTITIONS_CONF) == str(3 * cores)
+    assert all(r.accepted for r in rows)
+    assert {(r.video_id, r.frame_index): (r.reason, r["rank"]) for r in rows} == _brute(obs.collect())
+    files = len(list((tmp_path / "in").glob("*.parquet")))
+    batches = [f for f in (tmp_path / "checkpoint" / "commits").iterdir() if f.name.isdigit()]
+    assert files > 2 * cores and len(batches) == -(-files // (2 * cores))
+    states = [f for f in (tmp_path / "checkpoint" / "state" / "0").iterdir() if f.name.isdigit()]
+    assert len(states) == cores
+
+
 def test_held_frames_are_bounded():
     import numpy as np
 
