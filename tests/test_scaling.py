@@ -1,6 +1,8 @@
 """Steps whose rows grow by an explode: spread over tasks by number, never broadcast."""
 
+import math
 import re
+import statistics
 
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from wayfare.operators import background as BG
 from wayfare.operators import clean as CL
 from wayfare.operators import corrections as CO
 from wayfare.operators import event_edits as EE
+from wayfare.operators import fits as FT
 from wayfare.plans import derive as D
 from wayfare.session import BUCKET_ROWS, METHOD_CONF, PARTITIONS_CONF, buckets_for, materialise
 
@@ -124,3 +127,24 @@ def test_frames_do_not_move_to_meet_a_few_edited_ones(spark):
     # the frames are read for the spans alone, what is left of the lookup is a table of its own
     assert edits._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 500") == 1
     assert {r.id: (r.lo, r.hi, r.in_range) for r in edits.collect()} == {"in": (2, 10, True), "out": (0, -1, False)}
+
+
+def test_pairs_of_points_do_not_move_to_be_fitted(spark):
+    """Null keys give no fit, missing points count in no product; the sums are those of a plain loop."""
+    rows = [("a", 700 + 3.0 * i, 40.0 - i * i, 2 * i + 1.5, i % 4 - 900.25) for i in range(40)] + [("a", None, 3.0, 5.0, None), ("a", 1.0, 2.0, None, 4.0)]
+    rows += [("b", 1.0, 2.0, 3.0, 4.0)] * 3 + [("c", 5.0, 5.0, 1.0, 1.0), (None, 1.0, 2.0, 3.0, 4.0), (None, 2.0, 2.0, 3.0, 5.0)]
+    pairs = spark.createDataFrame(rows, "k string, fx double, fy double, tx double, ty double").repartition(4)
+    got = FT.fit_similarity(pairs, ["k"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1 and "Join" not in plan
+    fits = {r.k: r.transform for r in got.collect()}
+    own = [r[1:] for r in rows if r[0] == "a"]
+    mean = [statistics.fmean(p[j] for p in own if p[j] is not None) for j in range(4)]
+    off = [[None if v is None else v - m for v, m in zip(p, mean)] for p in own]
+    whole = [p for p in off if None not in p]
+    dot = sum(p[0] * p[2] + p[1] * p[3] for p in whole)
+    cross = sum(p[0] * p[3] - p[1] * p[2] for p in whole)
+    var = sum(p[0] ** 2 + p[1] ** 2 for p in off if None not in p[:2])
+    assert fits.keys() == {"a", "b", "c"} and fits["b"] is None and fits["c"] is None
+    assert abs(fits["a"].scale - math.hypot(dot, cross) / var) < 1e-12
+    assert abs((fits["a"].rotation_deg - math.degrees(math.atan2(cross, dot)) + 180) % 360 - 180) < 1e-9

@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.functions import geometry as G
 
 
+def _all_of(*columns: str) -> Column:
+    return reduce(and_, [F.col(c).isNotNull() for c in columns])
+
+
+def _about_means(a: str, b: str, rows: Column) -> Column:
+    """Aggregate: over ``rows``, the sum of products of ``a`` and ``b`` less their means, which are over all rows that have them."""
+    x, y, n = F.when(rows, F.col(a)), F.when(rows, F.col(b)), F.count_if(rows)
+    return n * F.covar_pop(x, y) + n * (F.avg(x) - F.avg(a)) * (F.avg(y) - F.avg(b))
+
+
 def fit_similarity(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Similarity (no reflection) from (fx, fy) to (tx, ty) per group; null when degenerate."""
-    means = pairs.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in ("fx", "fy", "tx", "ty")]
+    # co-moments are merged from the parts of a group, so the pairs are read once and do not move
+    points, both = _all_of("fx", "fy"), _all_of("fx", "fy", "tx", "ty")
+    known = reduce(and_, [F.col(k).isNotNull() for k in keys], F.lit(True))
+    s = pairs.filter(known).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in ("fx", "fy", "tx", "ty")],
+        (_about_means("fx", "tx", both) + _about_means("fy", "ty", both)).alias("dot"),
+        (_about_means("fx", "ty", both) - _about_means("fy", "tx", both)).alias("cross"),
+        (_about_means("fx", "fx", points) + _about_means("fy", "fy", points)).alias("var"),
     )
-    d = pairs.join(means, keys)
-    ax, ay = F.col("fx") - F.col("m_fx"), F.col("fy") - F.col("m_fy")
-    bx, by = F.col("tx") - F.col("m_tx"), F.col("ty") - F.col("m_ty")
-    s = d.groupBy(*keys).agg(
-        F.sum(ax * bx + ay * by).alias("dot"), F.sum(ax * by - ay * bx).alias("cross"), F.sum(ax * ax + ay * ay).alias("var"),
-    ).join(means, keys)
     size = G.length(F.col("dot"), F.col("cross"))
     angle = F.atan2("cross", "dot")
     scale = size / F.col("var")
