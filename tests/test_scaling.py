@@ -1,10 +1,11 @@
 """Steps whose rows grow by an explode: spread over tasks by number, never broadcast."""
 
+import contextlib
 import math
 import re
 import statistics
 
-from pyspark.sql import DataFrameWriter
+from pyspark.sql import DataFrameWriter, Window
 from pyspark.sql import functions as F
 
 from catalog import benchmark as B
@@ -17,7 +18,7 @@ from wayfare.operators import corrections as CO
 from wayfare.operators import event_edits as EE
 from wayfare.operators import fits as FT
 from wayfare.plans import derive as D
-from wayfare.session import BUCKET_ROWS, METHOD_CONF, PARTITIONS_CONF, buckets_for, materialise
+from wayfare.session import BUCKET_ROWS, METHOD_CONF, PARTITIONS_CONF, buckets_for, co_partitioned, dealt_into, materialise, materialise_plain
 
 
 def test_frames_are_made_by_many_tasks_and_are_the_same(spark, tmp_path, monkeypatch):
@@ -148,3 +149,65 @@ def test_pairs_of_points_do_not_move_to_be_fitted(spark):
     assert fits.keys() == {"a", "b", "c"} and fits["b"] is None and fits["c"] is None
     assert abs(fits["a"].scale - math.hypot(dot, cross) / var) < 1e-12
     assert abs((fits["a"].rotation_deg - math.degrees(math.atan2(cross, dot)) + 180) % 360 - 180) < 1e-9
+
+
+BROADCAST_CONF = "spark.sql.autoBroadcastJoinThreshold"
+
+
+@contextlib.contextmanager
+def broadcast_below(spark, size):
+    spark.conf.set(BROADCAST_CONF, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(BROADCAST_CONF)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_that_pack_well_are_not_broadcast_for_it(spark):
+    """20,000 rows of a megabyte and more whose equal values fill a few kilobytes of files."""
+    rows = spark.range(20_000, numPartitions=1).select((F.col("id") % 50).alias("k"), *[F.lit("a value that all rows share").alias(f"v{i}") for i in range(4)])
+    other = materialise(spark.range(100_000).select("id", F.rand(1).alias("r")), "large-test")
+    with broadcast_below(spark, "500k"):
+        join = "id = k"
+        assert "BroadcastHashJoin" in plan_of(other.join(materialise(rows, "packed-test"), F.expr(join)))
+        plain = materialise_plain(rows, "plain-test")
+        assert "BroadcastHashJoin" not in plan_of(other.join(plain, F.expr(join)))
+        # few of them still are
+        assert "BroadcastHashJoin" in plan_of(other.join(materialise_plain(rows.limit(20), "few-test"), F.expr(join)))
+    assert sorted(plain.collect()) == sorted(rows.collect())
+
+
+def test_geometry_and_edits_of_many_videos_stay_off_the_driver(spark):
+    """The files of 150 equal geometries are far below the limit when packed, their rows, each with 20 holes, eight times above it."""
+    corrections = [{"video_id": f"v{k}", "id": f"r{k}", "kind": "range", "range_type": "not_visible", "start_frame": 1, "end_frame": 50} for k in range(150)]
+    inputs = tables(spark, {f"v{k}": visit(3) for k in range(150)}, corrections=corrections)
+    with broadcast_below(spark, "20k"):
+        stage = D.clustered(inputs, P.defaults())
+        holes = stage["geometry"].select("session_id", "video_id", "holes")
+        assert "BroadcastHashJoin" not in plan_of(stage["clean"].join(holes, ["session_id", "video_id"]))
+        fields = materialise_plain(CO.edited_fields(stage["edits"], 1000), "fields-test")
+        flat = CO.flat_frames(inputs.frames, 1000)
+        assert "BroadcastHashJoin" not in plan_of(CO.apply_frame_edits(flat, fields))
+    assert stage["clean"].filter("variant = 'c' AND reason = 'not_visible'").count() == 150 * 50
+
+
+def test_edits_meet_the_frames_where_these_are_dealt(spark):
+    """Neither an exchange nor a sort lies between the join of edits that are not broadcast and the windows."""
+    corrections = [{"video_id": "v", "id": "p", "kind": "point", "point": "centroid", "frame_index": 9, "x": 1.0, "y": 2.0, "confidence": 1.0, "valid": True}]
+    inputs = tables(spark, {"v": visit(3), "w": visit(4)}, corrections=corrections)
+    flat = CO.flat_frames(inputs.frames, 16)
+    edits = CO.frame_edits(inputs.corrections, inputs.frames, CO.track_spans(inputs.frames))
+    fields = materialise_plain(CO.edited_fields(edits, 16).withColumn("variant", F.lit("c")), "fields-test")
+    with broadcast_below(spark, "-1"), co_partitioned(spark), dealt_into(spark, 5):
+        both = CO.both_variants(flat, edits, fields, 5)
+        before = F.lag("t").over(Window.partitionBy(*CL.TRACK, "chunk").orderBy("pos"))
+        above = plan_of(both.withColumn("before", before)).split("SortMergeJoin")[0]
+        assert "Window" in above and "Exchange" not in above and "Sort " not in above
+        rows = {(r.video_id, r.variant, r.pos): r for r in both.collect()}
+    assert len(rows) == 2 * len(visit(3)) + len(visit(4))
+    assert (rows["v", "c", 9].x, rows["v", "c", 9].c_src, rows["v", "a", 9].c_src) == (1.0, "corrected", "auto")
+    assert {k for k, r in rows.items() if r.c_src == "corrected"} == {("v", "c", 9)}

@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wayfare.operators.timeline import KEY
 from wayfare.plans.derive import Inputs, derive
-from wayfare.session import materialise
+from wayfare.session import materialise_plain
 
 
 #: The table of the videos each epoch derived.
@@ -36,7 +36,7 @@ def rederive_batch(load: Callable[[SparkSession], Inputs], p: dict[str, Any], ou
     """The writer of one micro-batch of changed video keys."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        keys = materialise(batch.select(*KEY).distinct(), "changed")
+        keys = materialise_plain(batch.select(*KEY).distinct(), "changed")
         if keys.isEmpty():
             return
         d = derive(only(load(batch.sparkSession), keys), p)
