@@ -211,3 +211,13 @@ def test_edits_meet_the_frames_where_these_are_dealt(spark):
     assert len(rows) == 2 * len(visit(3)) + len(visit(4))
     assert (rows["v", "c", 9].x, rows["v", "c", 9].c_src, rows["v", "a", 9].c_src) == (1.0, "corrected", "auto")
     assert {k for k, r in rows.items() if r.c_src == "corrected"} == {("v", "c", 9)}
+
+
+def test_counts_of_regular_stamps_are_not_broadcast(spark):
+    """The equal differences of 3,000 videos packed into small files, and their counts, one a video, went to the driver."""
+    key = [F.lit("s").alias("session_id"), F.concat(F.lit("video-"), F.floor(F.col("id") / 41)).alias("video_id")]
+    frames = spark.range(3000 * 41).select(*key, F.lit(0).alias("chunk"), (F.col("id") % 41).cast("int").alias("pos"), (F.col("id") % 41 / 4).alias("t"))
+    with broadcast_below(spark, "100k"):
+        got = CL.nominal_dt(frames, ["session_id", "video_id"])
+        assert "BroadcastHashJoin" not in plan_of(got)
+        assert {r.nominal_dt for r in got.collect()} == {0.25} and got.count() == 3000
