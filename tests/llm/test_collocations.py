@@ -1,8 +1,11 @@
 import collections
+import gc
 import random
 import re
+import weakref
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import AWKWARD, documents, plain, sentence
@@ -106,3 +109,22 @@ def test_scores_beyond_64_bits(spark):
 def test_no_phrases(spark):
     assert C.collocations(documents(spark, AWKWARD).limit(0)).count() == 0
     assert C.collocations(documents(spark, [(1, "one. two, three", "en", "a"), (2, None, None, None)]), least=1).count() == 0
+
+
+def test_a_run_that_has_ended_is_freed_at_once():
+    """Runs lay in a cycle with their words, so a task held those of all its texts until Python looked for cycles."""
+    alive, seen = weakref.WeakSet(), []
+
+    def find(run):
+        alive.add(run)
+        seen.append(len(alive))
+        yield from C.single_words(run)
+
+    parts = [pa.record_batch([pa.array(["en"] * 20), pa.array([f"word{i} of {k} and more words" for k in range(20)])], names=["lang", "text"]) for i in range(5)]
+    gc.disable()
+    try:
+        made = [r for b in C.counting(find, size=60)(iter(parts)) for r in b.to_pylist()]
+    finally:
+        gc.enable()
+    assert len(seen) > 5 and set(seen) == {1}
+    assert sum(r["f"] for r in made if r["phrase"] == "words") == 100

@@ -65,19 +65,22 @@ COUNTED_DDL = "lang string, phrase string, m int, f long"
 
 
 class Words(dict):
-    """Numbers of the words of one language; what is known of each word stands in lists that all languages share."""
+    """Numbers of the words of one language; what is known of each word stands in lists that all languages share.
+
+    It holds the lists and not the run: in a cycle, runs that have ended would stay until Python looks for cycles.
+    """
 
     def __init__(self, lang: str, run: Run):
         super().__init__({b".": 0})
-        self.lang, self.sum, self.run = lang, zlib.crc32(lang.encode()), run
+        self.lang, self.sum = lang, zlib.crc32(lang.encode())
+        self.words, self.langs, self.sums, self.lang_sums = run.words, run.langs, run.sums, run.lang_sums
 
     def __missing__(self, word: bytes) -> int:
-        run = self.run
-        k = self[word] = len(run.words)
-        run.words.append(word)
-        run.langs.append(self.lang)
-        run.sums.append(zlib.crc32(word))
-        run.lang_sums.append(self.sum)
+        k = self[word] = len(self.words)
+        self.words.append(word)
+        self.langs.append(self.lang)
+        self.sums.append(zlib.crc32(word))
+        self.lang_sums.append(self.sum)
         return k
 
 
@@ -103,18 +106,18 @@ class Run:
 
     def __init__(self):
         self.words, self.langs, self.sums, self.lang_sums = [b"."], [""], [0], [0]
-        self.known, self.parts, self.n, self.own = {}, [np.zeros(1, np.int64)], 1, None
+        self.known, self.parts, self.n, self.own = {}, [np.zeros(1, np.int32)], 1, None
 
     def add(self, lang: str, block: list[bytes]) -> None:
         number = self.known.get(lang)
         if number is None:
             number = self.known[lang] = Words(lang, self)
-        some = np.fromiter(map(number.__getitem__, block), np.int64)
+        some = np.fromiter(map(number.__getitem__, block), np.int32)
         self.parts.append(some)
         self.n += len(some)
 
     def end(self) -> None:
-        self.parts.append(np.zeros(1, np.int64))
+        self.parts.append(np.zeros(1, np.int32))
         self.n += 1
 
     def cut(self, most: int) -> list[bytes]:
@@ -129,25 +132,27 @@ class Run:
     def closed(self) -> None:
         """Lay the numbers and what belongs to them side by side; no words may follow."""
         self.ids = np.concatenate(self.parts)
+        self.parts, self.known = [], {}
         self.stop = len(self.ids) if self.own is None else self.own
         self.sum, self.lang_sum = np.array(self.sums, np.int64), np.array(self.lang_sums, np.int64)
 
     def levels(self, most: int):
         """For m = 1, 2, ...: the starts of phrases of m words, and their checksums."""
         ids = self.ids
-        starts = np.flatnonzero(ids)
+        starts = np.flatnonzero(ids).astype(np.int32)
         at = self.lang_sum[ids[starts]] * FACTORS[0]
         for m in range(1, most + 1):
             last = ids[starts + m - 1]  # a piece ends before the array does
             if m > 1:
-                starts, at, last = starts[last != 0], at[last != 0], last[last != 0]
-            at = at + self.sum[last] * FACTORS[m]
+                on = last != 0
+                starts, at, last = starts[on], at[on], last[on]
+            at += self.sum[last] * FACTORS[m]
             yield m, starts, at
 
     def rows(self, m: int, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         """The distinct phrases of m words among those that start at ``starts`` and their number."""
         starts = starts[starts < self.stop]
-        number = self.ids[starts]
+        number = self.ids[starts].astype(np.int64)
         for k in range(1, m):
             if k > 1:
                 number = np.unique(number, return_inverse=True)[1]
